@@ -33,10 +33,16 @@ is a right shift of that index, so the levels nest exactly.
 
 Distances are squared Euclidean distances in DOUBLE on the (float32)
 coordinates; ties are broken by the training id.
+
+The capped training cells, the level choice and the first pass are each
+read by more than one later step; they are persisted (memory and disk) so
+the plan is a DAG of stages rather than a tree that recomputes them. Lost
+blocks are recomputed from deterministic lineage.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,7 +137,8 @@ def knn_neighbors(train: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
     copies = Window.partitionBy("tlat", "tlon").orderBy("tid")
     t = t.withColumn("_c", F.row_number().over(copies)).where(F.col("_c") <= k).drop("_c")
     t = (t.withColumn("ix", _fine_index(F.col("tlat"), origin, side, finest))
-          .withColumn("iy", _fine_index(F.col("tlon"), origin, side, finest)))
+          .withColumn("iy", _fine_index(F.col("tlon"), origin, side, finest))
+          .persist(StorageLevel.MEMORY_AND_DISK))
 
     q = queries.select(
         F.col("qid"), F.col("lat").cast("double").alias("qlat"),
@@ -158,6 +165,7 @@ def knn_neighbors(train: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
         .join(pyramid, ["l", "cx", "cy"])
         .groupBy("qid", "qlat", "qlon", "qix", "qiy")
         .agg(F.coalesce(F.max(F.when(F.col("n") >= k, F.col("l"))), F.lit(0)).alias("l"))
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
 
     # 4.-5. first pass with certificate
@@ -165,7 +173,8 @@ def knn_neighbors(train: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
     cell_side = F.lit(side) / F.pow(F.lit(4.0), F.col("l"))
     bound = cell_side * (1.0 - _SLACK)
     kth = F.max("d2").over(Window.partitionBy("qid"))
-    first = first.withColumn("ok", (F.col("l") == 0) | (kth < bound * bound))
+    first = first.withColumn("ok", (F.col("l") == 0) | (kth < bound * bound)) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
 
     done = first.where(F.col("ok"))
     # 6. uncertified queries once more, one level coarser (always certified)

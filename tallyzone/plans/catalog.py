@@ -239,8 +239,8 @@ def q_layer_table(spark, sf):
 # --- periods ----------------------------------------------------------------------------
 
 def q_valid_years(spark, sf):
-    years = spark.range(1).select(
-        F.explode(P.valid_years(DEMO_AS_OF, DEMO_EARLIEST[0])).cast("int").alias("year"))
+    years = spark.range(1).select(F.explode(P.valid_years(DEMO_AS_OF, DEMO_EARLIEST[0])).alias("y")) \
+        .select(F.col("y").cast("int").alias("year"))
     counts = raw_records(spark, sf).groupBy("year").agg(F.count(F.lit(1)).alias("n_records"))
     return years.join(counts, "year", "left").select(
         "year", F.coalesce(F.col("n_records"), F.lit(0)).alias("n_records"))

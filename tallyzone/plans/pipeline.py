@@ -8,6 +8,7 @@ its place and everything downstream is unchanged.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyzone.constants import DEFAULT_K
@@ -17,6 +18,7 @@ from tallyzone.operators.layer import layer_table
 from tallyzone.operators.lookup import area_lookup
 from tallyzone.operators.rank import area_report
 from tallyzone.sources.layer import layer_from_customers
+from tallyzone.session import spread
 from tallyzone.sources.records import fixture_records, table
 
 
@@ -25,7 +27,16 @@ def raw_records(spark: SparkSession, sf_dir: str, period=None) -> DataFrame:
 
 
 def classified_records(spark: SparkSession, sf_dir: str, period=None) -> DataFrame:
-    return C.with_class(C.typed_records(raw_records(spark, sf_dir, period)))
+    """Typed records with their presence class, persisted.
+
+    Every later stage reads this table several times (training points,
+    query points, rows with zips, the borough map). Persisting it means one
+    scan and one parse per run, and it stops the optimizer from inlining
+    the parse expressions into every class filter. Lost blocks are
+    recomputed from the (deterministic) lineage.
+    """
+    raw = spread(raw_records(spark, sf_dir, period), "id")
+    return C.with_class(C.typed_records(raw)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def fetch_and_aggregate(spark: SparkSession, sf_dir: str, period=None, k: int = DEFAULT_K,

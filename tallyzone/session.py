@@ -58,3 +58,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make sure reliable checkpoint() has a folder (same rule as shared_dir)."""
     if spark.sparkContext.getCheckpointDir() is None:
         shared_dir(spark)
+
+
+def spread(df, key: str):
+    """Hash-partition ``df`` by ``key`` only when the scan gives fewer splits than task slots.
+
+    A big table arrives in thousands of splits and is left alone (no
+    shuffle). A small file with a single row group arrives as one split;
+    without this, every narrow step before the first shuffle would run in
+    one task.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots, key)
