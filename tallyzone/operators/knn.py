@@ -68,18 +68,16 @@ def _fine_index(c: Column, origin: float, side: float, finest: int) -> Column:
 
 
 def _levels(finest: int) -> Column:
-    """Array of (level, shift) for levels 0..finest."""
-    return F.array(*[
-        F.struct(F.lit(lv).alias("l"), F.lit(2 * (finest - lv)).alias("sh"))
-        for lv in range(finest + 1)
-    ])
+    """Array of (level, shift) for levels 0..finest (one literal expression)."""
+    items = ", ".join(f"named_struct('l', {lv}, 'sh', {2 * (finest - lv)})" for lv in range(finest + 1))
+    return F.expr(f"array({items})")
 
 
 def _block_offsets() -> Column:
-    return F.array(*[
-        F.struct(F.lit(dx).cast("long").alias("dx"), F.lit(dy).cast("long").alias("dy"))
-        for dx in (-1, 0, 1) for dy in (-1, 0, 1)
-    ])
+    """The 3 x 3 block around a cell as (dx, dy) offsets."""
+    items = ", ".join(f"named_struct('dx', CAST({dx} AS BIGINT), 'dy', CAST({dy} AS BIGINT))"
+                      for dx in (-1, 0, 1) for dy in (-1, 0, 1))
+    return F.expr(f"array({items})")
 
 
 def _top_k(cands: DataFrame, k: int) -> DataFrame:

@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The original application has no stream, time window, watermark or state;
+new data is picked up by re-running the batch job for a period (see
+:func:`tallyzone.sources.store.load_or_build`). Nothing is built here so as
+not to add operators the original does not have.
+"""
