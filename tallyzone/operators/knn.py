@@ -53,23 +53,26 @@ from tallyzone.constants import DEFAULT_K
 # which keeps the distance bound of the certificate valid.
 DEGREE_ORIGIN = -180.0
 DEGREE_SIDE = 360.0
-# 4**13 cells per axis: finest cell ~5.4e-6 degrees, below float32 spacing
-# of typical coordinates, so a finest cell holds only a handful of distinct
-# coordinate pairs.
-FINEST_LEVEL = 13
+# Finest cell ~5.4e-6 degrees (2**26 cells per axis), below the float32
+# spacing of typical coordinates, so a finest cell holds only a handful of
+# distinct coordinate pairs.
+FINEST_BITS = 26
+# Index bits per level: 2 = each level 4x finer per axis, 1 = 2x finer.
+LEVEL_BITS = 2
 # Relative slack of the certificate against rounding of the cell index.
 _SLACK = 1e-6
 
 
-def _fine_index(c: Column, origin: float, side: float, finest: int) -> Column:
-    cell = side / (4 ** finest)
-    idx = F.floor((c - F.lit(origin)) / F.lit(cell))
-    return F.least(F.greatest(idx, F.lit(0)), F.lit(4 ** finest - 1)).cast("long")
+def _fine_index(c: Column, origin: float, side: float, fine_bits: int) -> Column:
+    cells = 1 << fine_bits
+    idx = F.floor((c - F.lit(origin)) / F.lit(side / cells))
+    return F.least(F.greatest(idx, F.lit(0)), F.lit(cells - 1)).cast("long")
 
 
-def _levels(finest: int) -> Column:
-    """Array of (level, shift) for levels 0..finest (one literal expression)."""
-    items = ", ".join(f"named_struct('l', {lv}, 'sh', {2 * (finest - lv)})" for lv in range(finest + 1))
+def _levels(n_levels: int, bits: int) -> Column:
+    """Array of (level, shift) for levels 0..n_levels-1 (one literal expression)."""
+    items = ", ".join(f"named_struct('l', {lv}, 'sh', {bits * (n_levels - 1 - lv)})"
+                      for lv in range(n_levels))
     return F.expr(f"array({items})")
 
 
@@ -85,29 +88,28 @@ def _top_k(cands: DataFrame, k: int) -> DataFrame:
     return cands.withColumn("j", F.row_number().over(w)).where(F.col("j") <= k)
 
 
-def _block_candidates(sel: DataFrame, train_cells: DataFrame, finest: int) -> DataFrame:
+def _block_candidates(sel: DataFrame, train_cells: DataFrame, n_levels: int, bits: int) -> DataFrame:
     """Join each query's 3x3 block at its level with the training cells of that level.
 
     ``sel``: qid, qlat, qlon, qix, qiy, l.  ``train_cells``: tid, tlat, tlon, zip, ix, iy.
     """
-    # Levels in use: at most finest+1 rows, a proven bound, so it is broadcast
+    # Levels in use: at most n_levels rows, a proven bound, so it is broadcast
     # and the training side is cut to those levels before its shuffle.
     used = F.broadcast(sel.select("l").distinct())
     tb = (
-        train_cells
-        .withColumn("lv", F.explode(_levels(finest)))
-        .select("tid", "tlat", "tlon", "zip",
-                F.col("lv.l").alias("l"),
+        train_cells.select("tid", "tlat", "tlon", "zip", "ix", "iy",
+                           F.explode(_levels(n_levels, bits)).alias("lv"))
+        .select("tid", "tlat", "tlon", "zip", F.col("lv.l").alias("l"),
                 F.expr("shiftright(ix, lv.sh)").alias("cx"),
                 F.expr("shiftright(iy, lv.sh)").alias("cy"))
         .join(used, "l", "left_semi")
     )
-    qb = (
-        sel.withColumn("off", F.explode(_block_offsets()))
-        .withColumn("sh", (F.lit(finest) - F.col("l")) * 2)
-        .select("qid", "qlat", "qlon", "qix", "qiy", "l",
-                (F.expr("shiftright(qix, sh)") + F.col("off.dx")).alias("cx"),
-                (F.expr("shiftright(qiy, sh)") + F.col("off.dy")).alias("cy"))
+    qb = sel.select(
+        "qid", "qlat", "qlon", "qix", "qiy", "l", F.explode(_block_offsets()).alias("off"),
+    ).select(
+        "qid", "qlat", "qlon", "qix", "qiy", "l",
+        (F.expr(f"shiftright(qix, ({n_levels - 1} - l) * {bits})") + F.col("off.dx")).alias("cx"),
+        (F.expr(f"shiftright(qiy, ({n_levels - 1} - l) * {bits})") + F.col("off.dy")).alias("cy"),
     )
     dlat = F.col("qlat") - F.col("tlat")
     dlon = F.col("qlon") - F.col("tlon")
@@ -120,7 +122,7 @@ def _block_candidates(sel: DataFrame, train_cells: DataFrame, finest: int) -> Da
 
 def knn_neighbors(train: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
                   origin: float = DEGREE_ORIGIN, side: float = DEGREE_SIDE,
-                  finest: int = FINEST_LEVEL) -> DataFrame:
+                  fine_bits: int = FINEST_BITS, bits: int = LEVEL_BITS) -> DataFrame:
     """The k nearest training points of every query point, exactly.
 
     ``train``: ``tid, lat, lon, zip`` (unique ``tid``); ``queries``: ``qid, lat, lon``.
@@ -128,25 +130,29 @@ def knn_neighbors(train: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
     ``j`` = 1..k in (d2, tid) order. With fewer than k training points
     every point is a neighbour; with none a query gets no rows.
     """
-    t = train.select(
-        F.col("tid"), F.col("lat").cast("double").alias("tlat"),
-        F.col("lon").cast("double").alias("tlon"), F.col("zip"))
+    n_levels = fine_bits // bits + 1
+    # levels to climb so the coarser cell side exceeds 2*sqrt(2) finer sides
+    climb = 1 if bits >= 2 else 2
+
     # 1. copies beyond the k smallest ids of a coordinate pair never win
     copies = Window.partitionBy("tlat", "tlon").orderBy("tid")
-    t = t.withColumn("_c", F.row_number().over(copies)).where(F.col("_c") <= k).drop("_c")
-    t = (t.withColumn("ix", _fine_index(F.col("tlat"), origin, side, finest))
-          .withColumn("iy", _fine_index(F.col("tlon"), origin, side, finest))
-          .persist(StorageLevel.MEMORY_AND_DISK))
-
+    t = (
+        train.select("tid", F.col("lat").cast("double").alias("tlat"),
+                     F.col("lon").cast("double").alias("tlon"), "zip")
+        .withColumn("_c", F.row_number().over(copies)).where(F.col("_c") <= k)
+        .select("tid", "tlat", "tlon", "zip",
+                _fine_index(F.col("tlat"), origin, side, fine_bits).alias("ix"),
+                _fine_index(F.col("tlon"), origin, side, fine_bits).alias("iy"))
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
     q = queries.select(
-        F.col("qid"), F.col("lat").cast("double").alias("qlat"),
-        F.col("lon").cast("double").alias("qlon"))
-    q = (q.withColumn("qix", _fine_index(F.col("qlat"), origin, side, finest))
-          .withColumn("qiy", _fine_index(F.col("qlon"), origin, side, finest)))
+        "qid", F.col("lat").cast("double").alias("qlat"), F.col("lon").cast("double").alias("qlon"),
+        _fine_index(F.col("lat").cast("double"), origin, side, fine_bits).alias("qix"),
+        _fine_index(F.col("lon").cast("double"), origin, side, fine_bits).alias("qiy"))
 
     # 2. training points per cell on every level
     pyramid = (
-        t.select("ix", "iy").withColumn("lv", F.explode(_levels(finest)))
+        t.select(F.explode(_levels(n_levels, bits)).alias("lv"), "ix", "iy")
         .select(F.col("lv.l").alias("l"),
                 F.expr("shiftright(ix, lv.sh)").alias("cx"),
                 F.expr("shiftright(iy, lv.sh)").alias("cy"))
@@ -155,9 +161,8 @@ def knn_neighbors(train: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
 
     # 3. finest level whose own cell holds >= k points (0 if none)
     sel = (
-        q.withColumn("lv", F.explode(_levels(finest)))
-        .select("qid", "qlat", "qlon", "qix", "qiy",
-                F.col("lv.l").alias("l"),
+        q.select("qid", "qlat", "qlon", "qix", "qiy", F.explode(_levels(n_levels, bits)).alias("lv"))
+        .select("qid", "qlat", "qlon", "qix", "qiy", F.col("lv.l").alias("l"),
                 F.expr("shiftright(qix, lv.sh)").alias("cx"),
                 F.expr("shiftright(qiy, lv.sh)").alias("cy"))
         .join(pyramid, ["l", "cx", "cy"])
@@ -166,23 +171,20 @@ def knn_neighbors(train: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
 
-    # 4.-5. first pass with certificate
-    first = _top_k(_block_candidates(sel, t, finest), k)
-    cell_side = F.lit(side) / F.pow(F.lit(4.0), F.col("l"))
-    bound = cell_side * (1.0 - _SLACK)
-    kth = F.max("d2").over(Window.partitionBy("qid"))
-    first = first.withColumn("ok", (F.col("l") == 0) | (kth < bound * bound)) \
+    # 4.-5. first pass with certificate: k-th distance below the cell side
+    bound = F.lit(side * (1.0 - _SLACK)) / F.pow(F.lit(float(1 << bits)), F.col("l"))
+    first = (
+        _top_k(_block_candidates(sel, t, n_levels, bits), k)
+        .withColumn("ok", (F.col("l") == 0) | (F.max("d2").over(Window.partitionBy("qid")) < bound * bound))
         .persist(StorageLevel.MEMORY_AND_DISK)
-
-    done = first.where(F.col("ok"))
-    # 6. uncertified queries once more, one level coarser (always certified)
-    again = (
-        first.where(~F.col("ok") & (F.col("j") == 1))
-        .select("qid", "qlat", "qlon", "qix", "qiy", (F.col("l") - 1).alias("l"))
     )
-    second = _top_k(_block_candidates(again, t, finest), k)
+
+    # 6. uncertified queries once more, coarser (always certified)
+    again = first.where(~F.col("ok") & (F.col("j") == 1)).select(
+        "qid", "qlat", "qlon", "qix", "qiy", F.greatest(F.col("l") - climb, F.lit(0)).alias("l"))
+    second = _top_k(_block_candidates(again, t, n_levels, bits), k)
     cols = ["qid", "j", "tid", "zip", "d2"]
-    return done.select(*cols).unionByName(second.select(*cols))
+    return first.where(F.col("ok")).select(*cols).unionByName(second.select(*cols))
 
 
 def knn_vote(neighbors: DataFrame) -> DataFrame:
