@@ -35,6 +35,24 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
     return spark
 
 
+# Suggested settings for a large cluster (about 1000 executors, ~100 TB of
+# records). They are not applied by the library; pass them to the session
+# builder. Shuffle partitions start high and adaptive execution coalesces
+# them to ~256 MB; skewed partitions are split; input splits are 256 MB.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "40000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.shuffle.partitions": "40000",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
 def shared_dir(spark: SparkSession, name: str = "tallyzone") -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
