@@ -32,7 +32,9 @@ is a right shift of that index, so the levels nest exactly.
    in use (at most ``finest + 1`` rows).
 
 Distances are squared Euclidean distances in DOUBLE on the (float32)
-coordinates; ties are broken by the training id.
+coordinates; ties are broken by the training id. The search runs once per
+distinct query coordinate pair, so copies of one query point cost one
+search.
 
 The capped training cells, the level choice and the first pass are each
 read by more than one later step; they are persisted (memory and disk) so
@@ -83,15 +85,21 @@ def _block_offsets() -> Column:
     return F.expr(f"array({items})")
 
 
+# Queries are searched once per distinct coordinate pair: the neighbours
+# depend only on the coordinates, so copies of one query point (a default
+# geocode holding a third of all rows, say) cost one search, not millions.
+PKEY = ["qlat", "qlon"]
+
+
 def _top_k(cands: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("qid").orderBy("d2", "tid")
+    w = Window.partitionBy(*PKEY).orderBy("d2", "tid")
     return cands.withColumn("j", F.row_number().over(w)).where(F.col("j") <= k)
 
 
 def _block_candidates(sel: DataFrame, train_cells: DataFrame, n_levels: int, bits: int) -> DataFrame:
     """Join each query's 3x3 block at its level with the training cells of that level.
 
-    ``sel``: qid, qlat, qlon, qix, qiy, l.  ``train_cells``: tid, tlat, tlon, zip, ix, iy.
+    ``sel``: qlat, qlon, qix, qiy, l.  ``train_cells``: tid, tlat, tlon, zip, ix, iy.
     """
     # Levels in use: at most n_levels rows, a proven bound, so it is broadcast
     # and the training side is cut to those levels before its shuffle.
@@ -105,9 +113,9 @@ def _block_candidates(sel: DataFrame, train_cells: DataFrame, n_levels: int, bit
         .join(used, "l", "left_semi")
     )
     qb = sel.select(
-        "qid", "qlat", "qlon", "qix", "qiy", "l", F.explode(_block_offsets()).alias("off"),
+        "qlat", "qlon", "qix", "qiy", "l", F.explode(_block_offsets()).alias("off"),
     ).select(
-        "qid", "qlat", "qlon", "qix", "qiy", "l",
+        "qlat", "qlon", "qix", "qiy", "l",
         (F.expr(f"shiftright(qix, ({n_levels - 1} - l) * {bits})") + F.col("off.dx")).alias("cx"),
         (F.expr(f"shiftright(qiy, ({n_levels - 1} - l) * {bits})") + F.col("off.dy")).alias("cy"),
     )
@@ -115,20 +123,21 @@ def _block_candidates(sel: DataFrame, train_cells: DataFrame, n_levels: int, bit
     dlon = F.col("qlon") - F.col("tlon")
     return (
         qb.join(tb, ["l", "cx", "cy"])
-        .select("qid", "qlat", "qlon", "qix", "qiy", "l", "tid", "zip",
+        .select("qlat", "qlon", "qix", "qiy", "l", "tid", "zip",
                 (dlat * dlat + dlon * dlon).alias("d2"))
     )
 
 
-def knn_neighbors(train: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
-                  origin: float = DEGREE_ORIGIN, side: float = DEGREE_SIDE,
-                  fine_bits: int = FINEST_BITS, bits: int = LEVEL_BITS) -> DataFrame:
-    """The k nearest training points of every query point, exactly.
+def point_neighbors(train: DataFrame, points: DataFrame, k: int = DEFAULT_K,
+                    origin: float = DEGREE_ORIGIN, side: float = DEGREE_SIDE,
+                    fine_bits: int = FINEST_BITS, bits: int = LEVEL_BITS) -> DataFrame:
+    """The k nearest training points of every distinct query coordinate pair, exactly.
 
-    ``train``: ``tid, lat, lon, zip`` (unique ``tid``); ``queries``: ``qid, lat, lon``.
-    Coordinates must be non-null. Returns ``qid, j, tid, zip, d2`` with
-    ``j`` = 1..k in (d2, tid) order. With fewer than k training points
-    every point is a neighbour; with none a query gets no rows.
+    ``train``: ``tid, lat, lon, zip`` (unique ``tid``); ``points``: ``lat, lon``
+    (duplicates are removed here). Coordinates must be non-null. Returns
+    ``qlat, qlon, j, tid, zip, d2`` with ``j`` = 1..k in (d2, tid) order.
+    With fewer than k training points every point is a neighbour; with none
+    a point gets no rows.
     """
     n_levels = fine_bits // bits + 1
     # levels to climb so the coarser cell side exceeds 2*sqrt(2) finer sides
@@ -145,10 +154,13 @@ def knn_neighbors(train: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
                 _fine_index(F.col("tlon"), origin, side, fine_bits).alias("iy"))
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    q = queries.select(
-        "qid", F.col("lat").cast("double").alias("qlat"), F.col("lon").cast("double").alias("qlon"),
-        _fine_index(F.col("lat").cast("double"), origin, side, fine_bits).alias("qix"),
-        _fine_index(F.col("lon").cast("double"), origin, side, fine_bits).alias("qiy"))
+    q = (
+        points.select(F.col("lat").cast("double").alias("qlat"), F.col("lon").cast("double").alias("qlon"))
+        .distinct()
+        .select("qlat", "qlon",
+                _fine_index(F.col("qlat"), origin, side, fine_bits).alias("qix"),
+                _fine_index(F.col("qlon"), origin, side, fine_bits).alias("qiy"))
+    )
 
     # 2. training points per cell on every level
     pyramid = (
@@ -161,12 +173,12 @@ def knn_neighbors(train: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
 
     # 3. finest level whose own cell holds >= k points (0 if none)
     sel = (
-        q.select("qid", "qlat", "qlon", "qix", "qiy", F.explode(_levels(n_levels, bits)).alias("lv"))
-        .select("qid", "qlat", "qlon", "qix", "qiy", F.col("lv.l").alias("l"),
+        q.select("qlat", "qlon", "qix", "qiy", F.explode(_levels(n_levels, bits)).alias("lv"))
+        .select("qlat", "qlon", "qix", "qiy", F.col("lv.l").alias("l"),
                 F.expr("shiftright(qix, lv.sh)").alias("cx"),
                 F.expr("shiftright(qiy, lv.sh)").alias("cy"))
         .join(pyramid, ["l", "cx", "cy"])
-        .groupBy("qid", "qlat", "qlon", "qix", "qiy")
+        .groupBy("qlat", "qlon", "qix", "qiy")
         .agg(F.coalesce(F.max(F.when(F.col("n") >= k, F.col("l"))), F.lit(0)).alias("l"))
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
@@ -175,29 +187,53 @@ def knn_neighbors(train: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
     bound = F.lit(side * (1.0 - _SLACK)) / F.pow(F.lit(float(1 << bits)), F.col("l"))
     first = (
         _top_k(_block_candidates(sel, t, n_levels, bits), k)
-        .withColumn("ok", (F.col("l") == 0) | (F.max("d2").over(Window.partitionBy("qid")) < bound * bound))
+        .withColumn("ok", (F.col("l") == 0) | (F.max("d2").over(Window.partitionBy(*PKEY)) < bound * bound))
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
 
     # 6. uncertified queries once more, coarser (always certified)
     again = first.where(~F.col("ok") & (F.col("j") == 1)).select(
-        "qid", "qlat", "qlon", "qix", "qiy", F.greatest(F.col("l") - climb, F.lit(0)).alias("l"))
+        "qlat", "qlon", "qix", "qiy", F.greatest(F.col("l") - climb, F.lit(0)).alias("l"))
     second = _top_k(_block_candidates(again, t, n_levels, bits), k)
-    cols = ["qid", "j", "tid", "zip", "d2"]
+    cols = ["qlat", "qlon", "j", "tid", "zip", "d2"]
     return first.where(F.col("ok")).select(*cols).unionByName(second.select(*cols))
 
 
-def knn_vote(neighbors: DataFrame) -> DataFrame:
+def _query_coords(queries: DataFrame) -> DataFrame:
+    return queries.select("qid", F.col("lat").cast("double").alias("qlat"),
+                          F.col("lon").cast("double").alias("qlon"))
+
+
+def knn_neighbors(train: DataFrame, queries: DataFrame, k: int = DEFAULT_K, **grid) -> DataFrame:
+    """The k nearest training points of every query, exactly: ``qid, j, tid, zip, d2``.
+
+    ``queries``: ``qid, lat, lon``. The search runs once per distinct
+    coordinate pair (:func:`point_neighbors`); the lists are joined back to
+    the query ids on the coordinates.
+    """
+    nb = point_neighbors(train, queries, k, **grid)
+    return _query_coords(queries).join(nb, PKEY).select("qid", "j", "tid", "zip", "d2")
+
+
+def knn_vote(neighbors: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Majority zip among each query's neighbours; ties go to the smallest zip (A3).
 
-    Distance does not weight the vote. Returns ``qid, zip``.
+    Distance does not weight the vote. ``key`` names the query columns
+    (default ``qid``). Returns ``key..., zip``.
     """
-    votes = neighbors.groupBy("qid", "zip").agg(F.count(F.lit(1)).alias("n"))
-    best = votes.groupBy("qid").agg(
+    key = key or ["qid"]
+    votes = neighbors.groupBy(*key, "zip").agg(F.count(F.lit(1)).alias("n"))
+    best = votes.groupBy(*key).agg(
         F.max(F.struct(F.col("n"), (-F.col("zip")).alias("neg"))).alias("b"))
-    return best.select("qid", (-F.col("b.neg")).cast("int").alias("zip"))
+    return best.select(*key, (-F.col("b.neg")).cast("int").alias("zip"))
 
 
 def knn_fill(train: DataFrame, queries: DataFrame, k: int = DEFAULT_K, **grid) -> DataFrame:
-    """Vote of the k nearest neighbours for every query (J2): ``qid, zip``."""
-    return knn_vote(knn_neighbors(train, queries, k, **grid))
+    """Vote of the k nearest neighbours for every query (J2): ``qid, zip``.
+
+    The vote is taken once per distinct coordinate pair and joined back to
+    the queries (one row per pair on that side, so a hot coordinate is a
+    skewed join that adaptive execution splits).
+    """
+    votes = knn_vote(point_neighbors(train, queries, k, **grid), PKEY)
+    return _query_coords(queries).join(votes, PKEY).select("qid", "zip")

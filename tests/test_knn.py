@@ -87,3 +87,18 @@ def test_no_training_points(spark):
     tdf = spark.createDataFrame([], "tid long, lat double, lon double, zip int")
     qdf = spark.createDataFrame([(7, 40.09, -74.0)], "qid long, lat double, lon double")
     assert knn_neighbors(tdf, qdf, 5).count() == 0
+
+
+def test_query_copies_share_one_search(spark):
+    train, _ = _points(5, 600, 0)
+    tdf = spark.createDataFrame(train, "tid long, lat double, lon double, zip int")
+    same = [(qid, _as32(40.65), _as32(-74.05)) for qid in range(200)]
+    qdf = spark.createDataFrame(same + [(999, _as32(40.7), _as32(-73.9))], "qid long, lat double, lon double")
+    got = {}
+    for r in knn_neighbors(tdf, qdf, 5).collect():
+        got.setdefault(r["qid"], []).append((r["j"], r["tid"]))
+    want = _brute(train, same[:1] + [(999, _as32(40.7), _as32(-73.9))], 5)
+    assert len(got) == 201
+    for qid, rows in got.items():
+        ref = want[0] if qid != 999 else want[999]
+        assert [t for _, t in sorted(rows)] == [t for t, _ in ref]
