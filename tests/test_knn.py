@@ -51,13 +51,14 @@ def _points(seed, n_train, n_query):
     return train, queries
 
 
-@pytest.mark.parametrize("seed,k", [(1, 5), (2, 3), (3, 7)])
-def test_grid_equals_brute_force(spark, seed, k):
+@pytest.mark.parametrize("seed,k,dense", [(1, 5, None), (2, 3, None), (3, 7, None),
+                                          (1, 5, 20), (4, 3, 8)])
+def test_grid_equals_brute_force(spark, seed, k, dense):
     train, queries = _points(seed, 900, 120)
     tdf = spark.createDataFrame(train, "tid long, lat double, lon double, zip int")
     qdf = spark.createDataFrame(queries, "qid long, lat double, lon double")
     got = {}
-    for r in knn_neighbors(tdf, qdf, k).collect():
+    for r in knn_neighbors(tdf, qdf, k, dense=dense).collect():
         got.setdefault(r["qid"], []).append((r["j"], r["tid"], r["zip"]))
     want = _brute(train, queries, k)
     assert set(got) == set(want)
