@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyzone.constants import DEFAULT_K
 from tallyzone.functions.values import rename_bronx
 from tallyzone.operators import classify as C
-from tallyzone.operators.repair import fill_zip_codes, zip_borough_map
+from tallyzone.operators.repair import filled_rows, zip_borough_map
 
 
 def sum_by_area(records: DataFrame) -> DataFrame:
@@ -33,13 +33,12 @@ def crashes_by_zip(classified: DataFrame, k: int = DEFAULT_K, sort: bool = True)
     by the map value of its zip, the sum can be taken per zip first (partial
     aggregation on the map side, one shuffle of at most one row per zip and
     partition) and only the per-zip totals are joined with the zip->borough
-    map. Only the rows whose zip is filled by k-NN are joined (by id) with
-    their predictions; the bulk of the records is never joined.
+    map. The rows whose zip is filled carry their crash count through the
+    k-NN vote; the bulk of the records is never joined.
     """
     zmap = zip_borough_map(C.of_class(classified, C.TRUSTED))
     present = C.of_class(classified, *C.ZIP_PRESENT).select("zip_code", "crash_count")
-    need = C.of_class(classified, *C.NEEDS_ZIP).select("id", "crash_count")
-    filled = need.join(fill_zip_codes(classified, k), "id").select("zip_code", "crash_count")
+    filled = filled_rows(classified, ["crash_count"], k).select("zip_code", "crash_count")
     per_zip = (
         present.unionByName(filled)
         .where(F.col("zip_code").isNotNull())

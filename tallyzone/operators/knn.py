@@ -349,11 +349,16 @@ def knn_vote(neighbors: DataFrame, key: list[str] | None = None) -> DataFrame:
 
 
 def knn_fill(train: DataFrame, queries: DataFrame, k: int = DEFAULT_K, **grid) -> DataFrame:
-    """Vote of the k nearest neighbours for every query (J2): ``qid, zip``.
+    """Vote of the k nearest neighbours for every query row.
 
-    The vote is taken once per distinct coordinate pair and joined back to
-    the queries (one row per pair on that side, so a hot coordinate is a
+    ``queries`` needs ``lat, lon``; every other column is carried through
+    (so callers need no second join by id). Returns the query rows with a
+    ``zip`` column, NULL when there is no training point at all. The vote
+    is taken once per distinct coordinate pair and joined back on the
+    coordinates (one row per pair on that side, so a hot coordinate is a
     skewed join that adaptive execution splits).
     """
     votes = knn_vote(point_neighbors(train, queries, k, **grid), PKEY)
-    return _query_coords(queries).join(votes, PKEY).select("qid", "zip")
+    rows = queries.withColumns({"qlat": F.col("lat").cast("double"),
+                                "qlon": F.col("lon").cast("double")})
+    return rows.join(votes, PKEY, "left").drop(*PKEY)

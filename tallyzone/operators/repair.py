@@ -68,6 +68,14 @@ def fill_zip_codes(classified: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     return pred.select(F.col("qid").alias("id"), F.col("zip").alias("zip_code"))
 
 
+def filled_rows(classified: DataFrame, columns: list[str], k: int = DEFAULT_K) -> DataFrame:
+    """The rows to fill (F5, F6) with their k-NN zip as ``zip_code`` and the given columns."""
+    need = C.of_class(classified, *C.NEEDS_ZIP).select(
+        *columns, F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+    return knn_fill(training_points(classified), need, k) \
+        .select(*columns, F.col("zip").alias("zip_code"))
+
+
 def filled_records(classified: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     """The six fillable classes, with k-NN zips in place for F5/F6 (U1, before J1).
 
@@ -75,8 +83,8 @@ def filled_records(classified: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     fill are joined with their predictions (no join over the whole table).
     """
     keep = C.of_class(classified, *C.ZIP_PRESENT).select(*RECORD_OUT)
-    need = C.of_class(classified, *C.NEEDS_ZIP).drop("zip_code")
-    filled = need.join(fill_zip_codes(classified, k), "id", "left").select(*RECORD_OUT)
+    payload = [c for c in RECORD_OUT if c != "zip_code"]
+    filled = filled_rows(classified, payload, k).select(*RECORD_OUT)
     return keep.unionByName(filled)
 
 
