@@ -103,3 +103,26 @@ def test_query_copies_share_one_search(spark):
     for qid, rows in got.items():
         ref = want[0] if qid != 999 else want[999]
         assert [t for _, t in sorted(rows)] == [t for t, _ in ref]
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_coord = st.tuples(st.integers(0, 40), st.integers(0, 40))
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(train=st.lists(st.tuples(_coord, st.integers(10001, 10006)), min_size=1, max_size=60),
+       queries=st.lists(_coord, min_size=1, max_size=15),
+       k=st.integers(1, 6), scale=st.sampled_from([1e-5, 1e-3, 0.1]))
+def test_random_grid_equals_brute_force(spark, train, queries, k, scale):
+    # lattice points (many exact ties and copies) at several scales
+    tr = [(i, _as32(40.0 + a * scale), _as32(-74.0 + b * scale), z) for i, ((a, b), z) in enumerate(train)]
+    qs = [(i, _as32(40.0 + a * scale + scale / 3), _as32(-74.0 + b * scale)) for i, (a, b) in enumerate(queries)]
+    tdf = spark.createDataFrame(tr, "tid long, lat double, lon double, zip int")
+    qdf = spark.createDataFrame(qs, "qid long, lat double, lon double")
+    got = {}
+    for r in knn_neighbors(tdf, qdf, k).collect():
+        got.setdefault(r["qid"], []).append((r["j"], r["tid"]))
+    want = _brute(tr, qs, k)
+    assert {q: [t for _, t in sorted(v)] for q, v in got.items()} == {q: [t for t, _ in v] for q, v in want.items()}
