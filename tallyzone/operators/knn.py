@@ -287,8 +287,10 @@ def point_neighbors(train: DataFrame, points: DataFrame, k: int = DEFAULT_K,
                 F.expr("shiftright(ix, lv.sh)").alias("cx"),
                 F.expr("shiftright(iy, lv.sh)").alias("cy"))
         .groupBy("l", "cx", "cy").agg(F.count(F.lit(1)).alias("n"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
+    if dense is not None:
+        # read again by every refinement round
+        pyramid = pyramid.persist(StorageLevel.MEMORY_AND_DISK)
 
     # 3. finest level whose own cell holds >= k points (0 if none)
     sel = (
