@@ -84,9 +84,13 @@ def spread(df, key: str):
     A big table arrives in thousands of splits and is left alone (no
     shuffle). A small file with a single row group arrives as one split;
     without this, every narrow step before the first shuffle would run in
-    one task.
+    one task. Sessions without RDD access (Spark Connect) keep ``df`` as is.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no RDD API in this session
+        return df
+    if splits >= slots:
         return df
     return df.repartition(slots, key)
