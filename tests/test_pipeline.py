@@ -71,3 +71,22 @@ def test_result_independent_of_partitioning(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     eight = sorted(tuple(r) for r in E.queries()[key](spark, SF).collect())
     assert one == eight
+
+
+@pytest.mark.parametrize("key", ["area_report_all", "knn_neighbors"])
+def test_matches_oracle_without_aqe_and_ansi(spark, key):
+    old = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.ansi.enabled",
+                                          "spark.sql.shuffle.partitions")}
+    try:
+        spark.catalog.clearCache()
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.ansi.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "37")
+        df = E.queries()[key](spark, SF)
+        got = _rows([tuple(r) for r in df.collect()], df.columns)
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+        spark.catalog.clearCache()
+    rel = _duck().sql(E.oracle_sql()[key])
+    assert got == _rows(rel.fetchall(), rel.columns)
