@@ -52,6 +52,12 @@ def test_ranks_and_shares_invariants(spark):
                                    F.countDistinct("rank").alias("d")).collect()
     for r in per:
         assert r["n"] == r["mx"] == r["d"]
+    by_scope = {}
+    for r in rep.select("scope", "rank", "decile").collect():
+        by_scope.setdefault(r["scope"], []).append((r["rank"], r["decile"]))
+    for rows in by_scope.values():
+        deciles = [d for _, d in sorted(rows)]
+        assert deciles == sorted(deciles) and deciles[0] == 1 and deciles[-1] <= 10
     roll = E.queries()["decile_rollup"](spark, SF)
     for r in roll.groupBy("scope").agg(F.sum("share_pct").alias("s")).collect():
         assert abs(r["s"] - 100.0) < 0.1
