@@ -96,3 +96,24 @@ def test_matches_oracle_without_aqe_and_ansi(spark, key):
         spark.catalog.clearCache()
     rel = _duck().sql(E.oracle_sql()[key])
     assert got == _rows(rel.fetchall(), rel.columns)
+
+
+def test_borough_map_layer(spark):
+    from tallyzone.plans.pipeline import map_layer
+
+    rows = map_layer(spark, SF, "Queens").collect()
+    ranked = [r for r in rows if r["rank"] is not None]
+    assert ranked and all(r["borough"] == "Queens" for r in ranked)
+    assert sorted(r["rank"] for r in ranked) == list(range(1, len(ranked) + 1))
+    # polygons of other boroughs are not in a borough map
+    assert all(r["rank"] is not None for r in rows)
+
+
+def test_search_matches_lookup(spark):
+    from tallyzone.plans.pipeline import search
+
+    one = [tuple(r) for r in search(spark, SF, " 10042 ").collect()]
+    every = {r["zip_code"]: tuple(r) for r in E.queries()["area_lookup_all"](spark, SF).collect()}
+    assert one == [every[10042]]
+    assert search(spark, SF, "10042x").count() == 0
+    assert search(spark, SF, "99999").count() == 0
