@@ -7,6 +7,7 @@ settings from the session it is given.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -56,20 +57,27 @@ CLUSTER_CONF = {
 def shared_dir(spark: SparkSession, name: str = "tallyzone") -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    Reads ``spark.checkpoint.dir`` from the session. Only when it is unset
-    (local tests) a temporary folder is created and registered as the
-    checkpoint folder, so checkpoint() and written tables share one place.
+    Reads ``spark.checkpoint.dir`` from the session. Where it is unset, a
+    local session (one JVM, tests and bench) gets a temporary folder that
+    is registered as its checkpoint folder; any other session is refused,
+    since executors could not see such a folder. The folder given out is
+    removed when the session's JVM ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tallyzone-ckpt-")
-        spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(base)
+    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(context._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return f"{folder}/data"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
