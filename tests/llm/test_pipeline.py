@@ -1,0 +1,29 @@
+import corpus_pipeline
+from tallyzone.llm.common import shared_dir, stored
+from tests.llm.test_packing import check_packing
+
+
+def test_stages_take_effect(spark, make):
+    from tests.llm.test_decontaminate import corpus
+    rows, items, planted = corpus()
+    rows = [(i, t, "en") for i, t in rows]
+    rows += [(500, rows[1][1], "en"), (501, "!!! 123", "en"), (502, None, "en"),
+             (503, rows[2][1] + " token = abcdef123456", "en"), (503, rows[2][1] + " token = abcdef123456", "en")]
+    folder = shared_dir(spark, "test")
+    make(rows).drop("rank", "blob").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    seen = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, folder), name)
+        seen.append({r["doc_id"] for r in docs.select("doc_id").collect()})
+        if name == "secret_scans":
+            bodies = [r["text"] for r in docs.collect()]
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+            assert not any("abcdef123456" in t for t in bodies)
+    assert not seen[0] & {501, 502} and len(seen[0]) >= 200
+    assert 500 not in seen[1] and 1 in seen[1]
+    assert not seen[2] & {d for d, _ in planted}
+    assert seen[2] == seen[3] == seen[4]
+    check_packing(docs.collect(), 2048)
+    assert corpus_pipeline.run(spark, folder).count() == docs.count()
