@@ -1,6 +1,6 @@
 """Best-fit packing of token pieces by linear grouping.
 
-Lengths of over ``capacity / 16`` are *large*. They are sorted and cut into
+Lengths of over ``capacity / 4`` are *large*. They are sorted and cut into
 groups of equal cardinality (equal lengths stay together), each rounded up
 to its longest, which leaves a few sizes. Configurations (multisets of sizes
 that fit one sequence) are optimised over them by column generation: a small
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tallyzone.llm.common import Words, mapped, read_table, slices, starts, stored, texts, utf8
 
-CAPACITY, END, GROUPS = 2048, 0, 96
+CAPACITY, END, GROUPS = 2048, 0, 192
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
@@ -142,7 +142,7 @@ def configurations(demand: dict[int, int], capacity: int = CAPACITY, rounds: int
     for step in range(rounds):
         prices = inverse.sum(axis=0)  # costs of one for each column
         best, take = knapsack(sizes, prices, capacity)
-        if best <= 1 + 1e-7:
+        if best <= 1 + 1e-3:
             break
         column = np.bincount(take, minlength=n).astype(float)
         x, d = inverse @ need, inverse @ column
@@ -284,7 +284,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> D
     pieces = stored(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     by_length, counts = ranked(pieces, "length")
     by_length = stored(by_length, "pieces")
-    floor = capacity // 16
+    floor = capacity // 4
     large = {k: n for k, n in counts.items() if k > floor}
     size_of = grouped(large, groups)
     demand = Counter()
