@@ -8,17 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from tallyzone.llm.decontaminate import op3_benchmark_decontamination
+from tallyzone.llm.fingerprints import op9_document_fingerprints
 from tallyzone.llm.langid import op7_language_id
 from tallyzone.llm.packing import op2_best_fit_packing
 from tallyzone.llm.secrets import op1_secret_scans
 from tallyzone.llm.simhash import op10_simhash_neardup
+from tallyzone.llm.substrings import op4_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_secret_scans": op1_secret_scans,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_substring_dedup": op4_substring_dedup,
     "op7_language_id": op7_language_id,
+    "op9_document_fingerprints": op9_document_fingerprints,
     "op10_simhash_neardup": op10_simhash_neardup,
 }
 

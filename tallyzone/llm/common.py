@@ -15,6 +15,7 @@ chunk, not once per row.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
@@ -114,18 +115,40 @@ def chunk_table(docs: DataFrame, columns: list[str], most: int = CHUNK_BYTES) ->
     return stored(rows, "chunks", compression="uncompressed")
 
 
-def answers(requests: DataFrame, answer: Callable[[list[np.ndarray]], list[bytes | None]],
-            dtype) -> DataFrame:
+def pack_array(x: np.ndarray) -> bytes:
+    """An array as its byte planes, compressed."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    return struct.pack("<cq", x.dtype.char.encode(), len(x)) + (
+        pa.compress(planes, "zstd", asbytes=True) if len(x) else b"")
+
+
+def unpack_array(data: bytes) -> np.ndarray:
+    char, n = struct.unpack_from("<cq", data)
+    dtype = np.dtype(char.decode())
+    if not n:
+        return np.zeros(0, dtype)
+    planes = pa.decompress(data[9:], n * dtype.itemsize, "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(dtype.itemsize, n).T).view(dtype).ravel()
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    """A sorted array of unsigned numbers as its differences, compressed."""
+    return pack_array(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    x = unpack_array(data)
+    return np.cumsum(x, dtype=x.dtype)
+
+
+def answers(requests: DataFrame, answer: Callable[[list[bytes]], list[bytes | None]]) -> DataFrame:
     """Answer requests bucket by bucket.
 
-    ``answer`` gets the payloads of a bucket as arrays of ``dtype`` and
-    returns a payload for each, or None where there is nothing to say.
+    ``answer`` gets the payloads of a bucket and returns a payload for each,
+    or None where there is nothing to say.
     """
-    dtype = np.dtype(dtype)
-
     def bucket(table: pa.Table) -> pa.Table:
-        payloads = [np.frombuffer(x.as_buffer(), dtype) for x in table.column("payload")]
-        replies = answer(payloads)
+        replies = answer(table.column("payload").to_pylist())
         out = pa.table({"chunk_id": table.column("chunk_id"), "bucket": table.column("bucket"),
                         "payload": pa.array(replies, pa.binary())})
         return out.filter(pc.is_valid(out.column("payload")))
