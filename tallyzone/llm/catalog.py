@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from tallyzone.llm.decontaminate import op3_benchmark_decontamination
 from tallyzone.llm.fingerprints import op9_document_fingerprints
+from tallyzone.llm.hmm import op8_lm_scoring
 from tallyzone.llm.langid import op7_language_id
 from tallyzone.llm.packing import op2_best_fit_packing
 from tallyzone.llm.secrets import op1_secret_scans
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
     "op7_language_id": op7_language_id,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_simhash_neardup": op10_simhash_neardup,
 }
