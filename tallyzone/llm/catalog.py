@@ -11,7 +11,9 @@ from tallyzone.llm.decontaminate import op3_benchmark_decontamination
 from tallyzone.llm.fingerprints import op9_document_fingerprints
 from tallyzone.llm.hmm import op8_lm_scoring
 from tallyzone.llm.langid import op7_language_id
+from tallyzone.llm.mainmatter import op6_html_extraction
 from tallyzone.llm.packing import op2_best_fit_packing
+from tallyzone.llm.quality import op5_quality_classifier
 from tallyzone.llm.secrets import op1_secret_scans
 from tallyzone.llm.simhash import op10_simhash_neardup
 from tallyzone.llm.substrings import op4_substring_dedup
@@ -22,6 +24,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_html_extraction": op6_html_extraction,
     "op7_language_id": op7_language_id,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_document_fingerprints": op9_document_fingerprints,
