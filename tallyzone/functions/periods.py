@@ -92,3 +92,17 @@ def month_name(month) -> Column:
     """English month name of a month number (locale-independent lookup)."""
     names = F.array(*[F.lit(n) for n in MONTH_NAMES])
     return F.element_at(names, _col(month).cast("int"))
+
+
+def request_valid(start: tuple[int, int], end: tuple[int, int], as_of: _dt.date | str,
+                  earliest: tuple[int, int] = (EARLIEST_YEAR, EARLIEST_MONTH)) -> bool:
+    """C6 for one request of (year, month) pairs, before any job runs."""
+    day = _dt.date.fromisoformat(str(as_of))
+    return tuple(earliest) <= tuple(start) <= tuple(end) <= (day.year, day.month) and all(
+        1 <= m <= 12 for _, m in (start, end))
+
+
+def previous_period(as_of: _dt.date | str) -> tuple[int, int]:
+    """C7 as a (year, month) pair."""
+    day = _dt.date.fromisoformat(str(as_of)).replace(day=1) - _dt.timedelta(days=1)
+    return day.year, day.month

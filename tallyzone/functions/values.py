@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyzone.constants import BRONX, LABEL_FORMAT, N_GROUPS, THE_BRONX, ZIP_WIDTH
+from tallyzone.constants import BRONX, COLOUR_BIN_EDGES, LABEL_FORMAT, N_GROUPS, THE_BRONX, ZIP_WIDTH
 
 # Text that a numeric parser reads as a whole number: optional sign, digits,
 # optionally a fraction made only of zeros ("11207.0"), surrounding blanks.
@@ -44,16 +44,26 @@ def rename_bronx(c: Column | str) -> Column:
 def rank_group(rank: Column | str, n: Column | str, groups: int = N_GROUPS) -> Column:
     """Rank-quantile group 1..groups, 1 = best rank.
 
-    Group of rank r among n ranks: ceil(groups * (r - 1) / (n - 1)), at least 1;
-    a single rank is group 1. This equals quantile binning of the ranks with
-    right-closed bins and differs from ``ntile``.
+    Quantile binning of the ranks 1..n with right-closed bins: 1 + the number
+    of inner quantile edges below the rank. The edges are computed in doubles
+    by linear interpolation (from the upper rank at a fraction of a half or
+    more), as numeric libraries do, so that ranks next to an edge fall where
+    they fall there. It differs from ``ntile``.
     """
     r, m = _col(rank), _col(n)
-    return (
-        F.when(m == 1, F.lit(1))
-        .otherwise(F.greatest(F.lit(1), F.ceil(F.lit(float(groups)) * (r - 1) / (m - 1))))
-        .cast("int")
-    )
+    group = F.lit(1)
+    for q in quantile_points(groups):
+        v = F.lit(q) * (m - 1)
+        low = F.floor(v)
+        g = v - low
+        edge = F.when(g >= 0.5, (low + 2) - (F.lit(1.0) - g)).otherwise((low + 1) + g)
+        group = group + F.when(r > edge, F.lit(1)).otherwise(F.lit(0))
+    return group.cast("int")
+
+
+def quantile_points(groups: int = N_GROUPS) -> list[float]:
+    """The inner quantiles 1/groups ... as doubles, by way of percents."""
+    return [i * (1.0 / groups) * 100 / 100 for i in range(1, groups)]
 
 
 def pad_zip(c: Column | str) -> Column:
@@ -69,11 +79,16 @@ def show_value(c: Column | str) -> Column:
 
 def marker_label(zip_text: Column | str, count: Column | str, decile: Column | str,
                  rank: Column | str) -> Column:
-    """Marker text of the map layer."""
+    """Marker text of the map layer.
+
+    Counts, deciles and ranks print as whole numbers, also where other
+    polygons have none; a table library that turns such columns into floats
+    would print ``54.0``. This is a choice.
+    """
     return F.format_string(LABEL_FORMAT, _col(zip_text), show_value(count),
                            show_value(decile), show_value(rank))
 
 
 def colour_bin(decile: Column | str) -> Column:
     """Colour interval of a decile: edges 1..10 make nine bins, 9 and 10 share the last."""
-    return F.least(_col(decile), F.lit(9)).cast("int")
+    return F.least(_col(decile), F.lit(len(COLOUR_BIN_EDGES) - 1)).cast("int")

@@ -8,21 +8,7 @@ from pyspark.sql import functions as F
 from tallyzone.constants import DEFAULT_K
 from tallyzone.functions.values import rename_bronx
 from tallyzone.operators import classify as C
-from tallyzone.operators.repair import filled_rows, zip_borough_map
-
-
-def sum_by_area(records: DataFrame) -> DataFrame:
-    """Sum of crash counts per (zip, borough); NULL keys dropped, all-NULL sums to 0 (A4)."""
-    return (
-        records.where(F.col("zip_code").isNotNull() & F.col("borough").isNotNull())
-        .groupBy("zip_code", "borough")
-        .agg(F.coalesce(F.sum("crash_count"), F.lit(0)).cast("long").alias("total_crashes"))
-    )
-
-
-def rename_bronx_rows(agg: DataFrame) -> DataFrame:
-    """P4 on an aggregate: 'Bronx' -> 'The Bronx'."""
-    return agg.withColumn("borough", rename_bronx("borough"))
+from tallyzone.operators.repair import POINT_COLUMNS, filled_rows, prepared, stored_borough_map
 
 
 def crashes_by_zip(classified: DataFrame, k: int = DEFAULT_K, sort: bool = True) -> DataFrame:
@@ -36,7 +22,8 @@ def crashes_by_zip(classified: DataFrame, k: int = DEFAULT_K, sort: bool = True)
     map. The rows whose zip is filled carry their crash count through the
     k-NN vote; the bulk of the records is never joined.
     """
-    zmap = zip_borough_map(C.of_class(classified, C.TRUSTED))
+    classified = prepared(classified, C.FILLABLE, [*POINT_COLUMNS, "borough", "crash_count"])
+    zmap = stored_borough_map(C.of_class(classified, C.TRUSTED))
     present = C.of_class(classified, *C.ZIP_PRESENT).select("zip_code", "crash_count")
     filled = filled_rows(classified, ["crash_count"], k).select("zip_code", "crash_count")
     per_zip = (

@@ -12,43 +12,39 @@ is a right shift of that index, so the levels nest exactly.
    this is exact; Spark plans it as a partial window-group limit before the
    shuffle, so a coordinate pair holding a third of all rows never lands
    whole in one task.
-2. **Counts.** Training points per cell, for every level, by one grouped
-   count (map-side partial aggregation).
-3. **Level per query.** Each query picks the finest level whose own cell
-   holds at least k training points (level 0, one cell covering everything,
-   if none does). Dense areas get small cells, sparse areas big ones, so the
-   candidate set stays near k points wherever the data piles up.
-4. **Candidates.** The query's 3 x 3 block of cells at that level is joined
-   on the cell key with the training points of that level; top k by
-   (squared distance, id).
-5. **Certificate.** Anything outside the block is at least one cell side
-   away. A query is certified when its k-th distance is below that side
-   (level 0 is always certified: its block holds every point).
-6. **Second pass.** An uncertified query is re-run one level coarser. Its
-   first block (which lies inside the coarser block) already held >= k
-   points within 2*sqrt(2) cells < 4 cells = the coarser side, so the
-   second pass is always certified: the result is exact after two passes,
-   with no cap on candidates and nothing broadcast but the list of levels
-   in use (at most ``finest + 1`` rows).
+2. **Counts.** Training points per finest cell by one grouped count, rolled
+   up to every coarser level.
+3. **Level per query.** Each query finds the finest level whose own cell
+   holds at least k training points. The k nearest then lie within
+   ``sqrt(2)`` sides of that cell, so the 3 x 3 block of cells one level
+   coarser holds them all (at level 0 the block covers everything). The
+   few coarse levels, where a city is one or two cells, are looked up in a
+   broadcast table of proven size; the fine ones by a join on the cell.
+4. **Refinement.** The block's cells are split into their non-empty children
+   until every cell left holds at most ``LEAF`` * k points or is finest, and
+   cells that cannot hold any of the k nearest are dropped in each round
+   (:func:`_prune`, exact). A query next to a dense cluster thus meets only
+   the part of the cluster that can still be among its k nearest. Rounds end
+   when nothing is left to split, after as many as there are levels at most.
+5. **Candidates.** The cells left are joined with the training points of
+   their level; top k by (squared distance, id).
 
 Distances are squared Euclidean distances in DOUBLE on the (float32)
 coordinates; ties are broken by the training id. The search runs once per
 distinct query coordinate pair, so copies of one query point cost one
 search.
 
-The capped training cells, the level choice and the first pass are each
-read by more than one later step; they are persisted (memory and disk) so
-the plan is a DAG of stages rather than a tree that recomputes them. Lost
-blocks are recomputed from deterministic lineage.
+What later steps read more than once is written to the shared folder, so
+the plan is a chain of short jobs that survives lost executors.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyzone.constants import DEFAULT_K
+from tallyzone.session import materialised
 
 # Grid frame for degree coordinates: the square [-180, 180)^2 holds every
 # latitude and longitude; anything outside is clamped to the border cells,
@@ -61,11 +57,10 @@ DEGREE_SIDE = 360.0
 FINEST_BITS = 26
 # Index bits per level: 2 = each level 4x finer per axis, 1 = 2x finer.
 LEVEL_BITS = 2
-# With ``dense="auto"`` a candidate cell holding more than DENSE_FACTOR * k
-# training points is split (count-guided refinement, _refined_candidates).
-# Off (None) by default in this version: it is exact, but on the test data
-# (no hot cluster) it doubles the k-NN time.
-DENSE_FACTOR = None
+# A cell is split while it holds more than LEAF * k training points.
+LEAF = 32
+# Levels up to this one have at most sum(16**l) = 69,905 cells: small enough to broadcast.
+BROADCAST_LEVEL = 4
 # Relative slack of the certificate against rounding of the cell index.
 _SLACK = 1e-6
 
@@ -101,38 +96,6 @@ def _top_k(cands: DataFrame, k: int) -> DataFrame:
     return cands.withColumn("j", F.row_number().over(w)).where(F.col("j") <= k)
 
 
-def _block_candidates(sel: DataFrame, train_cells: DataFrame, n_levels: int, bits: int) -> DataFrame:
-    """Join each query's 3x3 block at its level with the training cells of that level.
-
-    ``sel``: qlat, qlon, qix, qiy, l.  ``train_cells``: tid, tlat, tlon, zip, ix, iy.
-    """
-    # Levels in use: at most n_levels rows, a proven bound, so it is broadcast
-    # and the training side is cut to those levels before its shuffle.
-    used = F.broadcast(sel.select("l").distinct())
-    tb = (
-        train_cells.select("tid", "tlat", "tlon", "zip", "ix", "iy",
-                           F.explode(_levels(n_levels, bits)).alias("lv"))
-        .select("tid", "tlat", "tlon", "zip", F.col("lv.l").alias("l"),
-                F.expr("shiftright(ix, lv.sh)").alias("cx"),
-                F.expr("shiftright(iy, lv.sh)").alias("cy"))
-        .join(used, "l", "left_semi")
-    )
-    qb = sel.select(
-        "qlat", "qlon", "qix", "qiy", "l", F.explode(_block_offsets()).alias("off"),
-    ).select(
-        "qlat", "qlon", "qix", "qiy", "l",
-        (F.expr(f"shiftright(qix, ({n_levels - 1} - l) * {bits})") + F.col("off.dx")).alias("cx"),
-        (F.expr(f"shiftright(qiy, ({n_levels - 1} - l) * {bits})") + F.col("off.dy")).alias("cy"),
-    )
-    dlat = F.col("qlat") - F.col("tlat")
-    dlon = F.col("qlon") - F.col("tlon")
-    return (
-        qb.join(tb, ["l", "cx", "cy"])
-        .select("qlat", "qlon", "qix", "qiy", "l", "tid", "zip",
-                (dlat * dlat + dlon * dlon).alias("d2"))
-    )
-
-
 def _children(bits: int) -> Column:
     """Offsets of the 2**bits x 2**bits children of a cell one level down."""
     m = 1 << bits
@@ -141,7 +104,7 @@ def _children(bits: int) -> Column:
     return F.expr(f"array({items})")
 
 
-_FRONTIER = ["qlat", "qlon", "qix", "qiy", "l0", "l", "cx", "cy", "n"]
+_FRONTIER = ["qlat", "qlon", "l", "cx", "cy", "n"]
 
 
 def _prune(fr: DataFrame, k: int, origin: float, side: float, bits: int) -> DataFrame:
@@ -182,71 +145,29 @@ def _prune(fr: DataFrame, k: int, origin: float, side: float, bits: int) -> Data
     )
 
 
-def _refined_candidates(sel: DataFrame, train_cells: DataFrame, pyramid: DataFrame, k: int,
-                        dense: int, rounds: int, origin: float, side: float, n_levels: int,
-                        bits: int) -> DataFrame:
-    """Like :func:`_block_candidates`, but cells of the block that hold more
-    than ``dense`` points are split into their non-empty children, round by
-    round, and cells that cannot hold a k-nearest point are pruned (see
-    :func:`_prune`). A query next to a dense cluster then meets only the part
-    of the cluster that can still be among its k nearest, instead of all of
-    it. Each round maps every frontier row to itself or to its children in
-    one ``explode`` and looks the counts up in the pyramid, so the plan grows
-    by one join and one window per round (no driver round trip). With 4x
-    finer levels, ``rounds`` = 3 resolves a 4096-fold density contrast
-    between a query's own cell and its neighbours; beyond that the result is
-    still exact, with more candidates.
-    """
-    fr = (
-        sel.select("qlat", "qlon", "qix", "qiy", F.col("l").alias("l0"),
-                   F.explode(_block_offsets()).alias("o"))
-        .select("qlat", "qlon", "qix", "qiy", "l0", F.col("l0").alias("l"),
-                (F.expr(f"shiftright(qix, ({n_levels - 1} - l0) * {bits})") + F.col("o.dx")).alias("cx"),
-                (F.expr(f"shiftright(qiy, ({n_levels - 1} - l0) * {bits})") + F.col("o.dy")).alias("cy"))
-        .join(pyramid, ["l", "cx", "cy"])
-        .select(*_FRONTIER)
-    )
-    fr = _prune(fr, k, origin, side, bits)
-    split = (F.col("n") > dense) & (F.col("l") < n_levels - 1)
+def _refined(fr: DataFrame, pyramid: DataFrame, k: int, origin: float, side: float, n_levels: int,
+             bits: int) -> DataFrame:
+    """The frontier split and pruned until every cell is small or finest."""
+    split = (F.col("n") > LEAF * k) & (F.col("l") < n_levels - 1)
     kids = F.transform(_children(bits), lambda c: F.struct(
         (F.col("l") + 1).alias("l"),
         (F.shiftleft(F.col("cx"), bits) + c["a"]).alias("cx"),
         (F.shiftleft(F.col("cy"), bits) + c["b"]).alias("cy")))
-    same = F.array(F.struct(F.col("l").alias("l"), F.col("cx").alias("cx"), F.col("cy").alias("cy")))
-    for _ in range(rounds):
-        fr = (
-            fr.select("qlat", "qlon", "qix", "qiy", "l0",
-                      F.explode(F.when(split, kids).otherwise(same)).alias("c"))
-            .select("qlat", "qlon", "qix", "qiy", "l0",
-                    F.col("c.l").alias("l"), F.col("c.cx").alias("cx"), F.col("c.cy").alias("cy"))
+    fr = materialised(_prune(fr, k, origin, side, bits), "frontier")
+    while not fr.where(split).isEmpty():
+        children = (
+            fr.where(split).select("qlat", "qlon", F.explode(kids).alias("c"))
+            .select("qlat", "qlon", F.col("c.l").alias("l"), F.col("c.cx").alias("cx"), F.col("c.cy").alias("cy"))
             .join(pyramid, ["l", "cx", "cy"])
             .select(*_FRONTIER)
         )
-        fr = _prune(fr, k, origin, side, bits)
-
-    # Levels in use: at most n_levels rows, a proven bound, so it is broadcast.
-    used = F.broadcast(fr.select("l").distinct())
-    tb = (
-        train_cells.select("tid", "tlat", "tlon", "zip", "ix", "iy",
-                           F.explode(_levels(n_levels, bits)).alias("lv"))
-        .select("tid", "tlat", "tlon", "zip", F.col("lv.l").alias("l"),
-                F.expr("shiftright(ix, lv.sh)").alias("cx"),
-                F.expr("shiftright(iy, lv.sh)").alias("cy"))
-        .join(used, "l", "left_semi")
-    )
-    dlat = F.col("qlat") - F.col("tlat")
-    dlon = F.col("qlon") - F.col("tlon")
-    return (
-        fr.join(tb, ["l", "cx", "cy"])
-        .select("qlat", "qlon", "qix", "qiy", F.col("l0").alias("l"), "tid", "zip",
-                (dlat * dlat + dlon * dlon).alias("d2"))
-    )
+        fr = materialised(_prune(fr.where(~split).unionByName(children), k, origin, side, bits), "frontier")
+    return fr
 
 
 def point_neighbors(train: DataFrame, points: DataFrame, k: int = DEFAULT_K,
                     origin: float = DEGREE_ORIGIN, side: float = DEGREE_SIDE,
-                    fine_bits: int = FINEST_BITS, bits: int = LEVEL_BITS,
-                    dense: int | None | str = "auto", rounds: int = 3) -> DataFrame:
+                    fine_bits: int = FINEST_BITS, bits: int = LEVEL_BITS) -> DataFrame:
     """The k nearest training points of every distinct query coordinate pair, exactly.
 
     ``train``: ``tid, lat, lon, zip`` (unique ``tid``); ``points``: ``lat, lon``
@@ -255,23 +176,24 @@ def point_neighbors(train: DataFrame, points: DataFrame, k: int = DEFAULT_K,
     With fewer than k training points every point is a neighbour; with none
     a point gets no rows.
     """
+    cands = candidates(train, points, k, origin, side, fine_bits, bits)
+    return _top_k(cands, k).select("qlat", "qlon", "j", "tid", "zip", "d2")
+
+
+def candidates(train: DataFrame, points: DataFrame, k: int, origin: float = DEGREE_ORIGIN,
+               side: float = DEGREE_SIDE, fine_bits: int = FINEST_BITS, bits: int = LEVEL_BITS) -> DataFrame:
+    """Every training point that can be among the k nearest of a query, and some more: ``qlat, qlon, tid, zip, d2``."""
     n_levels = fine_bits // bits + 1
-    if dense == "auto":
-        dense = DENSE_FACTOR * k if DENSE_FACTOR is not None else None
-    # levels to climb so the coarser cell side exceeds 2*sqrt(2) finer sides
-    climb = 1 if bits >= 2 else 2
 
     # 1. copies beyond the k smallest ids of a coordinate pair never win
     copies = Window.partitionBy("tlat", "tlon").orderBy("tid")
-    t = (
+    t = materialised(
         train.select("tid", F.col("lat").cast("double").alias("tlat"),
                      F.col("lon").cast("double").alias("tlon"), "zip")
         .withColumn("_c", F.row_number().over(copies)).where(F.col("_c") <= k)
         .select("tid", "tlat", "tlon", "zip",
                 _fine_index(F.col("tlat"), origin, side, fine_bits).alias("ix"),
-                _fine_index(F.col("tlon"), origin, side, fine_bits).alias("iy"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+                _fine_index(F.col("tlon"), origin, side, fine_bits).alias("iy")), "train")
     q = (
         points.select(F.col("lat").cast("double").alias("qlat"), F.col("lon").cast("double").alias("qlon"))
         .distinct()
@@ -280,49 +202,56 @@ def point_neighbors(train: DataFrame, points: DataFrame, k: int = DEFAULT_K,
                 _fine_index(F.col("qlon"), origin, side, fine_bits).alias("qiy"))
     )
 
-    # 2. training points per cell on every level
-    pyramid = (
-        t.select(F.explode(_levels(n_levels, bits)).alias("lv"), "ix", "iy")
+    # 2. training points per cell on every level, rolled up from the finest
+    pyramid = materialised(
+        t.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("m"))
+        .select(F.explode(_levels(n_levels, bits)).alias("lv"), "ix", "iy", "m")
         .select(F.col("lv.l").alias("l"),
                 F.expr("shiftright(ix, lv.sh)").alias("cx"),
-                F.expr("shiftright(iy, lv.sh)").alias("cy"))
-        .groupBy("l", "cx", "cy").agg(F.count(F.lit(1)).alias("n"))
-    )
-    if dense is not None:
-        # read again by every refinement round
-        pyramid = pyramid.persist(StorageLevel.MEMORY_AND_DISK)
+                F.expr("shiftright(iy, lv.sh)").alias("cy"), "m")
+        .groupBy("l", "cx", "cy").agg(F.sum("m").alias("n")), "pyramid")
 
-    # 3. finest level whose own cell holds >= k points (0 if none)
-    sel = (
+    # 3. one level above the finest whose own cell holds >= k points
+    cells = (
         q.select("qlat", "qlon", "qix", "qiy", F.explode(_levels(n_levels, bits)).alias("lv"))
         .select("qlat", "qlon", "qix", "qiy", F.col("lv.l").alias("l"),
                 F.expr("shiftright(qix, lv.sh)").alias("cx"),
                 F.expr("shiftright(qiy, lv.sh)").alias("cy"))
+    )
+    top = BROADCAST_LEVEL * LEVEL_BITS // bits
+    coarse = cells.where(F.col("l") <= top).join(F.broadcast(pyramid.where(F.col("l") <= top)), ["l", "cx", "cy"])
+    fine = cells.where(F.col("l") > top).join(pyramid.where(F.col("l") > top), ["l", "cx", "cy"])
+    start = (
+        coarse.unionByName(fine).groupBy("qlat", "qlon", "qix", "qiy")
+        .agg(F.greatest(F.coalesce(F.max(F.when(F.col("n") >= k, F.col("l"))), F.lit(0)) - 1, F.lit(0)).alias("l"))
+    )
+    block = (
+        start.select("qlat", "qlon", "qix", "qiy", "l", F.explode(_block_offsets()).alias("o"))
+        .select("qlat", "qlon", "l",
+                (F.expr(f"shiftright(qix, ({n_levels - 1} - l) * {bits})") + F.col("o.dx")).alias("cx"),
+                (F.expr(f"shiftright(qiy, ({n_levels - 1} - l) * {bits})") + F.col("o.dy")).alias("cy"))
         .join(pyramid, ["l", "cx", "cy"])
-        .groupBy("qlat", "qlon", "qix", "qiy")
-        .agg(F.coalesce(F.max(F.when(F.col("n") >= k, F.col("l"))), F.lit(0)).alias("l"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
+        .select(*_FRONTIER)
     )
 
-    # 4.-5. first pass with certificate: k-th distance below the cell side
-    bound = F.lit(side * (1.0 - _SLACK)) / F.pow(F.lit(float(1 << bits)), F.col("l"))
-    if dense is None:
-        cands = _block_candidates(sel, t, n_levels, bits)
-    else:
-        cands = _refined_candidates(sel, t, pyramid, k, dense, rounds, origin, side, n_levels, bits)
-    first = (
-        _top_k(cands, k)
-        .withColumn("ok", (F.col("l") == 0) | (F.max("d2").over(Window.partitionBy(*PKEY)) < bound * bound))
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    # 4. split and prune
+    fr = _refined(block, pyramid, k, origin, side, n_levels, bits)
 
-    # 6. uncertified queries once more, coarser (always certified)
-    again = first.where(~F.col("ok") & (F.col("j") == 1)).select(
-        "qlat", "qlon", "qix", "qiy", F.greatest(F.col("l") - climb, F.lit(0)).alias("l"))
-    # (few points; their coarser block is joined whole)
-    second = _top_k(_block_candidates(again, t, n_levels, bits), k)
-    cols = ["qlat", "qlon", "j", "tid", "zip", "d2"]
-    return first.where(F.col("ok")).select(*cols).unionByName(second.select(*cols))
+    # 5. the points of the cells left. Levels in use: at most n_levels rows, so they are broadcast.
+    used = F.broadcast(fr.select("l").distinct())
+    tb = (
+        t.select("tid", "tlat", "tlon", "zip", "ix", "iy", F.explode(_levels(n_levels, bits)).alias("lv"))
+        .select("tid", "tlat", "tlon", "zip", F.col("lv.l").alias("l"),
+                F.expr("shiftright(ix, lv.sh)").alias("cx"),
+                F.expr("shiftright(iy, lv.sh)").alias("cy"))
+        .join(used, "l", "left_semi")
+    )
+    dlat = F.col("qlat") - F.col("tlat")
+    dlon = F.col("qlon") - F.col("tlon")
+    return (
+        fr.join(tb, ["l", "cx", "cy"])
+        .select("qlat", "qlon", "tid", "zip", (dlat * dlat + dlon * dlon).alias("d2"))
+    )
 
 
 def _query_coords(queries: DataFrame) -> DataFrame:

@@ -58,21 +58,25 @@ def layer_join(layer: DataFrame, report: DataFrame, scope: str | None = None) ->
     return feats.join(r.drop("zip_code"), "zip_text", "left").select(*LAYER_JOIN_COLUMNS)
 
 
-def layer_centroid(layer: DataFrame, digits: int = 9) -> DataFrame:
+def layer_centroid(layer: DataFrame) -> DataFrame:
     """Area-weighted centroid per zip (A12): exterior rings count +, holes -, parts add up.
 
-    Shoelace sums over edges. Each vertex is joined with its successor on
-    (zip, part, ring, seq + 1): an equi-join on a unique key, so no ring,
-    however long, has to sit in one task. Rounded to ``digits`` decimals.
+    Shoelace sums over edges, taken from the ring's first vertex (``seq`` 0)
+    and moved back at the end, so small rings far from the origin keep their
+    digits. Each vertex is joined with its successor on (zip, part, ring,
+    seq + 1), a unique key, so no ring, however long, has to sit in one task.
     """
-    v = layer_keys(layer).select("zip_text", "part", "ring", "seq", "x", "y")
-    nxt = v.select("zip_text", "part", "ring", (F.col("seq") - 1).alias("seq"),
-                   F.col("x").alias("x2"), F.col("y").alias("y2"))
+    ring = ["zip_text", "part", "ring"]
+    v = layer_keys(layer).select(*ring, "seq", "x", "y")
+    nxt = v.select(*ring, (F.col("seq") - 1).alias("seq"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    base = v.where(F.col("seq") == 0).select(*ring, F.col("x").alias("bx"), F.col("y").alias("by"))
+    edges = v.join(nxt, [*ring, "seq"]).join(base, ring).select(
+        *ring, "bx", "by", (F.col("x") - F.col("bx")).alias("x"), (F.col("y") - F.col("by")).alias("y"),
+        (F.col("x2") - F.col("bx")).alias("x2"), (F.col("y2") - F.col("by")).alias("y2"))
     cross = F.col("x") * F.col("y2") - F.col("x2") * F.col("y")
     rings = (
-        v.join(nxt, ["zip_text", "part", "ring", "seq"])
-        .groupBy("zip_text", "part", "ring")
-        .agg(F.sum(cross).alias("s"),
+        edges.groupBy(*ring)
+        .agg(F.first("bx").alias("bx"), F.first("by").alias("by"), F.sum(cross).alias("s"),
              F.sum((F.col("x") + F.col("x2")) * cross).alias("sx"),
              F.sum((F.col("y") + F.col("y2")) * cross).alias("sy"))
         .where(F.col("s") != 0)
@@ -82,22 +86,18 @@ def layer_centroid(layer: DataFrame, digits: int = 9) -> DataFrame:
     weighted = rings.select(
         "zip_text",
         area.alias("a"),
-        (area * F.col("sx") / (F.col("s") * 3.0)).alias("ax"),
-        (area * F.col("sy") / (F.col("s") * 3.0)).alias("ay"),
-    )
-    scale = float(10 ** digits)
-    return (
-        weighted.groupBy("zip_text")
-        .agg((F.sum("ax") / F.sum("a")).alias("cx"), (F.sum("ay") / F.sum("a")).alias("cy"))
-        .select("zip_text",
-                (F.rint(F.col("cx") * scale) / scale).alias("centroid_x"),
-                (F.rint(F.col("cy") * scale) / scale).alias("centroid_y"))
+        (area * (F.col("bx") + F.col("sx") / (F.col("s") * 3.0))).alias("ax"),
+        (area * (F.col("by") + F.col("sy") / (F.col("s") * 3.0))).alias("ay"),
     )
+    return weighted.groupBy("zip_text").agg((F.sum("ax") / F.sum("a")).alias("centroid_x"),
+                                            (F.sum("ay") / F.sum("a")).alias("centroid_y"))
 
 
 def layer_table(layer: DataFrame, report: DataFrame, scope: str | None = None) -> DataFrame:
     """E5: per polygon the ranked values, centroid (marker position), label and colour bin."""
     joined = layer_join(layer, report, scope)
+    if scope is not None and scope != CITYWIDE:  # only the scope's polygons
+        layer = layer_keys(layer).join(scope_zips(report, scope), "zip_text", "left_semi").drop("zip_text")
     cent = layer_centroid(layer)
     return (
         joined.join(cent, "zip_text", "left")

@@ -50,5 +50,4 @@ def area_lookup(agg: DataFrame, zip_text: str) -> DataFrame:
     zips; otherwise the result is empty.
     """
     z = F.trim(F.lit(str(zip_text))).try_cast("int")
-    known = unique_zips(agg).where(F.col("zip_code") == z)
-    return area_lookup_all(agg).join(known, "zip_code", "left_semi")
+    return area_lookup_all(agg).where(F.col("zip_code") == z)

@@ -10,10 +10,12 @@ aggregate with one row per scope.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyzone.constants import CITYWIDE, DISPLAY_NAMES
+from tallyzone.constants import CITYWIDE, DISPLAY_NAMES, SCOPES
 from tallyzone.functions.positions import with_global_position
 from tallyzone.functions.values import rank_group, round2
 
@@ -34,22 +36,32 @@ def with_scope(agg: DataFrame, scope: str | None) -> DataFrame:
 
 def all_scopes(agg: DataFrame) -> DataFrame:
     """Every row once under Citywide and once under its own borough."""
-    city = agg.withColumn("scope", F.lit(CITYWIDE))
-    own = agg.withColumn("scope", F.col("borough"))
-    return city.unionByName(own)
+    return agg.withColumn("scope", F.explode(F.array(F.lit(CITYWIDE), F.col("borough"))))
 
 
 def scope_summary(scoped: DataFrame) -> DataFrame:
-    """Total crashes, mean per zip (2 dp, rounded half to even) and area count per scope."""
+    """Total crashes, mean per zip (2 dp, rounded half to even) and area count of every scope.
+
+    A scope without areas has the total 0 and no mean.
+    """
+    scopes = scoped.sparkSession.createDataFrame([(s,) for s in SCOPES], "scope string")
+    sums = scoped.groupBy("scope").agg(F.sum("total_crashes").alias("total"), F.count(F.lit(1)).alias("n"))
     return (
-        scoped.groupBy("scope")
-        .agg(F.coalesce(F.sum("total_crashes"), F.lit(0)).cast("long").alias("total_crashes"),
-             F.count(F.lit(1)).alias("n_areas"))
+        scopes.join(sums, "scope", "left")
+        .select("scope", F.coalesce("total", F.lit(0)).cast("long").alias("total_crashes"),
+                F.coalesce("n", F.lit(0)).alias("n_areas"))
         .withColumn("average_crashes_per_zip",
-                    round2(F.col("total_crashes") / F.col("n_areas")))
+                    round2(F.try_divide(F.col("total_crashes"), F.col("n_areas"))))
     )
 
 
+def scope_totals(agg: DataFrame, scope: str | None = None) -> DataFrame:
+    """The one row (total, average) that a report of one scope shows; total 0 and no average for an empty one."""
+    rows = scope_filter(agg, scope)
+    return rows.agg(F.coalesce(F.sum("total_crashes"), F.lit(0)).cast("long").alias("total_crashes"),
+                    round2(F.avg("total_crashes")).alias("average_crashes_per_zip"))
+
+
 def rank_scoped(scoped: DataFrame) -> DataFrame:
     """W1-W4 for every scope present in ``scoped`` (``scope, zip_code, borough, total_crashes``).
 
@@ -81,6 +93,18 @@ def area_report(agg: DataFrame, scope: str | None = None) -> DataFrame:
     return rank_scoped(with_scope(agg, scope)).select(*REPORT_COLUMNS)
 
 
+class Report(NamedTuple):
+    """What a report of one scope hands over: the ranked table, and one row with total and average."""
+
+    table: DataFrame
+    totals: DataFrame
+
+
+def full_report(agg: DataFrame, scope: str | None = None) -> Report:
+    """Table, total and average of one scope; ``agg`` is best stored, it is read for each."""
+    return Report(area_report(agg, scope), scope_totals(agg, scope))
+
+
 def area_report_all(agg: DataFrame) -> DataFrame:
     """W4 for Citywide and every borough at once."""
     return rank_scoped(all_scopes(agg)).select("scope", *REPORT_COLUMNS)

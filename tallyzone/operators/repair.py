@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from tallyzone.constants import DEFAULT_K
 from tallyzone.operators import classify as C
 from tallyzone.operators.knn import knn_fill, knn_neighbors
+from tallyzone.session import materialised
 
 RECORD_OUT = ["id", "zip_code", "borough", "crash_count", "latitude", "longitude", "cls"]
+POINT_COLUMNS = ["id", "zip_code", "latitude", "longitude"]
 
 
 def zip_borough_counts(trusted: DataFrame) -> DataFrame:
@@ -30,19 +32,34 @@ def zip_borough_map(trusted: DataFrame) -> DataFrame:
     return best.select("zip_code", F.col("m.b").alias("borough"))
 
 
+def stored_borough_map(trusted: DataFrame) -> DataFrame:
+    """:func:`zip_borough_map`, computed now and written to the shared folder."""
+    return materialised(zip_borough_map(trusted), "borough-map")
+
+
 def borough_repair(records: DataFrame, zmap: DataFrame) -> DataFrame:
     """Borough := map[zip] for every row.
 
     The original keeps a borough only where it already equals the mapped
     one, so the net effect is an unconditional overwrite; a zip missing from
-    the map gets NULL. The map has one row per zip: adaptive execution turns
-    the join into a broadcast when the map's measured size is small, and
-    keeps the shuffle join otherwise.
+    the map gets NULL. The map has one row per zip and comes stored
+    (:func:`stored_borough_map`), so the planner knows its size: under the
+    broadcast threshold no record is shuffled, beyond it the join shuffles
+    and adaptive execution splits skewed zips.
     """
     out = records.drop("borough").join(zmap, "zip_code", "left")
     return out.select(*records.columns)
 
 
+def prepared(classified: DataFrame, classes: list[str], columns: list[str]) -> DataFrame:
+    """The rows and columns that a k-NN composition reads several times, written once to the shared folder.
+
+    The parsed columns and the class are then plain columns, so no later
+    filter repeats the parsing.
+    """
+    return materialised(C.of_class(classified, *classes).select(*columns, "cls"), "records")
+
+
 def training_points(classified: DataFrame) -> DataFrame:
     """Trusted rows as k-NN training points: ``tid, lat, lon, zip``."""
     return C.of_class(classified, C.TRUSTED).select(
@@ -58,12 +75,14 @@ def query_points(classified: DataFrame) -> DataFrame:
 
 def zip_neighbors(classified: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     """The k nearest trusted rows of every row to fill (O3): ``id, j, tid, zip_code, d2``."""
+    classified = prepared(classified, [C.TRUSTED, *C.NEEDS_ZIP], POINT_COLUMNS)
     nb = knn_neighbors(training_points(classified), query_points(classified), k)
     return nb.select(F.col("qid").alias("id"), "j", "tid", F.col("zip").alias("zip_code"), "d2")
 
 
 def fill_zip_codes(classified: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     """Predicted zip of every row to fill (J2 applied to F5 and F6 together, J3): ``id, zip_code``."""
+    classified = prepared(classified, [C.TRUSTED, *C.NEEDS_ZIP], POINT_COLUMNS)
     pred = knn_fill(training_points(classified), query_points(classified), k)
     return pred.select(F.col("qid").alias("id"), F.col("zip").alias("zip_code"))
 
@@ -90,7 +109,8 @@ def filled_records(classified: DataFrame, k: int = DEFAULT_K) -> DataFrame:
 
 def repaired_records(classified: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     """Fill zips by k-NN, then overwrite boroughs from the map learned on trusted rows."""
-    zmap = zip_borough_map(C.of_class(classified, C.TRUSTED))
+    classified = prepared(classified, C.FILLABLE, RECORD_OUT[:-1])
+    zmap = stored_borough_map(C.of_class(classified, C.TRUSTED))
     return borough_repair(filled_records(classified, k), zmap)
 
 

@@ -9,10 +9,12 @@ date) appear only where the parameter is the feature itself.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyzone.constants import CITYWIDE
+from tallyzone.constants import CITYWIDE, SCOPES
 from tallyzone.functions import periods as P
 from tallyzone.functions.values import pad_zip, rename_bronx
 from tallyzone.operators import classify as C
@@ -20,11 +22,13 @@ from tallyzone.operators import layer as L
 from tallyzone.operators import lookup as LK
 from tallyzone.operators import rank as R
 from tallyzone.operators import repair as RP
-from tallyzone.plans.pipeline import classified_records, fetch_and_aggregate, raw_records
-from tallyzone.session import shared_dir
+from tallyzone.operators.knn import knn_neighbors
+from tallyzone.plans.pipeline import (classified_records, default_report, fetch_and_aggregate, raw_records,
+                                      requested_report)
+from tallyzone.session import materialised, shared_dir
 from tallyzone.sources import store as S
-from tallyzone.sources.layer import layer_from_customers
-from tallyzone.sources.records import assign_row_id, fixture_records, table
+from tallyzone.sources.layer import layer_from_customers, read_layer
+from tallyzone.sources.records import assign_row_id, fixture_records, period_scan, read_records, table
 
 # Request parameters of the feature-level queries.
 DEMO_PERIOD = ((1995, 1), (1995, 6))
@@ -34,7 +38,10 @@ DEMO_ZIP = "10042"
 DEMO_PREFIX = "1010"
 DEMO_AS_OF = "2000-06-15"
 DEMO_EARLIEST = (1996, 8)
-FULL_PERIOD = ((1995, 1), (2001, 8))
+DEMO_VISIT = "1998-06-15"
+DEMO_REQUESTS = (((1996, 8), (1996, 12)), ((1990, 1), (1990, 2)), ((1997, 3), (1997, 2)), ((2000, 6), (2000, 6)))
+EMPTY_PERIOD = ((1990, 1), (1990, 12))
+STRESS_K = 5
 
 
 def _agg(spark, sf):
@@ -80,9 +87,33 @@ def q_aggregate_roundtrip(spark, sf):
 
 def q_load_or_build(spark, sf):
     base = shared_dir(spark, "store")
-    start, end = FULL_PERIOD
-    return S.load_or_build(spark, base, start, end,
-                           lambda: fetch_and_aggregate(spark, sf, FULL_PERIOD, sort=False))
+    first, last = raw_records(spark, sf).agg(F.min(F.struct("year", "month")), F.max(F.struct("year", "month"))).first()
+    start, end = tuple(first), tuple(last)
+
+    def once():
+        return S.load_or_build(spark, base, start, end,
+                               lambda: fetch_and_aggregate(spark, sf, (start, end), sort=False))
+
+    once()
+    return once()  # the stored one
+
+
+def q_replaced_aggregate(spark, sf):
+    path = shared_dir(spark, "aggregate")
+    agg = materialised(_agg(spark, sf), "aggregate")
+    S.save_aggregate(agg.where(F.col("zip_code") % 2 == 0), path)
+    S.save_aggregate(agg, path)
+    return S.read_aggregate(spark, path)
+
+
+def q_stored_period_scan(spark, sf):
+    path = shared_dir(spark, "records")
+    raw_records(spark, sf).write.partitionBy("year", "month").parquet(path)
+    return period_scan(read_records(spark, path), *DEMO_PERIOD)
+
+
+def q_empty_period(spark, sf):
+    return fetch_and_aggregate(spark, sf, EMPTY_PERIOD, sort=False)
 
 
 # --- classes and filters ------------------------------------------------------
@@ -121,7 +152,7 @@ def q_borough_rename(spark, sf):
 
 def q_borough_repair(spark, sf):
     cls = _cls(spark, sf)
-    zmap = RP.zip_borough_map(C.of_class(cls, C.TRUSTED))
+    zmap = RP.stored_borough_map(C.of_class(cls, C.TRUSTED))
     rows = C.of_class(cls, *C.ZIP_PRESENT).select("id", "zip_code", "borough")
     return RP.borough_repair(rows, zmap)
 
@@ -139,8 +170,19 @@ def q_repaired_records(spark, sf):
 
 
 def q_union_distinct(spark, sf):
-    rep = RP.repaired_records(_cls(spark, sf))
-    return RP.union_distinct([rep.where(F.col("cls") == c) for c in C.FILLABLE])
+    # Every third record comes in twice, as if two classes had claimed it.
+    times = F.when(F.col("id") % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    rows = RP.repaired_records(_cls(spark, sf)).withColumn("copy", F.explode(times)).drop("copy")
+    return RP.union_distinct([rows])
+
+
+def q_knn_neighbors_stress(spark, sf):
+    """Clusters and near-ties: the first two entries of every vector, every tenth vector a query."""
+    points = table(spark, sf, "embeddings").select(
+        "vec_id", F.col("embedding")[0].alias("lat"), F.col("embedding")[1].alias("lon"), F.col("label").alias("zip"))
+    train = points.where(F.col("vec_id") % 10 != 0).withColumnRenamed("vec_id", "tid")
+    asked = points.where(F.col("vec_id") % 10 == 0).withColumnRenamed("vec_id", "qid")
+    return knn_neighbors(train, asked, STRESS_K).select(F.col("qid").alias("id"), "j", "tid", "zip", "d2")
 
 
 # --- aggregates and reports -------------------------------------------------------
@@ -158,6 +200,26 @@ def q_scope_summary(spark, sf):
         "scope", "total_crashes", "n_areas", "average_crashes_per_zip")
 
 
+def q_report_totals(spark, sf):
+    agg = materialised(_agg(spark, sf), "aggregate")
+    return reduce(DataFrame.unionByName, [
+        R.scope_totals(agg, s).select(F.lit(s).alias("scope"), "total_crashes", "average_crashes_per_zip")
+        for s in SCOPES])
+
+
+def q_default_report(spark, sf):
+    base = shared_dir(spark, "store")
+    default_report(spark, sf, base, DEMO_VISIT)  # the first visit builds and stores
+    return default_report(spark, sf, base, DEMO_VISIT).table
+
+
+def q_validated_request(spark, sf):
+    reports = [(i, requested_report(spark, sf, start, end, DEMO_AS_OF, earliest=DEMO_EARLIEST))
+               for i, (start, end) in enumerate(DEMO_REQUESTS)]
+    return reduce(DataFrame.unionByName, [
+        r.table.withColumn("request", F.lit(i)) for i, r in reports if r is not None])
+
+
 def q_rank_citywide(spark, sf):
     return _citywide(spark, sf).select("zip_code", "total_crashes", "rank")
 
@@ -224,8 +286,19 @@ def q_layer_join(spark, sf):
     return L.layer_join(_layer(spark, sf), _citywide(spark, sf), CITYWIDE)
 
 
+def _rounded(df, digits=9):
+    scale = float(10 ** digits)
+    return df.withColumns({c: F.rint(F.col(c) * scale) / scale for c in ("centroid_x", "centroid_y")})
+
+
 def q_layer_centroid(spark, sf):
-    return L.layer_centroid(_layer(spark, sf))
+    return _rounded(L.layer_centroid(_layer(spark, sf)))
+
+
+def q_stored_layer(spark, sf):
+    path = shared_dir(spark, "layer")
+    _layer(spark, sf).write.parquet(path)
+    return L.layer_keys(read_layer(spark, path)).select("zip_text", "part", "ring", "seq", "x", "y")
 
 
 def q_layer_labels(spark, sf):
@@ -233,7 +306,7 @@ def q_layer_labels(spark, sf):
 
 
 def q_layer_table(spark, sf):
-    return L.layer_table(_layer(spark, sf), _citywide(spark, sf), CITYWIDE)
+    return _rounded(L.layer_table(_layer(spark, sf), _citywide(spark, sf), CITYWIDE))
 
 
 # --- periods ----------------------------------------------------------------------------
@@ -273,6 +346,12 @@ def q_period_validity(spark, sf):
     )
 
 
+def q_current_month(spark, sf):
+    """Records of the current month of each year up to now."""
+    m = _month_counts(spark, sf)
+    return m.where((F.col("month") == P.current_month(DEMO_AS_OF)) & (F.col("year") <= P.current_year(DEMO_AS_OF)))
+
+
 def q_default_period(spark, sf):
     m = _month_counts(spark, sf)
     visit = P.month_start("year", "month")
@@ -307,6 +386,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "borough_repair": q_borough_repair,
     "knn_neighbors": q_knn_neighbors,
     "knn_zip_vote": q_knn_zip_vote,
+    "knn_neighbors_stress": q_knn_neighbors_stress,
     "repaired_records": q_repaired_records,
     "union_distinct": q_union_distinct,
     "crashes_by_zip": q_crashes_by_zip,
@@ -337,4 +417,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "period_validity": q_period_validity,
     "default_period": q_default_period,
     "period_label": q_period_label,
+    "replaced_aggregate": q_replaced_aggregate,
+    "stored_period_scan": q_stored_period_scan,
+    "empty_period": q_empty_period,
+    "report_totals": q_report_totals,
+    "default_report": q_default_report,
+    "validated_request": q_validated_request,
+    "stored_layer": q_stored_layer,
+    "current_month": q_current_month,
 }

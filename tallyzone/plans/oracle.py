@@ -10,7 +10,7 @@ them DOUBLE; 2-decimal rounding is half-to-even on the scaled double.
 from __future__ import annotations
 
 from tallyzone.plans.catalog import DEMO_AS_OF, DEMO_EARLIEST, DEMO_LAYER_SCOPE, DEMO_PERIOD, \
-    DEMO_PREFIX, DEMO_SCOPE, DEMO_ZIP
+    DEMO_PREFIX, DEMO_REQUESTS, DEMO_SCOPE, DEMO_VISIT, DEMO_ZIP, EMPTY_PERIOD, STRESS_K
 
 RAW = """
 raw AS (
@@ -135,12 +135,17 @@ ranked1 AS (
   SELECT *, round_even(CAST(scope_total AS DOUBLE) / n_areas * 100, 0) / 100 AS scope_average
   FROM ranked0
 ),
+edges10 AS (
+  SELECT n, CASE WHEN v - floor(v) >= 5e-1 THEN (floor(v) + 2) - (1e0 - (v - floor(v)))
+                 ELSE (floor(v) + 1) + (v - floor(v)) END AS edge
+  FROM (SELECT n_areas AS n, (i * 1e-1 * 1e2 / 1e2) * (n_areas - 1) AS v
+        FROM (SELECT DISTINCT n_areas FROM ranked1), (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8, 9]) AS i))
+),
 ranked AS (
   SELECT scope, zip_code, borough, total_crashes, rank,
     CASE WHEN scope_average = 0 THEN NULL
          ELSE round_even(total_crashes / scope_average * 100, 0) / 100 END AS crash_likelihood,
-    CAST(CASE WHEN n_areas = 1 THEN 1
-              ELSE greatest(1, ceil(1e1 * (rank - 1) / (n_areas - 1))) END AS INTEGER) AS decile,
+    CAST(1 + (SELECT count(*) FROM edges10 e WHERE e.n = n_areas AND rank > e.edge) AS INTEGER) AS decile,
     n_areas, scope_total, scope_average
   FROM ranked1
 ),
@@ -151,10 +156,10 @@ city AS (
 
 LAYER = """
 cells AS (
-  SELECT c, c % 15 AS col, floor(c / 15) AS row,
+  SELECT c, c % 15 AS col, floor(c / 15) % 1000 AS row,
     CASE WHEN c % 15 = 3 THEN concat(' ', CAST(10001 + c AS VARCHAR), ' ')
          ELSE CAST(10001 + c AS VARCHAR) END AS modzcta
-  FROM (SELECT DISTINCT c_custkey % 180 AS c FROM customer)
+  FROM (SELECT DISTINCT c_custkey - 1 AS c FROM customer)
 ),
 rings AS (
   SELECT modzcta, 0 AS part, 0 AS ring, FALSE AS cw,
@@ -171,9 +176,6 @@ rings AS (
          -7.425e1 + 3.5e-2 * col, 4.05e1 + 3e-2 * row - 1.5e-2,
          -7.425e1 + 3.5e-2 * col + 1.75e-2, 4.05e1 + 3e-2 * row
   FROM cells WHERE row = 5
-  UNION ALL
-  SELECT '10181', 0, 0, FALSE, -7.425e1, 4.05e1 + 3e-2 * 12, -7.425e1 + 3.5e-2, 4.05e1 + 3e-2 * 12 + 3e-2
-  FROM cells WHERE c = 0
 ),
 layer AS (
   SELECT modzcta, part, ring, seq,
@@ -194,13 +196,13 @@ ljoin AS (
   FROM feats f LEFT JOIN padded p ON f.zip_text = p.zip_text
 ),
 edges AS (
-  SELECT trim(modzcta) AS zip_text, part, ring, x, y,
-    lead(x) OVER (PARTITION BY modzcta, part, ring ORDER BY seq) AS x2,
-    lead(y) OVER (PARTITION BY modzcta, part, ring ORDER BY seq) AS y2
-  FROM layer
+  SELECT zip_text, part, ring, ox, oy, x - ox AS x, y - oy AS y, x2 - ox AS x2, y2 - oy AS y2
+  FROM (SELECT trim(modzcta) AS zip_text, part, ring, x, y,
+          first_value(x) OVER w AS ox, first_value(y) OVER w AS oy, lead(x) OVER w AS x2, lead(y) OVER w AS y2
+        FROM layer WINDOW w AS (PARTITION BY modzcta, part, ring ORDER BY seq))
 ),
 ringsum AS (
-  SELECT zip_text, part, ring,
+  SELECT zip_text, part, ring, min(ox) AS ox, min(oy) AS oy,
     sum(x * y2 - x2 * y) AS s,
     sum((x + x2) * (x * y2 - x2 * y)) AS sx,
     sum((y + y2) * (x * y2 - x2 * y)) AS sy
@@ -208,8 +210,8 @@ ringsum AS (
 ),
 centroid AS (
   SELECT zip_text,
-    round_even(sum(a * sx / (s * 3e0)) / sum(a) * 1e9, 0) / 1e9 AS centroid_x,
-    round_even(sum(a * sy / (s * 3e0)) / sum(a) * 1e9, 0) / 1e9 AS centroid_y
+    round_even(sum(a * (ox + sx / (s * 3e0))) / sum(a) * 1e9, 0) / 1e9 AS centroid_x,
+    round_even(sum(a * (oy + sy / (s * 3e0))) / sum(a) * 1e9, 0) / 1e9 AS centroid_y
   FROM (SELECT *, (CASE WHEN ring = 0 THEN 1e0 ELSE -1e0 END) * abs(s) / 2e0 AS a FROM ringsum WHERE s <> 0)
   GROUP BY zip_text
 ),
@@ -228,8 +230,15 @@ months AS (SELECT year, month, count(*) AS n_records FROM raw GROUP BY year, mon
 _CTES = [RAW, TYPED, CLS, KNN, REPAIR, RANK, LAYER, MONTHS]
 
 
-def _q(select: str) -> str:
-    return "WITH " + ",".join(_CTES) + "\n" + select
+def _q(select: str, period=None) -> str:
+    """The query over all records, or over those of a period of (year, month) pairs."""
+    ctes = ",".join(_CTES)
+    if period is not None:
+        (sy, sm), (ey, em) = period
+        ctes = ctes.replace("  FROM orders\n", f"""  FROM orders
+  WHERE year(o_orderdate) * 100 + month(o_orderdate) BETWEEN {sy * 100 + sm} AND {ey * 100 + em}
+""")
+    return "WITH " + ctes + "\n" + select
 
 
 (_sy, _sm), (_ey, _em) = DEMO_PERIOD
@@ -352,3 +361,31 @@ LEFT JOIN months h ON h.year = a.default_year AND h.month = a.default_month"""),
 SELECT year, month, monthname(make_date(year, month, 1)) || ' ' || CAST(year AS VARCHAR) AS label, n_records
 FROM months"""),
 }
+
+_REPORT = "zip_code, borough, total_crashes, rank, crash_likelihood, decile"
+_vy, _vm = int(DEMO_VISIT[:4]), int(DEMO_VISIT[5:7])
+_VISIT = (_vy, _vm - 1) if _vm > 1 else (_vy - 1, 12)
+_now = (int(DEMO_AS_OF[:4]), int(DEMO_AS_OF[5:7]))
+_VALID = [(i, r) for i, r in enumerate(DEMO_REQUESTS) if DEMO_EARLIEST <= r[0] <= r[1] <= _now]
+
+ORACLE |= {
+    "knn_neighbors_stress": f"""
+WITH points AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, label FROM embeddings)
+SELECT q.vec_id AS id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY
+         (q.x - t.x) * (q.x - t.x) + (q.y - t.y) * (q.y - t.y), t.vec_id) AS INTEGER) AS j,
+       t.vec_id AS tid, t.label AS zip, (q.x - t.x) * (q.x - t.x) + (q.y - t.y) * (q.y - t.y) AS d2
+FROM points q CROSS JOIN points t WHERE q.vec_id % 10 = 0 AND t.vec_id % 10 <> 0
+QUALIFY j <= {STRESS_K}""",
+    "replaced_aggregate": _q("SELECT zip_code, borough, total_crashes FROM agg"),
+    "stored_period_scan": ORACLE["period_scan"],
+    "empty_period": _q("SELECT zip_code, borough, total_crashes FROM agg", EMPTY_PERIOD),
+    "report_totals": _q("""
+SELECT scope, max(scope_total) AS total_crashes, max(scope_average) AS average_crashes_per_zip
+FROM ranked GROUP BY scope"""),
+    "default_report": _q(f"SELECT {_REPORT} FROM city", (_VISIT, _VISIT)),
+    "validated_request": " UNION ALL ".join(
+        f"SELECT * FROM ({_q(f'SELECT {i} AS request, {_REPORT} FROM city', r)})" for i, r in _VALID),
+    "stored_layer": _q("SELECT trim(modzcta) AS zip_text, part, ring, CAST(seq AS INTEGER) AS seq, x, y FROM layer"),
+    "current_month": _q(f"""
+SELECT year, month, n_records FROM months WHERE month = month({_AS_OF}) AND year <= year({_AS_OF})"""),
+}

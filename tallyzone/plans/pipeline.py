@@ -1,6 +1,8 @@
 """End-to-end compositions (E1-E5) over a folder of given tables.
 
-Every function builds a lazy DataFrame plan; nothing is collected. The
+Building a plan that fills zips or ranks areas runs jobs: what is read more
+than once (k-NN cells, the borough map, ranked positions) is written to the
+shared folder on the way. Nothing of the data's size is collected. The
 record table is derived from ``orders`` (see :mod:`tallyzone.sources.records`);
 on a real deployment :func:`tallyzone.sources.records.read_records` takes
 its place and everything downstream is unchanged.
@@ -8,18 +10,19 @@ its place and everything downstream is unchanged.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyzone.constants import DEFAULT_K
+from tallyzone.constants import DEFAULT_K, EARLIEST_MONTH, EARLIEST_YEAR
+from tallyzone.functions.periods import previous_period, request_valid
 from tallyzone.operators import classify as C
 from tallyzone.operators.aggregate import crashes_by_zip
 from tallyzone.operators.layer import layer_table
 from tallyzone.operators.lookup import area_lookup
-from tallyzone.operators.rank import area_report
+from tallyzone.operators.rank import Report, area_report, full_report
+from tallyzone.session import materialised
 from tallyzone.sources.layer import layer_from_customers
-from tallyzone.session import spread
 from tallyzone.sources.records import fixture_records, table
+from tallyzone.sources.store import load_or_build
 
 
 def raw_records(spark: SparkSession, sf_dir: str, period=None) -> DataFrame:
@@ -27,16 +30,8 @@ def raw_records(spark: SparkSession, sf_dir: str, period=None) -> DataFrame:
 
 
 def classified_records(spark: SparkSession, sf_dir: str, period=None) -> DataFrame:
-    """Typed records with their presence class, persisted.
-
-    Every later stage reads this table several times (training points,
-    query points, rows with zips, the borough map). Persisting it means one
-    scan and one parse per run, and it stops the optimizer from inlining
-    the parse expressions into every class filter. Lost blocks are
-    recomputed from the (deterministic) lineage.
-    """
-    raw = spread(raw_records(spark, sf_dir, period), "id")
-    return C.with_class(C.typed_records(raw)).persist(StorageLevel.MEMORY_AND_DISK)
+    """Typed records with their presence class; scans read the columns that a query needs, nothing is cached."""
+    return C.with_class(C.typed_records(raw_records(spark, sf_dir, period)))
 
 
 def fetch_and_aggregate(spark: SparkSession, sf_dir: str, period=None, k: int = DEFAULT_K,
@@ -61,3 +56,19 @@ def map_layer(spark: SparkSession, sf_dir: str, scope: str | None = None, period
     """E5: the layer table of one scope."""
     rep = area_report(fetch_and_aggregate(spark, sf_dir, period, k, sort=False), scope)
     return layer_table(layer_from_customers(table(spark, sf_dir, "customer")), rep, scope)
+
+
+def default_report(spark: SparkSession, sf_dir: str, base: str, as_of, scope: str | None = None) -> Report:
+    """First visit: the month before ``as_of``, from its stored aggregate in ``base`` or built and stored there."""
+    month = previous_period(as_of)
+    agg = load_or_build(spark, base, month, month,
+                        lambda: fetch_and_aggregate(spark, sf_dir, (month, month), sort=False))
+    return full_report(agg, scope)
+
+
+def requested_report(spark: SparkSession, sf_dir: str, start, end, as_of, scope: str | None = None,
+                     earliest=(EARLIEST_YEAR, EARLIEST_MONTH)) -> Report | None:
+    """A request: always fetched anew if the period is valid, None (keep what is shown) if it isn't."""
+    if not request_valid(start, end, as_of, earliest):
+        return None
+    return full_report(materialised(fetch_and_aggregate(spark, sf_dir, (start, end), sort=False), "request"), scope)

@@ -11,7 +11,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
@@ -80,25 +80,13 @@ def shared_dir(spark: SparkSession, name: str = "tallyzone") -> str:
     return f"{folder}/data"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make sure reliable checkpoint() has a folder (same rule as shared_dir)."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        shared_dir(spark)
+def materialised(df: DataFrame, name: str = "tallyzone") -> DataFrame:
+    """``df`` written once to the shared folder and read back.
 
-
-def spread(df, key: str):
-    """Hash-partition ``df`` by ``key`` only when the scan gives fewer splits than task slots.
-
-    A big table arrives in thousands of splits and is left alone (no
-    shuffle). A small file with a single row group arrives as one split;
-    without this, every narrow step before the first shuffle would run in
-    one task. Sessions without RDD access (Spark Connect) keep ``df`` as is.
+    Cuts the lineage for what is read more than once. Any executor can read
+    it, the planner knows its size, and it goes with the session's other
+    scratch folders.
     """
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # no RDD API in this session
-        return df
-    if splits >= slots:
-        return df
-    return df.repartition(slots, key)
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
