@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from tallyzone.operators import knn
 from tallyzone.operators.knn import knn_neighbors, knn_vote
 
 
@@ -51,14 +52,14 @@ def _points(seed, n_train, n_query):
     return train, queries
 
 
-@pytest.mark.parametrize("seed,k,dense", [(1, 5, None), (2, 3, None), (3, 7, None),
-                                          (1, 5, 20), (4, 3, 8)])
-def test_grid_equals_brute_force(spark, seed, k, dense):
+@pytest.mark.parametrize("seed,k,leaf", [(1, 5, 32), (3, 7, 32), (4, 3, 2)])
+def test_grid_equals_brute_force(spark, seed, k, leaf, monkeypatch):
+    monkeypatch.setattr(knn, "LEAF", leaf)
     train, queries = _points(seed, 900, 120)
     tdf = spark.createDataFrame(train, "tid long, lat double, lon double, zip int")
     qdf = spark.createDataFrame(queries, "qid long, lat double, lon double")
     got = {}
-    for r in knn_neighbors(tdf, qdf, k, dense=dense).collect():
+    for r in knn_neighbors(tdf, qdf, k).collect():
         got.setdefault(r["qid"], []).append((r["j"], r["tid"], r["zip"]))
     want = _brute(train, queries, k)
     assert set(got) == set(want)
@@ -67,6 +68,17 @@ def test_grid_equals_brute_force(spark, seed, k, dense):
         assert [(t, z) for _, t, z in rows] == want[qid], qid
 
 
+def test_candidates_stay_few_next_to_a_dense_cluster(spark):
+    # 20,000 points in one cluster and 400 queries outside it: the whole product would be 8,000,000 rows
+    rng = np.random.default_rng(7)
+    train = [(i, _as32(40.7 + rng.normal() * 2e-4), _as32(-73.9 + rng.normal() * 2e-4), 10001) for i in range(20_000)]
+    queries = [(i, _as32(40.0 + rng.random() * 1.5), _as32(-74.6 + rng.random() * 1.5)) for i in range(400)]
+    tdf = spark.createDataFrame(train, "tid long, lat double, lon double, zip int")
+    qdf = spark.createDataFrame(queries, "qid long, lat double, lon double")
+    per = knn.candidates(tdf, qdf, 5).groupBy("qlat", "qlon").count().agg({"count": "max"}).first()[0]
+    assert per <= 3000
+
+
 def test_vote_ties_smallest_zip(spark):
     nb = spark.createDataFrame(
         [(1, 1, 10, 10005), (1, 2, 11, 10003), (1, 3, 12, 10005), (1, 4, 13, 10003), (1, 5, 14, 10009),

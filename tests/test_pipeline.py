@@ -7,11 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from tallyzone.plans.catalog import QUERIES
+from tallyzone.plans.oracle import ORACLE
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 
-TABLES = ["orders", "customer"]
+TABLES = ["orders", "customer", "embeddings"]
 
 
 def _duck():
@@ -33,11 +35,12 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_oracle_or_reason():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert set(ORACLE) == set(QUERIES) and set(QUERIES) <= set(E.queries())
 
 
 @pytest.mark.parametrize("key", ["crashes_by_zip", "area_report_all", "knn_neighbors", "area_lookup_all",
-                                 "layer_table", "decile_rollup", "period_validity", "assign_row_id"])
+                                 "layer_table", "period_validity", "assign_row_id", "knn_neighbors_stress",
+                                 "union_distinct", "default_report", "validated_request", "empty_period"])
 def test_matches_oracle(spark, key):
     df = E.queries()[key](spark, SF)
     got = _rows([tuple(r) for r in df.collect()], df.columns)
@@ -117,3 +120,36 @@ def test_search_matches_lookup(spark):
     assert one == [every[10042]]
     assert search(spark, SF, "10042x").count() == 0
     assert search(spark, SF, "99999").count() == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("key,absent", [
+    ("class_counts", "o_totalprice"), ("null_counts", "o_totalprice"), ("fillable_records", "o_totalprice"),
+    ("zip_borough_counts", "o_totalprice"), ("zip_borough_map", "o_totalprice"), ("borough_rename", "o_totalprice")])
+def test_one_pass_queries_cache_nothing_and_read_few_columns(spark, key, absent):
+    plan = _plan(E.queries()[key](spark, SF))
+    assert "InMemoryTableScan" not in plan and "InMemoryRelation" not in plan
+    assert absent not in plan
+
+
+def test_repair_shuffles_no_record(spark):
+    plan = _plan(E.queries()["borough_repair"](spark, SF))
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning(zip_code" not in plan
+
+
+def test_duplicates_come_in_and_go(spark):
+    assert E.queries()["union_distinct"](spark, SF).count() == E.queries()["repaired_records"](spark, SF).count()
+
+
+def test_lookup_reads_the_ranking_once(spark):
+    plan = _plan(E.queries()["area_lookup"](spark, SF))
+    assert "orders.parquet" not in plan
+
+
+def test_stored_records_prune_partitions(spark):
+    plan = _plan(E.queries()["stored_period_scan"](spark, SF))
+    part = plan[plan.index("PartitionFilters"):].split("PushedFilters")[0]
+    assert "year" in part and "month" in part
