@@ -8,11 +8,11 @@
    and an orthonormal basis of it. The benchmark's own passages are stacked
    below the corpus with a weight that keeps each of them in the range, so
    an item that the corpus holds once is not lost among frequent terms.
-3. Windows of every document, of each item's length and at steps of an
-   eighth of it, are embedded by running sums; a window is a candidate of an
-   item at a cosine of ``COSINE``. A window's norm counts all of its words,
-   so windows whose benchmark words can't reach the cosine are left out
-   before the product; that bound loses nothing.
+3. Windows of every document, of about each item's length and at steps of
+   a quarter of it, are embedded by sums; a window is a candidate of an item
+   at a cosine of ``COSINE``, relative to that of the item's own text (the
+   latent space keeps a part of it). A window's norm counts all of its words, so a window whose
+   benchmark words hold less than ``COSINE ** 2`` of its weight is none.
 4. A candidate's surroundings are compared with the item by longest common
    subsequence of words, and so is the item's answer (its last sentence, or
    its last quarter); both must hold.
@@ -40,6 +40,7 @@ from tallyzone.llm.common import Words, mapped, read_table, slices, starts, stor
 
 PASSAGE, RANK, BUCKETS = 64, 64, 1 << 18
 COSINE, LCS, ANSWER = 0.6, 0.7, 0.6
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
@@ -47,7 +48,10 @@ def hash_words(new: list[bytes]) -> tuple[np.ndarray]:
     """Hash of each word without case and punctuation; zero for what has no letter or digit."""
     out = np.zeros(len(new), np.uint32)
     for i, word in enumerate(new):
-        if plain := "".join(WORD.findall(word.decode("utf-8", "replace").lower())):
+        plain = word.strip(PUNCTUATION).lower()
+        if not plain.isalnum():  # not only ASCII letters and digits
+            plain = "".join(WORD.findall(word.decode("utf-8", "replace").lower())).encode()
+        if plain:
             out[i] = xxhash.xxh32_intdigest(plain) or 1
     return (out,)
 
@@ -115,7 +119,7 @@ class Benchmark:
     ids: list
     words: list[np.ndarray]
     answers: list[np.ndarray]
-    terms: np.ndarray  # sorted distinct hashes
+    terms: np.ndarray | None  # sorted distinct hashes
 
     @classmethod
     def read(cls, rows: list[tuple]) -> "Benchmark":
@@ -139,13 +143,17 @@ class Benchmark:
 
 def find_terms(terms: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions in ``flat`` of words that are benchmark terms, and their numbers."""
-    at = np.minimum(np.searchsorted(terms, flat), len(terms) - 1)
-    hit = np.flatnonzero(terms[at] == flat)
-    return hit, at[hit]
+    able = np.zeros(BUCKETS, bool)
+    able[terms & (BUCKETS - 1)] = True
+    maybe = np.flatnonzero(able[flat & (BUCKETS - 1)])
+    if not len(terms):
+        return maybe, maybe
+    at = np.minimum(np.searchsorted(terms, flat[maybe]), len(terms) - 1)
+    hit = terms[at] == flat[maybe]
+    return maybe[hit], at[hit]
 
 
-def range_rows(weights: np.ndarray, test: np.ndarray, terms: np.ndarray, at: np.ndarray, of: np.ndarray,
-               passages: int) -> np.ndarray:
+def range_rows(weights: np.ndarray, test: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
     """``A^T A G`` of some passages; ``at`` and ``of`` give each word's term and passage (in order)."""
     scaled = test * weights[:, None]
     first = np.flatnonzero(np.diff(of, prepend=-1))
@@ -167,19 +175,18 @@ def latent_basis(words: DataFrame, bench: Benchmark, idf: np.ndarray, passage: i
     m = len(bench.terms)
     test = np.random.default_rng(seed).normal(size=(m, min(rank, m))).astype(np.float32)
     weights = idf[bench.terms & (BUCKETS - 1)].astype(np.float32)
-    shared = spark.sparkContext.broadcast((bench.terms, weights, test))
+    kept = np.flatnonzero(weights)
+    shared = spark.sparkContext.broadcast((bench.terms[kept], weights[kept], test[kept]))
 
     def run(batches):
         terms, own, g = shared.value
         total = np.zeros(g.shape, np.float64)
         for batch in batches:
             flat, at = lists_of(batch)
-            of, n = passages_of(at, passage)
+            of, _ = passages_of(at, passage)
             for i in range(0, len(flat), 1 << 18):
                 hit, term = find_terms(terms, flat[i:i + (1 << 18)])
-                heavy = own[term] > 0
-                if heavy.any():
-                    total += range_rows(own, g, terms, term[heavy], of[i:i + (1 << 18)][hit[heavy]], n)
+                total += range_rows(own, g, term, of[i:i + (1 << 18)][hit])
         rows = np.flatnonzero(np.abs(total).sum(axis=1))
         yield pa.record_batch({"term": rows, "row": pa.FixedSizeListArray.from_arrays(
             pa.array(total[rows].ravel()), g.shape[1]).cast(pa.list_(pa.float64()))})
@@ -188,7 +195,7 @@ def latent_basis(words: DataFrame, bench: Benchmark, idf: np.ndarray, passage: i
     found = mapped(words, run, "term long, row array<double>").groupBy("term").agg(*sums).toArrow()
     corpus = np.zeros(test.shape)
     if found.num_rows:
-        corpus[found.column("term").to_numpy()] = np.column_stack(
+        corpus[kept[found.column("term").to_numpy()]] = np.column_stack(
             [found.column(f"c{i}").to_numpy() for i in range(test.shape[1])])
     own = np.zeros((len(bench.words), m))
     for i, w in enumerate(bench.words):
@@ -235,77 +242,83 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
     if not idf[bench.terms & (BUCKETS - 1)].any():  # a corpus too small to tell terms apart
         idf = np.ones(BUCKETS, np.float32)
     basis = latent_basis(words, bench, idf, PASSAGE, RANK)
-    own = basis * idf[bench.terms & (BUCKETS - 1)][:, None]
-    items = np.stack([own[np.searchsorted(bench.terms, w)].sum(axis=0) for w in bench.words])
-    items /= np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-9)
-    lengths = np.array([len(w) for w in bench.words])
-    # Windows of a few lengths: each item's is at most an eighth over its own.
-    sizes = np.unique(np.ceil(np.exp2(np.ceil(np.log2(np.maximum(lengths, 4)) * 6) / 6)).astype(int))
-    by_size = [(int(s), np.flatnonzero(sizes[np.searchsorted(sizes, np.maximum(lengths, 4))] == s)) for s in sizes]
-    shared = spark.sparkContext.broadcast((bench, own, items, idf, by_size))
+    weights = idf[bench.terms & (BUCKETS - 1)]
+    kept = weights > 0
+    terms, own = bench.terms[kept], (basis * weights[:, None])[kept]
+    items = np.zeros((len(bench.words), basis.shape[1]), np.float32)
+    whole = np.zeros(len(bench.words))
+    for i, w in enumerate(bench.words):
+        hit, term = find_terms(terms, w)
+        items[i] = own[term].sum(axis=0)
+        whole[i] = np.sqrt((idf[w & (BUCKETS - 1)] ** 2).sum())
+    length = np.linalg.norm(items, axis=1)
+    # Scaled by the part of the item that the latent space keeps, so that its own text has the cosine 1.
+    items *= (whole / np.maximum(length, 1e-9) ** 2)[:, None]
+    # Windows of a few lengths, each for the items up to it.
+    lengths = np.maximum([len(w) for w in bench.words], 4)
+    step_of = np.ceil(np.log2(lengths) * 2).astype(int)
+    by_size = [(int(np.ceil(2 ** (k / 2))), np.flatnonzero(step_of == k)) for k in np.unique(step_of).tolist()]
+    shared = spark.sparkContext.broadcast((
+        (bench.ids, bench.words, bench.answers), terms, own, items, idf, by_size))
 
     def candidates(flat, at):
-        bench, own, items, idf, by_size = shared.value
-        hit, term = find_terms(bench.terms, flat)
-        mass = starts_float(idf[flat & (BUCKETS - 1)] ** 2)
-        vectors = own[term]
-        inside = starts_float((idf[bench.terms & (BUCKETS - 1)] ** 2)[term])
-        doc_of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        _, terms, own, items, idf, by_size = shared.value
+        hit, term = find_terms(terms, flat)
+        square = idf[flat & (BUCKETS - 1)] ** 2
+        mass = starts_float(square)
+        inside = np.zeros(len(flat), np.float32)
+        inside[hit] = square[hit]
+        inside = starts_float(inside)
+        counts = np.diff(at)
         for size, ids in by_size:
-            step = max(1, size // 8)
-            begin = np.concatenate([np.arange(a, max(a + 1, b - size + step), step)
-                                    for a, b in zip(at[:-1], at[1:]) if b > a] or [np.zeros(0, np.int64)])
-            if not len(begin):
-                continue
-            end = np.minimum(begin + size, at[1:][doc_of[begin]])
-            first, last = np.searchsorted(hit, begin), np.searchsorted(hit, end)
+            step = max(1, size // 4)
+            per = np.where(counts > 0, 1 + -(-np.maximum(counts - size, 0) // step), 0)
+            doc = np.repeat(np.arange(len(counts)), per)
+            begin = at[doc] + (np.arange(len(doc)) - np.repeat(starts(per)[:-1], per)) * step
+            end = np.minimum(begin + size, at[doc + 1])
             norm2 = np.maximum(mass[end] - mass[begin], 1e-9)
-            able = (inside[last] - inside[first] >= (0.95 * cosine) ** 2 * norm2) & (last > first)
-            begin, end, first, last, norm2 = (x[able] for x in (begin, end, first, last, norm2))
+            able = inside[end] - inside[begin] >= cosine ** 2 * norm2
+            doc, begin, end, norm2 = doc[able], begin[able], end[able], norm2[able]
+            first, last = np.searchsorted(hit, begin), np.searchsorted(hit, end)
             for i in range(0, len(begin), 4096):
                 a, b = first[i:i + 4096], last[i:i + 4096]
                 flat_at = np.arange((b - a).sum()) + np.repeat(a - starts(b - a)[:-1], b - a)
-                sums = np.add.reduceat(vectors[flat_at], starts(b - a)[:-1], axis=0)
+                sums = np.add.reduceat(own[term[flat_at]], starts(b - a)[:-1], axis=0)
                 cos = sums @ items[ids].T / np.sqrt(norm2[i:i + 4096])[:, None]
                 w, j = np.nonzero(cos >= cosine)
                 for x, y in zip(w.tolist(), j.tolist()):
-                    yield (int(doc_of[begin[i + x]]), int(ids[y]), int(begin[i + x]), int(end[i + x]),
-                           float(cos[x, y]))
+                    yield (int(doc[i + x]), int(ids[y]), int(begin[i + x]), int(end[i + x]), float(cos[x, y]))
 
     def run(batches):
+        bench = Benchmark(*shared.value[0], None)
         for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
                 flat, at = lists_of(part)
-                if not len(flat):
-                    continue
-                bench, names, out = shared.value[0], part.column("id").to_pylist(), []
-                last = None
-                for doc, item, a, b, cos in sorted(candidates(flat, at), key=lambda x: x[:3]):
-                    n = len(bench.words[item])
-                    a, b = max(int(at[doc]), a - n // 4), min(int(at[doc + 1]), b + n // 4)
-                    if last and last[:2] == [doc, item]:
-                        last[4] = max(last[4], cos)
-                        if last[5] == last[6] == 1.0:  # nothing to gain
-                            continue
-                        if a < last[3] and b - last[2] <= 3 * n:
-                            continue_from = last[2]
-                        else:
-                            continue_from = a
-                        whole, answer = ratios(bench, item, flat[continue_from:b])
-                        if (whole, answer) > (last[5], last[6]):
-                            last[5:] = [whole, answer]
-                        last[2], last[3] = continue_from, b
+                names, found = part.column("id").to_pylist(), {}
+                # Windows of one item that touch are one place.
+                for doc, item, a, b, cos in sorted(candidates(flat, at)) if len(flat) else ():
+                    places = found.setdefault((doc, item), [])
+                    if places and a <= places[-1][1]:
+                        places[-1][1] = max(b, places[-1][1])
+                        places[-1][2] = max(cos, places[-1][2])
                     else:
-                        last = [doc, item, a, b, cos, *ratios(bench, item, flat[a:b])]
-                        out.append(last)
-                out = [x for x in out if x[5] >= least_lcs and x[6] >= least_answer]
+                        places.append([a, b, cos])
+                out = []
+                for (doc, item), places in found.items():
+                    room = len(bench.words[item]) // 2
+                    cos, most = max(p[2] for p in places), (0.0, 0.0)
+                    for a, b, _ in places:
+                        most = max(most, ratios(bench, item, flat[max(at[doc], a - room):min(at[doc + 1], b + room)]))
+                        if most == (1.0, 1.0):
+                            break
+                    if most[0] >= least_lcs and most[1] >= least_answer:
+                        out.append((doc, item, min(1.0, cos), *most))
                 if out:
                     yield pa.record_batch({
                         "id": pa.array([names[x[0]] for x in out], part.schema.field("id").type),
                         "item_id": pa.array([bench.ids[x[1]] for x in out], arrow_type(item_kind)),
-                        "cosine": [min(1.0, x[4]) for x in out], "lcs": [x[5] for x in out],
-                        "answer": [x[6] for x in out]})
+                        "cosine": [x[2] for x in out], "lcs": [x[3] for x in out], "answer": [x[4] for x in out]})
 
     return mapped(words, run, schema)
 
