@@ -31,9 +31,12 @@ FILLABLE = ZIP_PRESENT + NEEDS_ZIP
 DROPPED = [BOROUGH_ONLY, NOTHING, PARTIAL]
 
 
-def typed_records(raw: DataFrame) -> DataFrame:
-    """Zip text -> INT, borough -> string, coordinates -> float32 with NaN as NULL."""
-    return raw.select(
+def typed_records(raw: DataFrame, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Zip text -> INT, borough -> string, coordinates -> float32 with NaN as NULL.
+
+    With ``box`` (south, west, north, east) a pair outside of it counts as missing.
+    """
+    typed = raw.select(
         "id", "year", "month",
         parse_zip("zip_code").alias("zip_code"),
         F.col("borough").cast("string").alias("borough"),
@@ -41,15 +44,25 @@ def typed_records(raw: DataFrame) -> DataFrame:
         clean_coordinate("latitude").alias("latitude"),
         clean_coordinate("longitude").alias("longitude"),
     )
+    if box is None:
+        return typed
+    south, west, north, east = box
+    lat, lon = F.col("latitude"), F.col("longitude")
+    outside = ~(lat.between(south, north) & lon.between(west, east))
+    return typed.withColumns({c: F.when(outside, F.lit(None)).otherwise(F.col(c)) for c in ("latitude", "longitude")})
+
 
+def presence_class(partial_as_missing: bool = False):
+    """The ``cls`` column. An empty-string borough counts as present.
 
-def presence_class():
-    """The ``cls`` column. An empty-string borough counts as present."""
+    A row with one coordinate of two matches no class, or, with
+    ``partial_as_missing``, the class without coordinates.
+    """
     z = F.col("zip_code").isNotNull()
     lat, lon = F.col("latitude").isNotNull(), F.col("longitude").isNotNull()
     b = F.col("borough").isNotNull()
     c = lat & lon
-    no_c = ~lat & ~lon
+    no_c = ~c if partial_as_missing else ~lat & ~lon
     return (
         F.when(~(c | no_c), F.lit(PARTIAL))
         .when(z & c & b, F.lit(TRUSTED))
@@ -63,8 +76,8 @@ def presence_class():
     )
 
 
-def with_class(typed: DataFrame) -> DataFrame:
-    return typed.withColumn("cls", presence_class())
+def with_class(typed: DataFrame, partial_as_missing: bool = False) -> DataFrame:
+    return typed.withColumn("cls", presence_class(partial_as_missing))
 
 
 def of_class(classified: DataFrame, *classes: str) -> DataFrame:

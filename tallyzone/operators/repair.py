@@ -37,17 +37,19 @@ def stored_borough_map(trusted: DataFrame) -> DataFrame:
     return materialised(zip_borough_map(trusted), "borough-map")
 
 
-def borough_repair(records: DataFrame, zmap: DataFrame) -> DataFrame:
+def borough_repair(records: DataFrame, zmap: DataFrame, keep_unmapped: bool = False) -> DataFrame:
     """Borough := map[zip] for every row.
 
     The original keeps a borough only where it already equals the mapped
     one, so the net effect is an unconditional overwrite; a zip missing from
-    the map gets NULL. The map has one row per zip and comes stored
+    the map gets NULL, or keeps its borough with ``keep_unmapped``. The map has one row per zip and comes stored
     (:func:`stored_borough_map`), so the planner knows its size: under the
     broadcast threshold no record is shuffled, beyond it the join shuffles
     and adaptive execution splits skewed zips.
     """
-    out = records.drop("borough").join(zmap, "zip_code", "left")
+    out = records.withColumnRenamed("borough", "_own").join(zmap, "zip_code", "left")
+    if keep_unmapped:
+        out = out.withColumn("borough", F.coalesce("borough", "_own"))
     return out.select(*records.columns)
 
 

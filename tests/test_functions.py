@@ -134,3 +134,21 @@ def test_empty_scope_has_total_zero(spark):
     assert tuple(R.full_report(agg, "Brooklyn").totals.first()) == (0, None)
     table, totals = R.full_report(agg, "Queens")
     assert table.count() == 2 and tuple(totals.first()) == (7, 3.5)
+
+
+def test_options_for_coordinates_and_boroughs(spark):
+    from tallyzone.operators import classify as C
+    from tallyzone.operators import repair as RP
+    raw = spark.createDataFrame(
+        [(1, 2020, 1, "10001", "Queens", 1, 40.7, -73.9), (2, 2020, 1, "10001", None, 1, 40.7, None),
+         (3, 2020, 1, None, "Queens", 1, 0.0, 0.0)],
+        "id long, year int, month int, zip_code string, borough string, crash_count int, latitude double, longitude double")
+    kinds = lambda df, **o: [r["cls"] for r in C.with_class(df, **o).orderBy("id").collect()]
+    assert kinds(C.typed_records(raw)) == [C.TRUSTED, C.PARTIAL, C.COORDS_BOROUGH]
+    assert kinds(C.typed_records(raw), partial_as_missing=True) == [C.TRUSTED, C.ZIP_ONLY, C.COORDS_BOROUGH]
+    boxed = C.typed_records(raw, box=(40.0, -75.0, 41.0, -73.0))
+    assert kinds(boxed) == [C.TRUSTED, C.PARTIAL, C.BOROUGH_ONLY]
+    rows = spark.createDataFrame([(1, 10001, "Queens"), (2, 10009, "Queens")], "id long, zip_code int, borough string")
+    zmap = spark.createDataFrame([(10001, "Bronx")], "zip_code int, borough string")
+    got = lambda **o: [r["borough"] for r in RP.borough_repair(rows, zmap, **o).orderBy("id").collect()]
+    assert got() == ["Bronx", None] and got(keep_unmapped=True) == ["Bronx", "Queens"]
