@@ -36,6 +36,8 @@ from tallyzone.llm.common import Words, mapped, read_table, slices, starts, stor
 
 CAPACITY, END, GROUPS = 2048, 0, 192
 TOKENIZER = "word_bpe_49k.json"
+#: Words whose ids a worker keeps at hand before it starts anew.
+CACHED_WORDS = 1_000_000
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -52,46 +54,60 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self.tokenizer.encode("\x01", add_special_tokens=False).ids
-        self.words = Words(self.encode_words, most=400_000)
+        self.words = Words(self.encode_words, most=CACHED_WORDS)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def encode_words(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if not self.words.arrays:
+        """Where each word's ids begin in ``flat``, and how many there are."""
+        if self.words.arrays is None:
             self.used = 0
-        lists: list[np.ndarray] = []
-        for i in range(0, len(new), 4096):
-            part = [w.decode("utf-8", "replace") for w in new[i:i + 4096]]
-            plain = len(self.mark) == 1 and not any("\x01" in w or "<|" in w for w in part)
+        flats, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(new), 8192):
+            joined = b" \x01 ".join(new[i:i + 8192]).decode("utf-8", "replace")
+            part = joined.split(" \x01 ")
+            plain = len(self.mark) == 1 and "<|" not in joined and len(part) == len(new[i:i + 8192])
             if plain:  # one call for all, a mark after each
-                ids = np.array(self.tokenizer.encode(" \x01 ".join(part) + " \x01", add_special_tokens=False).ids,
-                               np.uint32)
+                ids = np.array(self.tokenizer.encode(joined + " \x01", add_special_tokens=False).ids, np.uint32)
                 ends = np.flatnonzero(ids == self.mark[0])
                 plain = len(ends) == len(part)
             if plain:
-                lists += [x[1:] if j else x for j, x in enumerate(np.split(ids, ends))][:len(part)]
+                flats.append(ids[ids != self.mark[0]])
+                counts.append(np.diff(ends, prepend=-1) - 1)
             else:
-                lists += [np.array(e.ids, np.uint32) for e in
-                          self.tokenizer.encode_batch(part, add_special_tokens=False)]
-        counts = np.array([len(x) for x in lists], np.int64)
-        total = self.used + int(counts.sum())
+                lists = [e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
+                flats += [np.array(x, np.uint32) for x in lists]
+                counts.append(np.array([len(x) for x in lists], np.int64))
+        found, counts = np.concatenate(flats), np.concatenate(counts)
+        total = self.used + len(found)
         if total > len(self.flat):
             grown = np.zeros(2 * total, np.uint32)
             grown[:self.used] = self.flat[:self.used]
             self.flat = grown
         begin = self.used + starts(counts)[:-1]
-        if lists:
-            self.flat[self.used:total] = np.concatenate(lists)
+        self.flat[self.used:total] = found
         self.used = total
         return begin, counts
 
-    def __call__(self, text: str) -> np.ndarray:
-        if "<|" in text:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = utf8(text).split()
-        begin, counts = self.words(words)
+    def __call__(self, bodies: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        special = {i: self.tokenizer.encode(t, add_special_tokens=False).ids
+                   for i, t in enumerate(bodies) if "<|" in t}
+        lists = [[] if i in special else utf8(t).split() for i, t in enumerate(bodies)]
+        begin, counts = self.words([w for x in lists for w in x])
         before = starts(counts)
-        at = np.arange(before[-1]) + np.repeat(begin - before[:-1], counts)
-        return self.flat[at]
+        ids = self.flat[np.arange(before[-1]) + np.repeat(begin - before[:-1], counts)]
+        ends = before[np.cumsum([len(x) for x in lists])] if lists else []
+        return [np.array(special[i], np.uint32) if i in special else ids[a:b]
+                for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends))]
+
+
+TOKENS: dict[str, Tokens] = {}  # one for each worker process, kept over its tasks
+
+
+def tokens_of(path: str) -> Tokens:
+    if path not in TOKENS:
+        TOKENS[path] = Tokens(path)
+    return TOKENS[path]
 
 
 def cut(docs: DataFrame, path: str | None = None, id: str = "doc_id", text: str = "text",
@@ -100,11 +116,11 @@ def cut(docs: DataFrame, path: str | None = None, id: str = "doc_id", text: str
     path = path or public_tokenizers.path(TOKENIZER)
 
     def run(batches):
-        tokens = Tokens(path)
+        tokens = tokens_of(path)
         for batch in slices(batches):
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
-                ids = np.append(tokens(text), np.uint32(END)).astype("<u4")
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), tokens(texts(batch))):
+                ids = np.append(ids, np.uint32(END)).astype("<u4")
                 for piece, at in enumerate(range(0, len(ids), capacity)):
                     own = ids[at:at + capacity]
                     for k, v in zip(out, (doc, piece, at, len(own), zlib.crc32(own.tobytes()))):
