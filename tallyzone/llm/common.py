@@ -158,9 +158,13 @@ def answers(requests: DataFrame, answer: Callable[[list[bytes]], list[bytes | No
 
 
 def with_answers(chunks: DataFrame, replies: DataFrame) -> DataFrame:
-    """Chunks with ``replies``: list of (bucket, payload), empty where there are none."""
+    """Chunks with ``replies``: list of (bucket, payload), null where there are none.
+
+    A merge join at every size: answers grow with the corpus, so they aren't
+    broadcast where they happen to be few.
+    """
     by_chunk = replies.groupBy("chunk_id").agg(F.collect_list(F.struct("bucket", "payload")).alias("replies"))
-    return chunks.join(by_chunk, "chunk_id", "left")
+    return chunks.join(by_chunk.hint("merge"), "chunk_id", "left")
 
 
 class Words(dict):
