@@ -8,11 +8,12 @@
    and an orthonormal basis of it. The benchmark's own passages are stacked
    below the corpus with a weight that keeps each of them in the range, so
    an item that the corpus holds once is not lost among frequent terms.
-3. Windows of every document, of about each item's length and at steps of
-   a quarter of it, are embedded by sums; a window is a candidate of an item
-   at a cosine of ``COSINE``, relative to that of the item's own text (the
-   latent space keeps a part of it). A window's norm counts all of its words, so a window whose
-   benchmark words hold less than ``COSINE ** 2`` of its weight is none.
+3. Windows of every document, of each item's length (an eighth over it at
+   most) and at steps of an eighth of it, are embedded by running sums; a
+   window is a candidate of an item at a cosine of ``COSINE``, relative to
+   that of the item's own text (the latent space keeps a part of it). A
+   window's norm counts all of its words. Only windows without any benchmark
+   term, whose cosine is zero, are left out before the product.
 4. A candidate's surroundings are compared with the item by longest common
    subsequence of words, and so is the item's answer (its last sentence, or
    its last quarter); both must hold.
@@ -256,8 +257,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
     items *= (whole / np.maximum(length, 1e-9) ** 2)[:, None]
     # Windows of a few lengths, each for the items up to it.
     lengths = np.maximum([len(w) for w in bench.words], 4)
-    step_of = np.ceil(np.log2(lengths) * 2).astype(int)
-    by_size = [(int(np.ceil(2 ** (k / 2))), np.flatnonzero(step_of == k)) for k in np.unique(step_of).tolist()]
+    step_of = np.ceil(np.log2(lengths) * 6 - 1e-9).astype(int)
+    by_size = [(int(np.ceil(2 ** (k / 6) - 1e-9)), np.flatnonzero(step_of == k)) for k in np.unique(step_of).tolist()]
     shared = spark.sparkContext.broadcast((
         (bench.ids, bench.words, bench.answers), terms, own, items, idf, by_size))
 
@@ -266,24 +267,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
         hit, term = find_terms(terms, flat)
         square = idf[flat & (BUCKETS - 1)] ** 2
         mass = starts_float(square)
-        inside = np.zeros(len(flat), np.float32)
-        inside[hit] = square[hit]
-        inside = starts_float(inside)
+        before = starts(np.bincount(hit, minlength=len(flat)))
+        running = np.zeros((len(hit) + 1, own.shape[1]))
+        np.cumsum(own[term], axis=0, dtype=np.float64, out=running[1:])
         counts = np.diff(at)
         for size, ids in by_size:
-            step = max(1, size // 4)
+            step = max(1, size // 8)
             per = np.where(counts > 0, 1 + -(-np.maximum(counts - size, 0) // step), 0)
             doc = np.repeat(np.arange(len(counts)), per)
             begin = at[doc] + (np.arange(len(doc)) - np.repeat(starts(per)[:-1], per)) * step
             end = np.minimum(begin + size, at[doc + 1])
+            able = before[end] > before[begin]
+            doc, begin, end = doc[able], begin[able], end[able]
             norm2 = np.maximum(mass[end] - mass[begin], 1e-9)
-            able = inside[end] - inside[begin] >= cosine ** 2 * norm2
-            doc, begin, end, norm2 = doc[able], begin[able], end[able], norm2[able]
-            first, last = np.searchsorted(hit, begin), np.searchsorted(hit, end)
+            first, last = before[begin], before[end]
             for i in range(0, len(begin), 4096):
-                a, b = first[i:i + 4096], last[i:i + 4096]
-                flat_at = np.arange((b - a).sum()) + np.repeat(a - starts(b - a)[:-1], b - a)
-                sums = np.add.reduceat(own[term[flat_at]], starts(b - a)[:-1], axis=0)
+                sums = (running[last[i:i + 4096]] - running[first[i:i + 4096]]).astype(np.float32)
                 cos = sums @ items[ids].T / np.sqrt(norm2[i:i + 4096])[:, None]
                 w, j = np.nonzero(cos >= cosine)
                 for x, y in zip(w.tolist(), j.tolist()):

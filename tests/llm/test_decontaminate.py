@@ -57,3 +57,14 @@ def test_lcs_matches_dynamic_programming():
             for j in range(len(b)):
                 table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
         assert decontaminate.lcs(a, b) == table[-1, -1]
+
+
+def test_exact_copies_of_every_length_are_found(spark, make):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(200)]
+    items = [(n, " ".join(rng.choice(vocabulary) for _ in range(n))) for n in range(24, 64)]
+    other = lambda n: " ".join(f"x{rng.randrange(10**9)}" for _ in range(n))
+    rows = [(n, f"{other(rng.randint(70, 90))} {text} {other(rng.randint(70, 90))}") for n, text in items]
+    rows += [(100 + i, " ".join(rng.choice(vocabulary) for _ in range(60))) for i in range(100)]
+    found = decontaminate.contaminated(make(rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(n, n) for n, _ in items} <= {(r["id"], r["item_id"]) for r in found.collect()}
