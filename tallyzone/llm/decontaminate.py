@@ -14,6 +14,9 @@
    that of the item's own text (the latent space keeps a part of it). A
    window's norm counts all of its words. Only windows without any benchmark
    term, whose cosine is zero, are left out before the product.
+   Beside them, whatever the weights of its terms, an item is a candidate
+   where any ``SHINGLE`` words in a row of it are found (all of them if it
+   is shorter).
 4. A candidate's surroundings are compared with the item by longest common
    subsequence of words, and so is the item's answer (its last sentence, or
    its last quarter); both must hold.
@@ -39,7 +42,7 @@ from pyspark.sql import functions as F
 
 from tallyzone.llm.common import Words, mapped, read_table, slices, starts, stored, texts, utf8
 
-PASSAGE, RANK, BUCKETS = 64, 64, 1 << 18
+PASSAGE, RANK, BUCKETS, SHINGLE = 64, 64, 1 << 18, 4
 COSINE, LCS, ANSWER = 0.6, 0.7, 0.6
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -154,6 +157,49 @@ def find_terms(terms: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndar
     return maybe[hit], at[hit]
 
 
+def rolling(words: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the ``n`` words from each position on, as far as there are ``n``."""
+    count = max(0, len(words) - n + 1)
+    out = np.zeros(count, np.uint64)
+    for k in range(n):
+        out = (out ^ words[k:k + count]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def shingles_of(items: list[np.ndarray]) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(n, sorted hashes, items, offsets) of all runs of ``n`` words: ``SHINGLE``, or the whole of a shorter item."""
+    out = []
+    sizes = np.array([min(SHINGLE, len(w)) for w in items])
+    for n in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == n)
+        hashes = [rolling(items[i], n) for i in own.tolist()]
+        counts = np.array([len(h) for h in hashes])
+        keys = np.concatenate(hashes)
+        order = np.argsort(keys, kind="stable")
+        offset = np.arange(len(keys)) - np.repeat(starts(counts)[:-1], counts)
+        out.append((n, keys[order], np.repeat(own, counts)[order], offset[order]))
+    return out
+
+
+def shingle_places(shingles, lengths: np.ndarray, flat: np.ndarray, at: np.ndarray):
+    """Distinct (document, item, begin, end) where an item would lie by a run of words that it shares."""
+    found = [np.zeros((0, 3), np.int64)]
+    for n, keys, owner, offset in shingles:
+        own = rolling(flat, n)
+        able = np.zeros(BUCKETS, bool)
+        able[keys & np.uint64(BUCKETS - 1)] = True
+        maybe = np.flatnonzero(able[own & np.uint64(BUCKETS - 1)])
+        first = np.searchsorted(keys, own[maybe], "left")
+        times = np.searchsorted(keys, own[maybe], "right") - first
+        k = np.arange(times.sum()) + np.repeat(first - starts(times)[:-1], times)
+        where = np.repeat(maybe, times)
+        doc = np.searchsorted(at, where, "right") - 1
+        found.append(np.column_stack([doc, owner[k], np.maximum(at[doc], where - offset[k])]))
+    doc, item, begin = np.unique(np.concatenate(found), axis=0).T
+    return doc, item, begin, np.minimum(at[doc + 1], begin + lengths[item])
+
+
 def range_rows(weights: np.ndarray, test: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
     """``A^T A G`` of some passages; ``at`` and ``of`` give each word's term and passage (in order)."""
     scaled = test * weights[:, None]
@@ -176,8 +222,7 @@ def latent_basis(words: DataFrame, bench: Benchmark, idf: np.ndarray, passage: i
     m = len(bench.terms)
     test = np.random.default_rng(seed).normal(size=(m, min(rank, m))).astype(np.float32)
     weights = idf[bench.terms & (BUCKETS - 1)].astype(np.float32)
-    kept = np.flatnonzero(weights)
-    shared = spark.sparkContext.broadcast((bench.terms[kept], weights[kept], test[kept]))
+    shared = spark.sparkContext.broadcast((bench.terms, weights, test))
 
     def run(batches):
         terms, own, g = shared.value
@@ -196,7 +241,7 @@ def latent_basis(words: DataFrame, bench: Benchmark, idf: np.ndarray, passage: i
     found = mapped(words, run, "term long, row array<double>").groupBy("term").agg(*sums).toArrow()
     corpus = np.zeros(test.shape)
     if found.num_rows:
-        corpus[kept[found.column("term").to_numpy()]] = np.column_stack(
+        corpus[found.column("term").to_numpy()] = np.column_stack(
             [found.column(f"c{i}").to_numpy() for i in range(test.shape[1])])
     own = np.zeros((len(bench.words), m))
     for i, w in enumerate(bench.words):
@@ -238,14 +283,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
         return spark.createDataFrame([], schema)
     words = word_table(docs, id, text)
     counts, passages = document_counts(words, PASSAGE)
-    # Terms of over a fifth of the passages weigh nothing: they are in any window.
-    idf = np.where(counts > 0.2 * max(passages, 1), 0, np.log((1 + passages) / (1 + counts))).astype(np.float32)
-    if not idf[bench.terms & (BUCKETS - 1)].any():  # a corpus too small to tell terms apart
-        idf = np.ones(BUCKETS, np.float32)
+    # Every term has a weight, also one of all passages.
+    idf = np.log1p(max(passages, 1) / np.maximum(counts, 1)).astype(np.float32)
     basis = latent_basis(words, bench, idf, PASSAGE, RANK)
-    weights = idf[bench.terms & (BUCKETS - 1)]
-    kept = weights > 0
-    terms, own = bench.terms[kept], (basis * weights[:, None])[kept]
+    terms, own = bench.terms, basis * idf[bench.terms & (BUCKETS - 1)][:, None]
     items = np.zeros((len(bench.words), basis.shape[1]), np.float32)
     whole = np.zeros(len(bench.words))
     for i, w in enumerate(bench.words):
@@ -260,10 +301,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
     step_of = np.ceil(np.log2(lengths) * 6 - 1e-9).astype(int)
     by_size = [(int(np.ceil(2 ** (k / 6) - 1e-9)), np.flatnonzero(step_of == k)) for k in np.unique(step_of).tolist()]
     shared = spark.sparkContext.broadcast((
-        (bench.ids, bench.words, bench.answers), terms, own, items, idf, by_size))
+        (bench.ids, bench.words, bench.answers), terms, own, items, idf, by_size, shingles_of(bench.words)))
 
     def candidates(flat, at):
-        _, terms, own, items, idf, by_size = shared.value
+        bench, terms, own, items, idf, by_size, shingles = shared.value
         hit, term = find_terms(terms, flat)
         square = idf[flat & (BUCKETS - 1)] ** 2
         mass = starts_float(square)
@@ -271,6 +312,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
         running = np.zeros((len(hit) + 1, own.shape[1]))
         np.cumsum(own[term], axis=0, dtype=np.float64, out=running[1:])
         counts = np.diff(at)
+        doc, item, begin, end = shingle_places(shingles, np.array([len(w) for w in bench[1]]), flat, at)
+        cos = ((running[before[end]] - running[before[begin]]) * items[item]).sum(axis=1)
+        cos /= np.sqrt(np.maximum(mass[end] - mass[begin], 1e-9))
+        yield from zip(doc.tolist(), item.tolist(), begin.tolist(), end.tolist(), cos.tolist())
         for size, ids in by_size:
             step = max(1, size // 8)
             per = np.where(counts > 0, 1 + -(-np.maximum(counts - size, 0) // step), 0)

@@ -68,3 +68,15 @@ def test_exact_copies_of_every_length_are_found(spark, make):
     rows += [(100 + i, " ".join(rng.choice(vocabulary) for _ in range(60))) for i in range(100)]
     found = decontaminate.contaminated(make(rows), spark.createDataFrame(items, "item_id long, text string"))
     assert {(n, n) for n, _ in items} <= {(r["id"], r["item_id"]) for r in found.collect()}
+
+
+def test_an_item_copied_into_a_third_of_short_documents(spark, make):
+    rng = random.Random(5)
+    item = " ".join(f"c{i}" for i in range(36))
+    other = lambda n: " ".join(f"x{rng.randrange(10**9)}" for _ in range(n))
+    items = [(0, item), (1, other(30)), (2, other(40)), (3, "brief one")]
+    rows = [(i, f"{other(15)} {item} {other(15)}" if i % 3 == 0 else other(55)) for i in range(300)]
+    rows += [(900, f"{other(40)} {items[1][1]}"), (901, f"{other(9)} brief one {other(90)}"), (902, "brief " + other(9))]
+    found = decontaminate.contaminated(make(rows), spark.createDataFrame(items, "item_id long, text string"))
+    want = {(i, 0) for i in range(0, 300, 3)} | {(900, 1), (901, 3)}
+    assert {(r["id"], r["item_id"]) for r in found.collect()} == want
