@@ -12,12 +12,15 @@
    most) and at steps of an eighth of it, are embedded by running sums; a
    window is a candidate of an item at a cosine of ``COSINE``, relative to
    that of the item's own text (the latent space keeps a part of it). A
-   window's norm counts all of its words. Only windows without any benchmark
-   term, whose cosine is zero, are left out before the product.
+   window's norm counts its benchmark terms only, so foreign words, however
+   rare, don't hide a paraphrase. Only windows without any benchmark term are
+   left out before the product.
    Beside them, whatever the weights of its terms, an item is a candidate
    where any ``SHINGLE`` words in a row of it are found (all of them if it
    is shorter).
-4. A candidate's surroundings are compared with the item by longest common
+4. Places whose surroundings lack too many of the item's words for the
+   subsequence below are left out; that bound loses nothing. The others'
+   surroundings are compared with the item by longest common
    subsequence of words, and so is the item's answer (its last sentence, or
    its last quarter); both must hold.
 
@@ -253,6 +256,41 @@ def latent_basis(words: DataFrame, bench: Benchmark, idf: np.ndarray, passage: i
     return np.linalg.qr(corpus + max(1.0, scale) * stacked)[0].astype(np.float32)
 
 
+def merged(doc: np.ndarray, item: np.ndarray, begin: np.ndarray, end: np.ndarray, cos: np.ndarray):
+    """Windows of one document and item that touch, as one place: (doc, item, begin, end, greatest cosine)."""
+    order = np.lexsort((begin, item, doc))
+    doc, item, begin, end, cos = (x[order] for x in (doc, item, begin, end, cos))
+    if not len(order):
+        return doc, item, begin, end, cos
+    group = np.cumsum((np.diff(doc, prepend=-1) != 0) | (np.diff(item, prepend=-1) != 0))
+    most = int(end.max()) + 1
+    reach = np.maximum.accumulate(group * most + end) - group * most
+    first = np.flatnonzero((np.diff(group, prepend=0) != 0) | (begin > np.append(0, reach[:-1])))
+    return doc[first], item[first], begin[first], np.maximum.reduceat(end, first), np.maximum.reduceat(cos, first)
+
+
+def item_terms(items: list[np.ndarray], terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted item * terms + term of the items' distinct terms, and how often each is in its item."""
+    keys = [i * len(terms) + np.searchsorted(terms, w) for i, w in enumerate(items)]
+    return np.unique(np.concatenate(keys), return_counts=True)
+
+
+def words_shared(has: tuple[np.ndarray, np.ndarray], n_terms: int, item: np.ndarray, first: np.ndarray,
+                 last: np.ndarray, term: np.ndarray) -> np.ndarray:
+    """The item's words that are among ``term[first:last]``, for each place: no common subsequence is longer."""
+    keys, times = has
+    out = np.zeros(len(item), np.int64)
+    for i in range(0, len(item), 1024):
+        a, size = first[i:i + 1024], (last - first)[i:i + 1024]
+        place = np.repeat(np.arange(len(a)), size)
+        wanted = item[i:i + 1024][place] * n_terms + term[np.arange(len(place)) + np.repeat(a - starts(size)[:-1], size)]
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        hit = keys[at] == wanted
+        both = np.unique(place[hit] * len(keys) + at[hit])
+        out[i:i + 1024] = np.bincount(both // len(keys), weights=times[both % len(keys)], minlength=len(a))
+    return out
+
+
 def lcs(item: np.ndarray, words: np.ndarray) -> int:
     """Length of the longest common subsequence, bit-parallel over the item's words."""
     masks: dict[int, int] = {}
@@ -301,21 +339,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
     step_of = np.ceil(np.log2(lengths) * 6 - 1e-9).astype(int)
     by_size = [(int(np.ceil(2 ** (k / 6) - 1e-9)), np.flatnonzero(step_of == k)) for k in np.unique(step_of).tolist()]
     shared = spark.sparkContext.broadcast((
-        (bench.ids, bench.words, bench.answers), terms, own, items, idf, by_size, shingles_of(bench.words)))
+        (bench.ids, bench.words, bench.answers), terms, own, items, idf, by_size, shingles_of(bench.words),
+        item_terms(bench.words, bench.terms)))
 
     def candidates(flat, at):
-        bench, terms, own, items, idf, by_size, shingles = shared.value
+        """(document, item, begin, end, cosine) of the places that may hold an item."""
+        bench, terms, own, items, idf, by_size, shingles, has = shared.value
         hit, term = find_terms(terms, flat)
-        square = idf[flat & (BUCKETS - 1)] ** 2
+        square = np.zeros(len(flat), np.float32)
+        square[hit] = idf[flat[hit] & (BUCKETS - 1)] ** 2
         mass = starts_float(square)
         before = starts(np.bincount(hit, minlength=len(flat)))
         running = np.zeros((len(hit) + 1, own.shape[1]))
-        np.cumsum(own[term], axis=0, dtype=np.float64, out=running[1:])
+        np.cumsum(own.astype(np.float64)[term], axis=0, out=running[1:])
         counts = np.diff(at)
-        doc, item, begin, end = shingle_places(shingles, np.array([len(w) for w in bench[1]]), flat, at)
+        n_words = np.array([len(w) for w in bench[1]])
+        doc, item, begin, end = shingle_places(shingles, n_words, flat, at)
         cos = ((running[before[end]] - running[before[begin]]) * items[item]).sum(axis=1)
         cos /= np.sqrt(np.maximum(mass[end] - mass[begin], 1e-9))
-        yield from zip(doc.tolist(), item.tolist(), begin.tolist(), end.tolist(), cos.tolist())
+        found = [(doc, item, begin, end, cos)]
         for size, ids in by_size:
             step = max(1, size // 8)
             per = np.where(counts > 0, 1 + -(-np.maximum(counts - size, 0) // step), 0)
@@ -330,30 +372,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
                 sums = (running[last[i:i + 4096]] - running[first[i:i + 4096]]).astype(np.float32)
                 cos = sums @ items[ids].T / np.sqrt(norm2[i:i + 4096])[:, None]
                 w, j = np.nonzero(cos >= cosine)
-                for x, y in zip(w.tolist(), j.tolist()):
-                    yield (int(doc[i + x]), int(ids[y]), int(begin[i + x]), int(end[i + x]), float(cos[x, y]))
+                found.append((doc[i + w], ids[j], begin[i + w], end[i + w], cos[w, j]))
+        doc, item, begin, end, cos = merged(*(np.concatenate(x) for x in zip(*found)))
+        begin = np.maximum(at[doc], begin - n_words[item] // 2)
+        end = np.minimum(at[doc + 1], end + n_words[item] // 2)
+        shared_words = words_shared(has, len(terms), item, before[begin], before[end], term)
+        able = shared_words >= least_lcs * n_words[item] - 1e-9
+        return zip(*(x[able].tolist() for x in (doc, item, begin, end, cos)))
 
     def run(batches):
         bench = Benchmark(*shared.value[0], None)
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for i in range(0, batch.num_rows, 100):
+                part = batch.slice(i, 100)
                 flat, at = lists_of(part)
                 names, found = part.column("id").to_pylist(), {}
-                # Windows of one item that touch are one place.
-                for doc, item, a, b, cos in sorted(candidates(flat, at)) if len(flat) else ():
-                    places = found.setdefault((doc, item), [])
-                    if places and a <= places[-1][1]:
-                        places[-1][1] = max(b, places[-1][1])
-                        places[-1][2] = max(cos, places[-1][2])
-                    else:
-                        places.append([a, b, cos])
+                for doc, item, a, b, cos in candidates(flat, at) if len(flat) else ():
+                    found.setdefault((doc, item), []).append((a, b, cos))
                 out = []
                 for (doc, item), places in found.items():
-                    room = len(bench.words[item]) // 2
                     cos, most = max(p[2] for p in places), (0.0, 0.0)
                     for a, b, _ in places:
-                        most = max(most, ratios(bench, item, flat[max(at[doc], a - room):min(at[doc + 1], b + room)]))
+                        most = max(most, ratios(bench, item, flat[a:b]))
                         if most == (1.0, 1.0):
                             break
                     if most[0] >= least_lcs and most[1] >= least_answer:

@@ -80,3 +80,48 @@ def test_an_item_copied_into_a_third_of_short_documents(spark, make):
     found = decontaminate.contaminated(make(rows), spark.createDataFrame(items, "item_id long, text string"))
     want = {(i, 0) for i in range(0, 300, 3)} | {(900, 1), (901, 3)}
     assert {(r["id"], r["item_id"]) for r in found.collect()} == want
+
+
+def test_paraphrases_by_rare_words_are_found_as_by_brute_force(spark, make):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(1500)]
+    prose = lambda n: [rng.choice(vocabulary[:40] if rng.random() < 0.4 else vocabulary) for _ in range(n)]
+    items = [(i, " ".join(prose(rng.randint(20, 60)))) for i in range(150)]  # more than dimensions
+    rows = []
+    for d in range(240):
+        share, own = (0.1, 0.2, 0.25, 0.3)[d % 4], items[rng.randrange(150)][1].split()
+        new = [f"x{rng.randrange(10**9)}" if rng.random() < share else w for w in own]
+        if d % 8 == 2:  # no four words in a row
+            new = [f"x{rng.randrange(10**9)}" if i % 4 == 3 else w for i, w in enumerate(own)]
+        rows.append((d, " ".join(prose(rng.randint(0, 150)) + new + prose(rng.randint(0, 150)))))
+    bench = decontaminate.Benchmark.read(items)
+    want = set()
+    for d, text in rows:
+        words = decontaminate.hash_words(text.encode().split())[0]
+        for i in range(150):
+            a, b = decontaminate.ratios(bench, i, words)
+            if a >= decontaminate.LCS and b >= decontaminate.ANSWER:
+                want.add((d, i))
+    found = decontaminate.contaminated(make(rows), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["id"], r["item_id"]) for r in found.collect()}
+    assert len(want) > 120 and got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_merged_places_and_words_shared():
+    rng = np.random.default_rng(4)
+    doc, item, begin = (rng.integers(0, n, 200) for n in (3, 4, 30))
+    begin, cos = begin + 40 * doc, rng.random(200)
+    end = begin + rng.integers(1, 5, 200)
+    want = []
+    for d, i, a, b, c in sorted(zip(doc, item, begin, end, cos)):
+        if want and want[-1][:2] == [d, i] and a <= want[-1][3]:
+            want[-1][3:] = [max(b, want[-1][3]), max(c, want[-1][4])]
+        else:
+            want.append([d, i, a, b, c])
+    assert [list(x) for x in zip(*decontaminate.merged(doc, item, begin, end, cos))] == want
+    items, terms = [rng.integers(0, 9, n) for n in (4, 7, 12)], np.arange(9)
+    text = rng.integers(0, 9, 50)
+    of, a = rng.integers(0, 3, 60), rng.integers(0, 40, 60)
+    b = a + rng.integers(0, 10, 60)
+    got = decontaminate.words_shared(decontaminate.item_terms(items, terms), 9, of, a, b, text)
+    assert got.tolist() == [int(np.isin(items[i], text[x:y]).sum()) for i, x, y in zip(of, a, b)]
