@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. The texts' normalised words are hashed once and written as a compact
-   table; the same pass counts in how many passages (``PASSAGE`` words)
-   each hashed term occurs, over all documents.
+   table; a pass over it counts in how many passages (``PASSAGE`` words)
+   each benchmark term occurs, over all documents.
 2. A randomised SVD of the TF-IDF passages over the benchmark's terms: a
    Gaussian test matrix, the range ``A^T A G`` summed over all partitions,
    and an orthonormal basis of it. The benchmark's own passages are stacked
@@ -100,25 +100,29 @@ def passages_of(at: np.ndarray, passage: int) -> tuple[np.ndarray, int]:
     return first + inside // passage, int(per.sum())
 
 
-def document_counts(words: DataFrame, passage: int) -> tuple[np.ndarray, int]:
-    """In how many passages each hashed term is, over all documents; and the passages."""
+def document_counts(words: DataFrame, terms: np.ndarray, passage: int) -> tuple[np.ndarray, int]:
+    """In how many passages each of ``terms`` is, over all documents; and the passages."""
+    shared = words.sparkSession.sparkContext.broadcast(terms)
+
     def run(batches):
-        counts, total = np.zeros(BUCKETS, np.int64), 0
+        terms = shared.value
+        counts, total = np.zeros(len(terms), np.int64), 0
         for batch in batches:
             flat, at = lists_of(batch)
             of, n = passages_of(at, passage)
-            key = np.sort(of << 18 | (flat & (BUCKETS - 1)).astype(np.int64))
-            counts += np.bincount(key[np.diff(key, prepend=-1) != 0] & (BUCKETS - 1), minlength=BUCKETS)
+            hit, term = find_terms(terms, flat)
+            key = np.sort(of[hit] * len(terms) + term)
+            counts += np.bincount(key[np.diff(key, prepend=-1) != 0] % len(terms), minlength=len(terms))
             total += n
         at = np.flatnonzero(counts)
         yield pa.record_batch({"term": at.astype(np.int64), "n": counts[at]})
         yield pa.record_batch({"term": pa.array([-1], pa.int64()), "n": pa.array([total], pa.int64())})
 
     rows = mapped(words, run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    terms, n = rows.column("term").to_numpy(), rows.column("n").to_numpy()
-    counts = np.zeros(BUCKETS, np.int64)
-    counts[terms[terms >= 0]] = n[terms >= 0]
-    return counts, int(n[terms < 0].sum())
+    at, n = rows.column("term").to_numpy(), rows.column("n").to_numpy()
+    counts = np.zeros(len(terms), np.int64)
+    counts[at[at >= 0]] = n[at >= 0]
+    return counts, int(n[at < 0].sum())
 
 
 @dataclass
@@ -218,13 +222,23 @@ def range_rows(weights: np.ndarray, test: np.ndarray, at: np.ndarray, of: np.nda
     return out * weights[:, None]
 
 
-def latent_basis(words: DataFrame, bench: Benchmark, idf: np.ndarray, passage: int, rank: int,
+def stacked_rows(items: list[np.ndarray], terms: np.ndarray, weights: np.ndarray, test: np.ndarray) -> np.ndarray:
+    """``B^T B G`` of the benchmark's own weighted unit rows, item by item: of the size of ``test``."""
+    out = np.zeros(test.shape)
+    for w in items:
+        at, n = np.unique(np.searchsorted(terms, w), return_counts=True)
+        row = n * weights[at].astype(np.float64)
+        row /= max(np.linalg.norm(row), 1e-9)
+        out[at] += np.outer(row, row @ test[at])
+    return out
+
+
+def latent_basis(words: DataFrame, bench: Benchmark, weights: np.ndarray, passage: int, rank: int,
                  seed: int = 3) -> np.ndarray:
     """Orthonormal basis (terms x rank) of the leading right space of the TF-IDF passages."""
     spark = words.sparkSession
     m = len(bench.terms)
     test = np.random.default_rng(seed).normal(size=(m, min(rank, m))).astype(np.float32)
-    weights = idf[bench.terms & (BUCKETS - 1)].astype(np.float32)
     shared = spark.sparkContext.broadcast((bench.terms, weights, test))
 
     def run(batches):
@@ -246,12 +260,7 @@ def latent_basis(words: DataFrame, bench: Benchmark, idf: np.ndarray, passage: i
     if found.num_rows:
         corpus[found.column("term").to_numpy()] = np.column_stack(
             [found.column(f"c{i}").to_numpy() for i in range(test.shape[1])])
-    own = np.zeros((len(bench.words), m))
-    for i, w in enumerate(bench.words):
-        np.add.at(own[i], np.searchsorted(bench.terms, w), 1)
-    own *= weights
-    own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
-    stacked = own.T @ (own @ test)
+    stacked = stacked_rows(bench.words, bench.terms, weights, test)
     scale = np.linalg.norm(corpus) / max(np.linalg.norm(stacked), 1e-9)
     return np.linalg.qr(corpus + max(1.0, scale) * stacked)[0].astype(np.float32)
 
@@ -320,38 +329,40 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
     if not bench.ids:
         return spark.createDataFrame([], schema)
     words = word_table(docs, id, text)
-    counts, passages = document_counts(words, PASSAGE)
+    counts, passages = document_counts(words, bench.terms, PASSAGE)
     # Every term has a weight, also one of all passages.
-    idf = np.log1p(max(passages, 1) / np.maximum(counts, 1)).astype(np.float32)
-    basis = latent_basis(words, bench, idf, PASSAGE, RANK)
-    terms, own = bench.terms, basis * idf[bench.terms & (BUCKETS - 1)][:, None]
+    weights = np.log1p(max(passages, 1) / np.maximum(counts, 1)).astype(np.float32)
+    basis = latent_basis(words, bench, weights, PASSAGE, RANK)
+    terms, own = bench.terms, basis * weights[:, None]
     items = np.zeros((len(bench.words), basis.shape[1]), np.float32)
     whole = np.zeros(len(bench.words))
     for i, w in enumerate(bench.words):
-        hit, term = find_terms(terms, w)
+        _, term = find_terms(terms, w)
         items[i] = own[term].sum(axis=0)
-        whole[i] = np.sqrt((idf[w & (BUCKETS - 1)] ** 2).sum())
+        whole[i] = np.sqrt((weights[term] ** 2).sum())
     length = np.linalg.norm(items, axis=1)
     # Scaled by the part of the item that the latent space keeps, so that its own text has the cosine 1.
-    items *= (whole / np.maximum(length, 1e-9) ** 2)[:, None]
+    items *= (whole / np.maximum(length, 1e-9) ** 2)[:, None].astype(np.float32)
     # Windows of a few lengths, each for the items up to it.
     lengths = np.maximum([len(w) for w in bench.words], 4)
     step_of = np.ceil(np.log2(lengths) * 6 - 1e-9).astype(int)
-    by_size = [(int(np.ceil(2 ** (k / 6) - 1e-9)), np.flatnonzero(step_of == k)) for k in np.unique(step_of).tolist()]
+    by_size = [(int(np.ceil(2 ** (k / 6) - 1e-9)), ids[i:i + 256]) for k in np.unique(step_of).tolist()
+               for ids in [np.flatnonzero(step_of == k)] for i in range(0, len(ids), 256)]
     shared = spark.sparkContext.broadcast((
-        (bench.ids, bench.words, bench.answers), terms, own, items, idf, by_size, shingles_of(bench.words),
+        (bench.ids, bench.words, bench.answers), terms, own, items, weights, by_size, shingles_of(bench.words),
         item_terms(bench.words, bench.terms)))
 
     def candidates(flat, at):
         """(document, item, begin, end, cosine) of the places that may hold an item."""
-        bench, terms, own, items, idf, by_size, shingles, has = shared.value
+        bench, terms, own, items, weights, by_size, shingles, has = shared.value
         hit, term = find_terms(terms, flat)
         square = np.zeros(len(flat), np.float32)
-        square[hit] = idf[flat[hit] & (BUCKETS - 1)] ** 2
+        square[hit] = weights[term] ** 2
         mass = starts_float(square)
         before = starts(np.bincount(hit, minlength=len(flat)))
         running = np.zeros((len(hit) + 1, own.shape[1]))
         np.cumsum(own.astype(np.float64)[term], axis=0, out=running[1:])
+        running = running.astype(np.float32)
         counts = np.diff(at)
         n_words = np.array([len(w) for w in bench[1]])
         doc, item, begin, end = shingle_places(shingles, n_words, flat, at)
@@ -366,13 +377,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
             end = np.minimum(begin + size, at[doc + 1])
             able = before[end] > before[begin]
             doc, begin, end = doc[able], begin[able], end[able]
-            norm2 = np.maximum(mass[end] - mass[begin], 1e-9)
+            norm = np.sqrt(np.maximum(mass[end] - mass[begin], 1e-9)).astype(np.float32)
             first, last = before[begin], before[end]
+            sums = running @ items[ids].T
             for i in range(0, len(begin), 4096):
-                sums = (running[last[i:i + 4096]] - running[first[i:i + 4096]]).astype(np.float32)
-                cos = sums @ items[ids].T / np.sqrt(norm2[i:i + 4096])[:, None]
-                w, j = np.nonzero(cos >= cosine)
-                found.append((doc[i + w], ids[j], begin[i + w], end[i + w], cos[w, j]))
+                dot = sums[last[i:i + 4096]] - sums[first[i:i + 4096]]
+                w, j = np.divmod(np.flatnonzero(dot >= cosine * norm[i:i + 4096, None]), len(ids))
+                found.append((doc[i + w], ids[j], begin[i + w], end[i + w], dot[w, j] / norm[i + w]))
         doc, item, begin, end, cos = merged(*(np.concatenate(x) for x in zip(*found)))
         begin = np.maximum(at[doc], begin - n_words[item] // 2)
         end = np.minimum(at[doc + 1], end + n_words[item] // 2)

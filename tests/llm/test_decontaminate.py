@@ -125,3 +125,17 @@ def test_merged_places_and_words_shared():
     b = a + rng.integers(0, 10, 60)
     got = decontaminate.words_shared(decontaminate.item_terms(items, terms), 9, of, a, b, text)
     assert got.tolist() == [int(np.isin(items[i], text[x:y]).sum()) for i, x, y in zip(of, a, b)]
+
+
+def test_counts_of_terms_in_one_bucket_and_the_benchmark_rows(spark, make):
+    terms = np.sort(np.array([5, 5 + (1 << 18), 9], np.uint32))
+    words = spark.createDataFrame([(1, [5] * 70), (2, [5, 9]), (3, [5 + (1 << 18), 7])], "id long, words array<int>")
+    counts, passages = decontaminate.document_counts(words, terms, 64)
+    assert counts.tolist() == [3, 1, 1] and passages == 4
+    rng = np.random.default_rng(6)
+    items = [rng.choice(terms, n) for n in (3, 8)]
+    test, weights = rng.normal(size=(3, 2)), np.array([1, 2, 0.5])
+    dense = np.array([[(w == t).sum() for t in terms] for w in items]) * weights
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    got = decontaminate.stacked_rows(items, terms, weights, test)
+    assert np.allclose(got, dense.T @ dense @ test)
