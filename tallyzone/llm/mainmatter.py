@@ -44,6 +44,10 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template svg math iframe object canvas audio video head title select "
                    "textarea button datalist map".split())
+#: What may stand in a head, where it is silent by itself and where it has no text; anything else ends the head.
+IN_HEAD, BARE_IN_HEAD = frozenset("title script style noscript template".split()), frozenset("meta link base head html".split())
+#: Silent elements that an end tag of an element around them ends too (an iframe's or object's text has no such end).
+ENDED_BY_PARENT = frozenset("select button datalist canvas audio video map".split())
 #: Blocks that an open paragraph ends at.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
                    "h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -76,6 +80,7 @@ class Page(HTMLParser):
         self.runs: list[tuple[int, str, int]] = []  # block, text, characters in links
         self.open = [0]
         self.silent: list[str] = []
+        self.within: list[str] = []  # elements opened in a silent one
         self.links, self.pending, self.linked = 0, [], 0
         self.feed(html)
         self.close()
@@ -101,6 +106,17 @@ class Page(HTMLParser):
                 return
 
     def handle_starttag(self, tag, attrs):
+        if self.silent == ["head"]:
+            if tag in IN_HEAD:
+                self.silent.append(tag)
+                return
+            if tag in BARE_IN_HEAD:
+                return
+            self.silent.clear()
+        if self.silent and tag not in VOID and tag != self.silent[0]:
+            self.within.append(tag)
+        elif not self.silent:
+            self.within.clear()
         if tag in SILENT:
             if not self.silent or tag == self.silent[0]:
                 self.silent.append(tag)
@@ -145,7 +161,14 @@ class Page(HTMLParser):
         if self.silent:
             if tag == self.silent[-1]:
                 self.silent.pop()
-            return
+                return
+            if tag in self.within:
+                while self.within.pop() != tag:
+                    pass
+                return
+            if self.silent[0] not in ENDED_BY_PARENT or tag == "p" or all(self.tag[i] != tag for i in self.open):
+                return
+            self.silent.clear()
         if tag == "a":
             self.links = 0
         elif tag == "p" and not any(self.tag[i] == "p" for i in self.open):
@@ -154,6 +177,8 @@ class Page(HTMLParser):
             self.shut((tag,))
 
     def handle_data(self, data):
+        if self.silent == ["head"] and data.strip():
+            self.silent.clear()
         if not self.silent:
             self.pending.append(data)
             if self.links:

@@ -91,6 +91,17 @@ def test_parsing():
         mm.extract([odd], None)
 
 
+def test_elements_left_open():
+    of = lambda html: [t for _, t, _ in mm.Page(html).runs]
+    assert of("<html><head><title>T</title><article><p>text</p></article>") == ["text"]
+    assert of("<head><meta charset=x><title>a <b> c</title><link rel=y><noscript><img><p>n</p></noscript><p>x") == ["x"]
+    assert of("<head><title>T</title> bare") == ["bare"]
+    assert of("<head><title>T</title></head><body><p>x") == ["x"]
+    for tag in ("select", "button"):
+        assert of(f"<div>a<{tag}><option>o<div>i</div></div><p>x</p>") == ["a", "x"]
+        assert of(f"<div>a<{tag}><b>o</b></{tag}> b</div><p>x</p>") == ["a b", "x"]
+
+
 def test_table_with_odd_rows(spark, sample):
     rows = [(i, f"u{i}", h, "x") for i, (h, _) in enumerate(sample[:40])]
     rows += [(900, None, None, None), (901, "u", "", ""), (902, "u", "<p>" + "word " * 100_000, ""), (0, "u0", rows[0][2], "")]
