@@ -8,6 +8,7 @@
 from __future__ import annotations
 
 import datetime as _dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -102,6 +103,12 @@ def request_valid(start: tuple[int, int], end: tuple[int, int], as_of: _dt.date
         1 <= m <= 12 for _, m in (start, end))
 
 
+def request_months(requests: Sequence[tuple[int, tuple[int, int], tuple[int, int]]]) -> list[tuple[int, int, int]]:
+    """(request, year, month) of every month of (request, start, end) periods."""
+    return [(i, m // 12, m % 12 + 1) for i, (sy, sm), (ey, em) in requests
+            for m in range(sy * 12 + sm - 1, ey * 12 + em)]
+
+
 def previous_period(as_of: _dt.date | str) -> tuple[int, int]:
     """C7 as a (year, month) pair."""
     day = _dt.date.fromisoformat(str(as_of)).replace(day=1) - _dt.timedelta(days=1)

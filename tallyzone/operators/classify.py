@@ -7,6 +7,8 @@ table is never split.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,13 +33,15 @@ FILLABLE = ZIP_PRESENT + NEEDS_ZIP
 DROPPED = [BOROUGH_ONLY, NOTHING, PARTIAL]
 
 
-def typed_records(raw: DataFrame, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+def typed_records(raw: DataFrame, box: tuple[float, float, float, float] | None = None,
+                  keep: Sequence[str] = ()) -> DataFrame:
     """Zip text -> INT, borough -> string, coordinates -> float32 with NaN as NULL.
 
-    With ``box`` (south, west, north, east) a pair outside of it counts as missing.
+    With ``box`` (south, west, north, east) a pair outside of it counts as missing. ``keep`` names further columns to
+    carry along.
     """
     typed = raw.select(
-        "id", "year", "month",
+        *keep, "id", "year", "month",
         parse_zip("zip_code").alias("zip_code"),
         F.col("borough").cast("string").alias("borough"),
         "crash_count",
@@ -58,22 +62,19 @@ def presence_class(partial_as_missing: bool = False):
     A row with one coordinate of two matches no class, or, with
     ``partial_as_missing``, the class without coordinates.
     """
-    z = F.col("zip_code").isNotNull()
-    lat, lon = F.col("latitude").isNotNull(), F.col("longitude").isNotNull()
-    b = F.col("borough").isNotNull()
-    c = lat & lon
-    no_c = ~c if partial_as_missing else ~lat & ~lon
-    return (
-        F.when(~(c | no_c), F.lit(PARTIAL))
-        .when(z & c & b, F.lit(TRUSTED))
-        .when(z & c, F.lit(ZIP_COORDS))
-        .when(z & b, F.lit(ZIP_BOROUGH))
-        .when(z, F.lit(ZIP_ONLY))
-        .when(c & b, F.lit(COORDS_BOROUGH))
-        .when(c, F.lit(COORDS_ONLY))
-        .when(b, F.lit(BOROUGH_ONLY))
-        .otherwise(F.lit(NOTHING))
-    )
+    has = [F.col(c).isNotNull().cast("int") for c in ("zip_code", "borough", "latitude", "longitude")]
+    # one look at each column, so a pushed class filter stays as small as the row's parsing
+    table = F.array(*[F.lit(_class_of(*(i >> bit & 1 for bit in range(4)), partial_as_missing)) for i in range(16)])
+    return F.get(table, has[0] + has[1] * 2 + has[2] * 4 + has[3] * 8)
+
+
+def _class_of(zip_code: int, borough: int, latitude: int, longitude: int, partial_as_missing: bool) -> str:
+    """The class of rows with these columns present (1) or missing (0)."""
+    if latitude != longitude and not partial_as_missing:
+        return PARTIAL
+    if latitude and longitude:
+        return [[COORDS_ONLY, COORDS_BOROUGH], [ZIP_COORDS, TRUSTED]][zip_code][borough]
+    return [[NOTHING, BOROUGH_ONLY], [ZIP_ONLY, ZIP_BOROUGH]][zip_code][borough]
 
 
 def with_class(typed: DataFrame, partial_as_missing: bool = False) -> DataFrame:

@@ -1,10 +1,8 @@
-"""Exact k-nearest-neighbour search and vote (J2, J3, A3, O3) as Spark joins.
+"""Exact k-nearest-neighbour search and vote (J2, J3, A3, O3) in a fixed number of shuffles.
 
-A cross join with top-k is quadratic. Instead the plane is covered by a
-pyramid of square grids, each level four times finer than the one above
-(level ``l`` has cell side ``side / 4**l``). Coordinates are turned once
-into integer cell indices of the finest level; the cell of a coarser level
-is a right shift of that index, so the levels nest exactly.
+A cross join with top-k is quadratic. Instead the training points are packed
+into tiles of a bounded number of points, and each query meets the tiles
+that its neighbours can be in:
 
 1. **Copies.** Training points with identical coordinates are capped at the
    k smallest ids (``row_number() <= k`` per coordinate pair). Under the
@@ -12,27 +10,28 @@ is a right shift of that index, so the levels nest exactly.
    this is exact; Spark plans it as a partial window-group limit before the
    shuffle, so a coordinate pair holding a third of all rows never lands
    whole in one task.
-2. **Counts.** Training points per finest cell by one grouped count, rolled
-   up to every coarser level.
-3. **Level per query.** Each query finds the finest level whose own cell
-   holds at least k training points. The k nearest then lie within
-   ``sqrt(2)`` sides of that cell, so the 3 x 3 block of cells one level
-   coarser holds them all (at level 0 the block covers everything). The
-   few coarse levels, where a city is one or two cells, are looked up in a
-   broadcast table of proven size; the fine ones by a join on the cell.
-4. **Refinement.** The block's cells are split into their non-empty children
-   until every cell left holds at most ``LEAF`` * k points or is finest, and
-   cells that cannot hold any of the k nearest are dropped in each round
-   (:func:`_prune`, exact). A query next to a dense cluster thus meets only
-   the part of the cluster that can still be among its k nearest. Rounds end
-   when nothing is left to split, after as many as there are levels at most.
-5. **Candidates.** The cells left are joined with the training points of
-   their level; top k by (squared distance, id).
+2. **Tiles.** One range shuffle by (latitude, longitude) cuts the stored
+   points into strips of equal size, split at quantiles of the data; a strip
+   is sorted by longitude and cut into tiles of ``TILE`` * k points. Ties are split by the other coordinate, so no value, however
+   common, makes a strip or tile larger. The bounds of the strips are one
+   array, those of a strip's tiles another: about the square root of the
+   number of tiles each, searched by halving.
+3. **Home.** Each query takes the k nearest of the tile that its own place
+   falls to (of those with k points). The k-th of them bounds how far away any neighbour can be.
+4. **Border.** Only tiles whose bounds come within that distance can hold a
+   nearer point. A query whose circle stays in its own tile's bounds is
+   certified and goes no further; the others meet the tiles left, and the k
+   best of both are the answer.
+
+Every query takes part in these four steps at most, whatever the
+distribution of the points: the number of jobs depends neither on the data
+nor on k.
 
 Distances are squared Euclidean distances in DOUBLE on the (float32)
 coordinates; ties are broken by the training id. The search runs once per
 distinct query coordinate pair, so copies of one query point cost one
-search.
+search. With ``by`` columns there is one index per value of them, in the
+same tables and jobs.
 
 What later steps read more than once is written to the shared folder, so
 the plan is a chain of short jobs that survives lost executors.
@@ -40,218 +39,167 @@ the plan is a chain of short jobs that survives lost executors.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyzone.constants import DEFAULT_K
-from tallyzone.session import materialised
-
-# Grid frame for degree coordinates: the square [-180, 180)^2 holds every
-# latitude and longitude; anything outside is clamped to the border cells,
-# which keeps the distance bound of the certificate valid.
-DEGREE_ORIGIN = -180.0
-DEGREE_SIDE = 360.0
-# Finest cell ~5.4e-6 degrees (2**26 cells per axis), below the float32
-# spacing of typical coordinates, so a finest cell holds only a handful of
-# distinct coordinate pairs.
-FINEST_BITS = 26
-# Index bits per level: 2 = each level 4x finer per axis, 1 = 2x finer.
-LEVEL_BITS = 2
-# A cell is split while it holds more than LEAF * k training points.
-LEAF = 32
-# Levels up to this one have at most sum(16**l) = 69,905 cells: small enough to broadcast.
-BROADCAST_LEVEL = 4
-# Relative slack of the certificate against rounding of the cell index.
-_SLACK = 1e-6
-
-
-def _fine_index(c: Column, origin: float, side: float, fine_bits: int) -> Column:
-    cells = 1 << fine_bits
-    idx = F.floor((c - F.lit(origin)) / F.lit(side / cells))
-    return F.least(F.greatest(idx, F.lit(0)), F.lit(cells - 1)).cast("long")
-
-
-def _levels(n_levels: int, bits: int) -> Column:
-    """Array of (level, shift) for levels 0..n_levels-1 (one literal expression)."""
-    items = ", ".join(f"named_struct('l', {lv}, 'sh', {bits * (n_levels - 1 - lv)})"
-                      for lv in range(n_levels))
-    return F.expr(f"array({items})")
-
-
-def _block_offsets() -> Column:
-    """The 3 x 3 block around a cell as (dx, dy) offsets."""
-    items = ", ".join(f"named_struct('dx', CAST({dx} AS BIGINT), 'dy', CAST({dy} AS BIGINT))"
-                      for dx in (-1, 0, 1) for dy in (-1, 0, 1))
-    return F.expr(f"array({items})")
+from tallyzone.session import counted, materialised
 
+# A tile holds TILE * k training points, the last of a strip what is left.
+TILE = 8
+# At most this many strips, so that their bounds (24 bytes each) stay a small broadcast at any size.
+MOST_STRIPS = 1 << 16
+# Relative slack of distances against rounding; it can only add tiles.
+_SLACK = 1e-9
+_ULP = 1e-15
 
 # Queries are searched once per distinct coordinate pair: the neighbours
 # depend only on the coordinates, so copies of one query point (a default
 # geocode holding a third of all rows, say) cost one search, not millions.
 PKEY = ["qlat", "qlon"]
+_TILE = ["strip", "tile"]
 
 
-def _top_k(cands: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy(*PKEY).orderBy("d2", "tid")
-    return cands.withColumn("j", F.row_number().over(w)).where(F.col("j") <= k)
-
-
-def _children(bits: int) -> Column:
-    """Offsets of the 2**bits x 2**bits children of a cell one level down."""
-    m = 1 << bits
-    items = ", ".join(f"named_struct('a', CAST({a} AS BIGINT), 'b', CAST({b} AS BIGINT))"
-                      for a in range(m) for b in range(m))
-    return F.expr(f"array({items})")
-
-
-_FRONTIER = ["qlat", "qlon", "l", "cx", "cy", "n"]
+def _before(bounds: str, value: str, inclusive: bool) -> str:
+    """SQL: how many entries of a rising array are below ``value`` (or equal to it), by halving."""
+    entry = f"{bounds}[CAST((r.lo + r.hi) DIV 2 AS INT)] {'<=' if inclusive else '<'} {value}"
+    return (f"aggregate(sequence(0, CAST(ceil(log2(size({bounds}) + 1)) AS INT)), struct(0 AS lo, size({bounds}) AS hi), "
+            f"(r, i) -> CASE WHEN r.lo >= r.hi THEN r "
+            f"WHEN {entry} THEN struct(CAST((r.lo + r.hi) DIV 2 AS INT) + 1 AS lo, r.hi AS hi) "
+            f"ELSE struct(r.lo AS lo, CAST((r.lo + r.hi) DIV 2 AS INT) AS hi) END, r -> r.lo)")
 
 
-def _prune(fr: DataFrame, k: int, origin: float, side: float, bits: int) -> DataFrame:
-    """Drop frontier cells that cannot hold any of the k nearest points.
+def _indexed(train: DataFrame, k: int, by: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Points with their tile, one row per strip with its tiles' bounds, one row per group with its strips' bounds.
 
-    For each cell the squared distance from the query to its nearest and
-    farthest point is bounded (boxes widened by a tiny slack; border cells,
-    which may hold clamped points, are open to infinity). Taking cells in
-    order of their far bound until k points are covered gives an upper bound
-    ``u2`` of the k-th distance; a cell whose near bound exceeds ``u2`` holds
-    only points strictly farther than the k-th nearest, so dropping it is
-    exact (ties included).
+    Arrays that begin with ``h`` hold only what has k points or more: where a query may be at home.
     """
-    g = F.lit(side) / F.pow(F.lit(2.0), F.col("l") * bits)
-    eps = g * _SLACK
-    top = F.pow(F.lit(2.0), F.col("l") * bits) - 1
-    inf = F.lit(float("inf"))
-
-    def lo(c):
-        return F.when(F.col(c) <= 0, -inf).otherwise(F.lit(origin) + F.col(c) * g - eps)
-
-    def hi(c):
-        return F.when(F.col(c) >= top, inf).otherwise(F.lit(origin) + (F.col(c) + 1) * g + eps)
-
-    nx = F.greatest(lo("cx") - F.col("qlat"), F.col("qlat") - hi("cx"), F.lit(0.0))
-    ny = F.greatest(lo("cy") - F.col("qlon"), F.col("qlon") - hi("cy"), F.lit(0.0))
-    fx = F.greatest(F.col("qlat") - lo("cx"), hi("cx") - F.col("qlat"))
-    fy = F.greatest(F.col("qlon") - lo("cy"), hi("cy") - F.col("qlon"))
-    by_far = Window.partitionBy(*PKEY).orderBy("maxd2", "l", "cx", "cy") \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        fr.withColumn("mind2", nx * nx + ny * ny)
-        .withColumn("maxd2", fx * fx + fy * fy)
-        .withColumn("cum", F.sum("n").over(by_far))
-        .withColumn("u2", F.min(F.when(F.col("cum") >= k, F.col("maxd2"))).over(Window.partitionBy(*PKEY)))
-        .where(F.col("u2").isNull() | (F.col("mind2") <= F.col("u2")))
-        .select(*_FRONTIER)
-    )
-
-
-def _refined(fr: DataFrame, pyramid: DataFrame, k: int, origin: float, side: float, n_levels: int,
-             bits: int) -> DataFrame:
-    """The frontier split and pruned until every cell is small or finest."""
-    split = (F.col("n") > LEAF * k) & (F.col("l") < n_levels - 1)
-    kids = F.transform(_children(bits), lambda c: F.struct(
-        (F.col("l") + 1).alias("l"),
-        (F.shiftleft(F.col("cx"), bits) + c["a"]).alias("cx"),
-        (F.shiftleft(F.col("cy"), bits) + c["b"]).alias("cy")))
-    fr = materialised(_prune(fr, k, origin, side, bits), "frontier")
-    while not fr.where(split).isEmpty():
-        children = (
-            fr.where(split).select("qlat", "qlon", F.explode(kids).alias("c"))
-            .select("qlat", "qlon", F.col("c.l").alias("l"), F.col("c.cx").alias("cx"), F.col("c.cy").alias("cy"))
-            .join(pyramid, ["l", "cx", "cy"])
-            .select(*_FRONTIER)
-        )
-        fr = materialised(_prune(fr.where(~split).unionByName(children), k, origin, side, bits), "frontier")
-    return fr
-
-
-def point_neighbors(train: DataFrame, points: DataFrame, k: int = DEFAULT_K,
-                    origin: float = DEGREE_ORIGIN, side: float = DEGREE_SIDE,
-                    fine_bits: int = FINEST_BITS, bits: int = LEVEL_BITS) -> DataFrame:
+    # 1. copies beyond the k smallest ids of a coordinate pair never win
+    copies = Window.partitionBy(*by, "tlat", "tlon").orderBy("tid")
+    points, n_points = counted(
+        train.select(*by, "tid", F.col("lat").cast("double").alias("tlat"), F.col("lon").cast("double").alias("tlon"),
+                     "zip").withColumn("_c", F.row_number().over(copies)).where(F.col("_c") <= k).drop("_c"), "train")
+
+    # 2. strips by latitude, each in the order of the longitude; what is written pins the strips
+    tile = TILE * k
+    strips = min(MOST_STRIPS, max(1, isqrt(n_points // tile)))
+    number = F.monotonically_increasing_id()
+    placed = materialised(
+        points.repartitionByRange(strips, *by, "tlat", "tlon").sortWithinPartitions(*by, "tlon", "tlat", "tid")
+        .withColumn("_n", number)
+        .select(*by, F.shiftright("_n", 33).cast("int").alias("strip"),
+                F.floor(F.col("_n").bitwiseAND((1 << 33) - 1) / tile).cast("int").alias("tile"),
+                "tid", "tlat", "tlon", "zip"), "tiles")
+    tiles = placed.groupBy(*by, *_TILE).agg(
+        F.min("tlat").alias("xlo"), F.max("tlat").alias("xhi"), F.min("tlon").alias("ylo"), F.max("tlon").alias("yhi"),
+        F.count(F.lit(1)).alias("n"))
+    stripes, n_stripes = counted(
+        tiles.groupBy(*by, "strip")
+        .agg(F.min("xlo").alias("xlo"), F.max("xhi").alias("xhi"),
+             F.array_sort(F.collect_list(F.struct("tile", "ylo", "yhi", "n"))).alias("t"))
+        .withColumn("h", F.expr(f"filter(t, t -> t.n >= {k})"))
+        .select(*by, "strip", "xlo", "xhi", F.col("t.tile").alias("tiles"), F.col("t.ylo").alias("ylos"),
+                F.col("t.yhi").alias("yhis"), F.col("h.tile").alias("htiles"), F.col("h.ylo").alias("hylos")), "stripes")
+    groups = (
+        stripes.groupBy(*(by or [F.lit(0).alias("_all")]))
+        .agg(F.array_sort(F.collect_list(F.struct("strip", "xlo", "xhi", (F.size("htiles") > 0).alias("h")))).alias("s"))
+        .withColumn("h", F.expr("filter(s, s -> s.h)"))
+        .select(*(by or ["_all"]), F.col("s.strip").alias("strips"), F.col("s.xlo").alias("xlos"),
+                F.col("s.xhi").alias("xhis"), F.col("h.strip").alias("hstrips"), F.col("h.xlo").alias("hxlos")))
+    # all bounds together are MOST_STRIPS and one for each further group: counted, then broadcast
+    return placed, stripes, F.broadcast(groups) if n_stripes <= 2 * MOST_STRIPS else groups
+
+
+def _beside(queries: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Queries with the bounds of their group's strips."""
+    return queries.join(groups, list(by)) if by else queries.withColumn("_all", F.lit(0)).join(groups, "_all")
+
+
+def _at(names: str, bounds: str, value: str, otherwise: str) -> Column:
+    """The name of the last entry that starts at ``value`` or before, else the first; ``otherwise`` where there is none."""
+    return F.expr(f"coalesce(get({names}, greatest({_before(bounds, value, True)} - 1, 0)), get({otherwise}, 0))")
+
+
+def _distance() -> Column:
+    dlat, dlon = F.col("qlat") - F.col("tlat"), F.col("qlon") - F.col("tlon")
+    return dlat * dlat + dlon * dlon
+
+
+def _home(train: DataFrame, points: DataFrame, k: int, by: Sequence[str]):
+    """Pairs of queries and the points of their own tile; the index."""
+    by = list(by)
+    placed, stripes, groups = _indexed(train, k, by)
+    queries = points.select(*by, F.col("lat").cast("double").alias("qlat"),
+                            F.col("lon").cast("double").alias("qlon")).distinct()
+    strip, tile = _at("hstrips", "hxlos", "qlat", "strips"), _at("htiles", "hylos", "qlon", "tiles")
+    at = (_beside(queries, groups, by).select(*by, *PKEY, strip.alias("strip"))
+          .join(stripes.select(*by, "strip", "tiles", "htiles", "hylos"), [*by, "strip"])
+          .select(*by, *PKEY, "strip", tile.alias("tile")))
+    pairs = at.join(placed, [*by, *_TILE]).select(*by, *PKEY, *_TILE, "tid", "zip", _distance().alias("d2"))
+    return pairs, (placed, stripes, groups)
+
+
+def _best(pairs: DataFrame, k: int, by: Sequence[str]) -> DataFrame:
+    """The k nearest of each query's pairs, numbered ``j``."""
+    w = Window.partitionBy(*by, *PKEY).orderBy("d2", "tid")
+    return pairs.withColumn("j", F.row_number().over(w)).where(F.col("j") <= k)
+
+
+def _across(home: DataFrame, placed: DataFrame, stripes: DataFrame, groups: DataFrame, k: int,
+            by: Sequence[str]) -> DataFrame:
+    """Pairs of queries and the points of other tiles that come within the bound, all tiles where there is none.
+
+    ``u2`` is the bound: the squared distance of the k-th point at home, null where there are fewer.
+    """
+    by = list(by)
+    bound = home.groupBy(*by, *PKEY, *_TILE).agg(F.max(F.when(F.col("j") == k, F.col("d2"))).alias("u2"))
+    asked = [*by, *PKEY, "u2", "hs", "ht"]
+
+    def reach(distance, at):
+        return f"coalesce({distance} * {1 + _SLACK!r}D + (abs({at}) + sqrt(u2)) * {_ULP!r}D, double('inf'))"
+
+    def span(lows, highs, at, distance):
+        return [F.expr(_before(highs, f"{at} - {distance}", False)).alias("a"),
+                F.expr(f"{_before(lows, f'{at} + {distance}', True)} - 1").alias("b")]
+
+    strips = (_beside(bound.withColumnsRenamed({"strip": "hs", "tile": "ht"}), groups, by)
+              .select(*asked, "strips", *span("xlos", "xhis", "qlat", reach("sqrt(u2)", "qlat")))
+              .select(*asked, F.expr("explode(slice(strips, a + 1, greatest(b - a + 1, 0)))").alias("strip"))
+              .join(stripes.drop("htiles", "hylos"), [*by, "strip"]))
+    left = (f"sqrt(greatest(u2 * {1 + 2 * _SLACK!r}D - pow(greatest(xlo - qlat, qlat - xhi, 0D), 2), 0D))")
+    return (strips.select(*asked, "strip", "tiles", *span("ylos", "yhis", "qlon", reach(left, "qlon")))
+            .select(*asked, "strip", F.expr("explode(slice(tiles, a + 1, greatest(b - a + 1, 0)))").alias("tile"))
+            .where("strip != hs OR tile != ht")
+            .join(placed, [*by, *_TILE])
+            .select(*by, *PKEY, "u2", "tid", "zip", _distance().alias("d2")))
+
+
+def point_neighbors(train: DataFrame, points: DataFrame, k: int = DEFAULT_K, by: Sequence[str] = ()) -> DataFrame:
     """The k nearest training points of every distinct query coordinate pair, exactly.
 
     ``train``: ``tid, lat, lon, zip`` (unique ``tid``); ``points``: ``lat, lon``
-    (duplicates are removed here). Coordinates must be non-null. Returns
-    ``qlat, qlon, j, tid, zip, d2`` with ``j`` = 1..k in (d2, tid) order.
-    With fewer than k training points every point is a neighbour; with none
-    a point gets no rows.
+    (duplicates are removed here); both with the ``by`` columns, where there
+    is one index for each of their values. Coordinates must be non-null.
+    Returns ``by..., qlat, qlon, j, tid, zip, d2`` with ``j`` = 1..k in (d2, tid)
+    order. With fewer than k training points every point is a neighbour; with
+    none a point gets no rows.
     """
-    cands = candidates(train, points, k, origin, side, fine_bits, bits)
-    return _top_k(cands, k).select("qlat", "qlon", "j", "tid", "zip", "d2")
+    pairs, index = _home(train, points, k, by)
+    home = materialised(_best(pairs, k, by), "home")
+    across = _across(home, *index, k, by).where(F.col("u2").isNull() | (F.col("d2") <= F.col("u2")))
+    columns = [*by, *PKEY, "tid", "zip", "d2"]
+    found = home.select(*columns).unionByName(across.select(*columns))
+    return _best(found, k, by).select(*by, *PKEY, "j", "tid", "zip", "d2")
 
 
-def candidates(train: DataFrame, points: DataFrame, k: int, origin: float = DEGREE_ORIGIN,
-               side: float = DEGREE_SIDE, fine_bits: int = FINEST_BITS, bits: int = LEVEL_BITS) -> DataFrame:
-    """Every training point that can be among the k nearest of a query, and some more: ``qlat, qlon, tid, zip, d2``."""
-    n_levels = fine_bits // bits + 1
-
-    # 1. copies beyond the k smallest ids of a coordinate pair never win
-    copies = Window.partitionBy("tlat", "tlon").orderBy("tid")
-    t = materialised(
-        train.select("tid", F.col("lat").cast("double").alias("tlat"),
-                     F.col("lon").cast("double").alias("tlon"), "zip")
-        .withColumn("_c", F.row_number().over(copies)).where(F.col("_c") <= k)
-        .select("tid", "tlat", "tlon", "zip",
-                _fine_index(F.col("tlat"), origin, side, fine_bits).alias("ix"),
-                _fine_index(F.col("tlon"), origin, side, fine_bits).alias("iy")), "train")
-    q = (
-        points.select(F.col("lat").cast("double").alias("qlat"), F.col("lon").cast("double").alias("qlon"))
-        .distinct()
-        .select("qlat", "qlon",
-                _fine_index(F.col("qlat"), origin, side, fine_bits).alias("qix"),
-                _fine_index(F.col("qlon"), origin, side, fine_bits).alias("qiy"))
-    )
-
-    # 2. training points per cell on every level, rolled up from the finest
-    pyramid = materialised(
-        t.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("m"))
-        .select(F.explode(_levels(n_levels, bits)).alias("lv"), "ix", "iy", "m")
-        .select(F.col("lv.l").alias("l"),
-                F.expr("shiftright(ix, lv.sh)").alias("cx"),
-                F.expr("shiftright(iy, lv.sh)").alias("cy"), "m")
-        .groupBy("l", "cx", "cy").agg(F.sum("m").alias("n")), "pyramid")
-
-    # 3. one level above the finest whose own cell holds >= k points
-    cells = (
-        q.select("qlat", "qlon", "qix", "qiy", F.explode(_levels(n_levels, bits)).alias("lv"))
-        .select("qlat", "qlon", "qix", "qiy", F.col("lv.l").alias("l"),
-                F.expr("shiftright(qix, lv.sh)").alias("cx"),
-                F.expr("shiftright(qiy, lv.sh)").alias("cy"))
-    )
-    top = BROADCAST_LEVEL * LEVEL_BITS // bits
-    coarse = cells.where(F.col("l") <= top).join(F.broadcast(pyramid.where(F.col("l") <= top)), ["l", "cx", "cy"])
-    fine = cells.where(F.col("l") > top).join(pyramid.where(F.col("l") > top), ["l", "cx", "cy"])
-    start = (
-        coarse.unionByName(fine).groupBy("qlat", "qlon", "qix", "qiy")
-        .agg(F.greatest(F.coalesce(F.max(F.when(F.col("n") >= k, F.col("l"))), F.lit(0)) - 1, F.lit(0)).alias("l"))
-    )
-    block = (
-        start.select("qlat", "qlon", "qix", "qiy", "l", F.explode(_block_offsets()).alias("o"))
-        .select("qlat", "qlon", "l",
-                (F.expr(f"shiftright(qix, ({n_levels - 1} - l) * {bits})") + F.col("o.dx")).alias("cx"),
-                (F.expr(f"shiftright(qiy, ({n_levels - 1} - l) * {bits})") + F.col("o.dy")).alias("cy"))
-        .join(pyramid, ["l", "cx", "cy"])
-        .select(*_FRONTIER)
-    )
-
-    # 4. split and prune
-    fr = _refined(block, pyramid, k, origin, side, n_levels, bits)
-
-    # 5. the points of the cells left. Levels in use: at most n_levels rows, so they are broadcast.
-    used = F.broadcast(fr.select("l").distinct())
-    tb = (
-        t.select("tid", "tlat", "tlon", "zip", "ix", "iy", F.explode(_levels(n_levels, bits)).alias("lv"))
-        .select("tid", "tlat", "tlon", "zip", F.col("lv.l").alias("l"),
-                F.expr("shiftright(ix, lv.sh)").alias("cx"),
-                F.expr("shiftright(iy, lv.sh)").alias("cy"))
-        .join(used, "l", "left_semi")
-    )
-    dlat = F.col("qlat") - F.col("tlat")
-    dlon = F.col("qlon") - F.col("tlon")
-    return (
-        fr.join(tb, ["l", "cx", "cy"])
-        .select("qlat", "qlon", "tid", "zip", (dlat * dlat + dlon * dlon).alias("d2"))
-    )
+def candidates(train: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """Every training point that a query is compared with: ``qlat, qlon, tid, zip, d2``."""
+    pairs, index = _home(train, points, k, ())
+    across = _across(materialised(_best(pairs, k, ()), "home"), *index, k, ())
+    return pairs.select(*PKEY, "tid", "zip", "d2").unionByName(across.select(*PKEY, "tid", "zip", "d2"))
 
 
 def _query_coords(queries: DataFrame) -> DataFrame:
@@ -259,14 +207,14 @@ def _query_coords(queries: DataFrame) -> DataFrame:
                           F.col("lon").cast("double").alias("qlon"))
 
 
-def knn_neighbors(train: DataFrame, queries: DataFrame, k: int = DEFAULT_K, **grid) -> DataFrame:
+def knn_neighbors(train: DataFrame, queries: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     """The k nearest training points of every query, exactly: ``qid, j, tid, zip, d2``.
 
     ``queries``: ``qid, lat, lon``. The search runs once per distinct
     coordinate pair (:func:`point_neighbors`); the lists are joined back to
     the query ids on the coordinates.
     """
-    nb = point_neighbors(train, queries, k, **grid)
+    nb = point_neighbors(train, queries, k)
     return _query_coords(queries).join(nb, PKEY).select("qid", "j", "tid", "zip", "d2")
 
 
@@ -277,23 +225,21 @@ def knn_vote(neighbors: DataFrame, key: list[str] | None = None) -> DataFrame:
     (default ``qid``). Returns ``key..., zip``.
     """
     key = key or ["qid"]
-    votes = neighbors.groupBy(*key, "zip").agg(F.count(F.lit(1)).alias("n"))
-    best = votes.groupBy(*key).agg(
-        F.max(F.struct(F.col("n"), (-F.col("zip")).alias("neg"))).alias("b"))
-    return best.select(*key, (-F.col("b.neg")).cast("int").alias("zip"))
+    return neighbors.groupBy(*key).agg(F.mode("zip", True).cast("int").alias("zip"))
 
 
-def knn_fill(train: DataFrame, queries: DataFrame, k: int = DEFAULT_K, **grid) -> DataFrame:
+def knn_fill(train: DataFrame, queries: DataFrame, k: int = DEFAULT_K, by: Sequence[str] = ()) -> DataFrame:
     """Vote of the k nearest neighbours for every query row.
 
-    ``queries`` needs ``lat, lon``; every other column is carried through
+    ``queries`` needs ``lat, lon`` and the ``by`` columns; every other column is carried through
     (so callers need no second join by id). Returns the query rows with a
     ``zip`` column, NULL when there is no training point at all. The vote
     is taken once per distinct coordinate pair and joined back on the
     coordinates (one row per pair on that side, so a hot coordinate is a
     skewed join that adaptive execution splits).
     """
-    votes = knn_vote(point_neighbors(train, queries, k, **grid), PKEY)
+    key = [*by, *PKEY]
+    votes = knn_vote(point_neighbors(train, queries, k, by), key)
     rows = queries.withColumns({"qlat": F.col("lat").cast("double"),
                                 "qlon": F.col("lon").cast("double")})
-    return rows.join(votes, PKEY, "left").drop(*PKEY)
+    return rows.join(votes, key, "left").drop(*PKEY)

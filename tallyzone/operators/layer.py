@@ -6,7 +6,7 @@ map is drawn from, one row per polygon feature (zip).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyzone.constants import CITYWIDE
@@ -58,27 +58,54 @@ def layer_join(layer: DataFrame, report: DataFrame, scope: str | None = None) ->
     return feats.join(r.drop("zip_code"), "zip_text", "left").select(*LAYER_JOIN_COLUMNS)
 
 
-def layer_centroid(layer: DataFrame) -> DataFrame:
+# Vertices of one ring that a task sorts together.
+RING_RANGE = 1 << 16
+_RING = ["zip_text", "part", "ring"]
+
+
+def _range_sums(layer: DataFrame, size: int) -> DataFrame:
+    """Shoelace sums of each range of ``size`` seq numbers of a ring, taken from the range's first vertex."""
+    chunk = [*_RING, "range"]
+    along = Window.partitionBy(*chunk).orderBy("seq")
+    v = layer_keys(layer).select(*_RING, F.floor(F.col("seq") / size).alias("range"), "seq", "x", "y").withColumns({
+        "bx": F.first("x").over(along), "by": F.first("y").over(along),
+        "nx": F.lead("x").over(along), "ny": F.lead("y").over(along)})
+    u, w, u2, w2 = (F.col(c) - F.col(b) for c, b in (("x", "bx"), ("y", "by"), ("nx", "bx"), ("ny", "by")))
+    cross = u * w2 - u2 * w
+    return v.groupBy(*chunk).agg(
+        F.min("bx").alias("fx"), F.min("by").alias("fy"), F.max_by("x", "seq").alias("lx"), F.max_by("y", "seq").alias("ly"),
+        *(F.coalesce(F.sum(e), F.lit(0.0)).alias(n) for n, e in (
+            ("s", cross), ("sx", (u + u2) * cross), ("sy", (w + w2) * cross), ("xx", (u + u2) * (u2 - u)),
+            ("xy", (u + u2) * (w2 - w)), ("yx", (w + w2) * (u2 - u)), ("yy", (w + w2) * (w2 - w)))))
+
+
+def layer_centroid(layer: DataFrame, size: int = RING_RANGE) -> DataFrame:
     """Area-weighted centroid per zip (A12): exterior rings count +, holes -, parts add up.
 
-    Shoelace sums over edges, taken from the ring's first vertex (``seq`` 0)
-    and moved back at the end, so small rings far from the origin keep their
-    digits. Each vertex is joined with its successor on (zip, part, ring,
-    seq + 1), a unique key, so no ring, however long, has to sit in one task.
+    A ring, whatever its first ``seq``, is cut into ranges of ``size`` seq
+    numbers, each summed in one task from its own first vertex. The vertices
+    are shuffled once. One row per range then goes on: its sums are moved to
+    the ring's first vertex, and the edge to the next range is added. Sums
+    taken near the ring keep their digits when it is small and far from the
+    origin.
     """
-    ring = ["zip_text", "part", "ring"]
-    v = layer_keys(layer).select(*ring, "seq", "x", "y")
-    nxt = v.select(*ring, (F.col("seq") - 1).alias("seq"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    base = v.where(F.col("seq") == 0).select(*ring, F.col("x").alias("bx"), F.col("y").alias("by"))
-    edges = v.join(nxt, [*ring, "seq"]).join(base, ring).select(
-        *ring, "bx", "by", (F.col("x") - F.col("bx")).alias("x"), (F.col("y") - F.col("by")).alias("y"),
-        (F.col("x2") - F.col("bx")).alias("x2"), (F.col("y2") - F.col("by")).alias("y2"))
-    cross = F.col("x") * F.col("y2") - F.col("x2") * F.col("y")
+    along = Window.partitionBy(*_RING).orderBy("range")
+    r = _range_sums(layer, size).withColumns({
+        "ox": F.first("fx").over(along), "oy": F.first("fy").over(along),
+        "nx": F.lead("fx").over(along), "ny": F.lead("fy").over(along)})
+    dx, dy = F.col("fx") - F.col("ox"), F.col("fy") - F.col("oy")
+    # what an edge's cross product gains when its origin moves by (-dx, -dy), summed over the range
+    gain = dx * (F.col("ly") - F.col("fy")) - dy * (F.col("lx") - F.col("fx"))
+    moved = {"s": F.col("s") + gain,
+             "sx": F.col("sx") + 2 * dx * F.col("s") + dx * F.col("xy") - dy * F.col("xx") + 2 * dx * gain,
+             "sy": F.col("sy") + 2 * dy * F.col("s") + dx * F.col("yy") - dy * F.col("yx") + 2 * dy * gain}
+    ax, ay, bx, by = (F.col(c) - F.col(o) for c, o in (("lx", "ox"), ("ly", "oy"), ("nx", "ox"), ("ny", "oy")))
+    edge = ax * by - bx * ay  # to the next range; null after the last
+    bridge = {"s": edge, "sx": (ax + bx) * edge, "sy": (ay + by) * edge}
     rings = (
-        edges.groupBy(*ring)
-        .agg(F.first("bx").alias("bx"), F.first("by").alias("by"), F.sum(cross).alias("s"),
-             F.sum((F.col("x") + F.col("x2")) * cross).alias("sx"),
-             F.sum((F.col("y") + F.col("y2")) * cross).alias("sy"))
+        r.groupBy(*_RING)
+        .agg(F.first("ox").alias("bx"), F.first("oy").alias("by"),
+             *(F.sum(moved[c] + F.coalesce(bridge[c], F.lit(0.0))).alias(c) for c in ("s", "sx", "sy")))
         .where(F.col("s") != 0)
     )
     sign = F.when(F.col("ring") == 0, F.lit(1.0)).otherwise(F.lit(-1.0))

@@ -10,9 +10,10 @@ aggregate with one row per scope.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyzone.constants import CITYWIDE, DISPLAY_NAMES, SCOPES
@@ -39,26 +40,51 @@ def all_scopes(agg: DataFrame) -> DataFrame:
     return agg.withColumn("scope", F.explode(F.array(F.lit(CITYWIDE), F.col("borough"))))
 
 
-def scope_summary(scoped: DataFrame) -> DataFrame:
-    """Total crashes, mean per zip (2 dp, rounded half to even) and area count of every scope.
+def likelihood(total: str, average: Column) -> Column:
+    """Total over the rounded average of the scope, 2 dp; NULL where the average is 0."""
+    return round2(F.try_divide(F.col(total), average))
 
-    A scope without areas has the total 0 and no mean.
-    """
-    scopes = scoped.sparkSession.createDataFrame([(s,) for s in SCOPES], "scope string")
-    sums = scoped.groupBy("scope").agg(F.sum("total_crashes").alias("total"), F.count(F.lit(1)).alias("n"))
+
+def _summed(sums: DataFrame, asked: Sequence[str]) -> DataFrame:
+    """``scope, total, n`` of the scopes found, and of the asked ones without areas; asked ones first, in their order."""
+    scopes = sums.sparkSession.createDataFrame(list(enumerate(asked)), "place int, asked string")
+    n = F.coalesce("n", F.lit(0))
     return (
-        scopes.join(sums, "scope", "left")
-        .select("scope", F.coalesce("total", F.lit(0)).cast("long").alias("total_crashes"),
-                F.coalesce("n", F.lit(0)).alias("n_areas"))
-        .withColumn("average_crashes_per_zip",
-                    round2(F.try_divide(F.col("total_crashes"), F.col("n_areas"))))
+        sums.join(scopes, F.col("scope") == F.col("asked"), "full")
+        .select("place", F.coalesce("scope", "asked").alias("scope"),
+                F.coalesce("total", F.lit(0)).cast("long").alias("total_crashes"), n.alias("n_areas"))
+        .withColumn("average_crashes_per_zip", round2(F.try_divide(F.col("total_crashes"), F.col("n_areas"))))
+        .orderBy(F.col("place").asc_nulls_last(), "scope").drop("place")
     )
 
 
-def scope_totals(agg: DataFrame, scope: str | None = None) -> DataFrame:
-    """The one row (total, average) that a report of one scope shows; total 0 and no average for an empty one."""
+def scope_summary(scoped: DataFrame, asked: Sequence[str] = SCOPES) -> DataFrame:
+    """Total crashes, mean per zip (2 dp, rounded half to even) and area count of every scope.
+
+    Every scope of ``scoped`` appears, whatever its name; an asked one without
+    areas has the total 0 and no mean.
+    """
+    return _summed(scoped.groupBy("scope").agg(F.sum("total_crashes").alias("total"), F.count(F.lit(1)).alias("n")), asked)
+
+
+def area_summary(agg: DataFrame, asked: Sequence[str] = SCOPES) -> DataFrame:
+    """:func:`scope_summary` of Citywide and every borough of an aggregate, by grouping sets in one aggregate.
+
+    Areas without a borough count citywide only.
+    """
+    sums = agg.groupingSets([[], [F.col("borough")]], F.col("borough")).agg(
+        F.grouping("borough").alias("g"), F.sum("total_crashes").alias("total"), F.count(F.lit(1)).alias("n"))
+    scope = F.when(F.col("g") == 1, F.lit(CITYWIDE)).otherwise(F.col("borough"))
+    return _summed(sums.select(scope.alias("scope"), "total", "n").where("scope IS NOT NULL"), asked)
+
+
+def scope_totals(agg: DataFrame, scope: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """The one row (total, average) that a report of one scope shows; total 0 and no average for an empty one.
+
+    With ``by`` columns one row for each of their values.
+    """
     rows = scope_filter(agg, scope)
-    return rows.agg(F.coalesce(F.sum("total_crashes"), F.lit(0)).cast("long").alias("total_crashes"),
+    return rows.groupBy(*by).agg(F.coalesce(F.sum("total_crashes"), F.lit(0)).cast("long").alias("total_crashes"),
                     round2(F.avg("total_crashes")).alias("average_crashes_per_zip"))
 
 
@@ -82,7 +108,7 @@ def rank_scoped(scoped: DataFrame) -> DataFrame:
         "rank", (F.col("pos") - F.col("first_pos") + 1).cast("int"))
     return ranked.select(
         "scope", "zip_code", "borough", "total_crashes", "rank",
-        round2(F.try_divide(F.col("total_crashes"), F.col("scope_average"))).alias("crash_likelihood"),
+        likelihood("total_crashes", F.col("scope_average")).alias("crash_likelihood"),
         rank_group("rank", "n_areas").alias("decile"),
         "n_areas", "scope_total", "scope_average",
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -16,25 +17,29 @@ RECORD_OUT = ["id", "zip_code", "borough", "crash_count", "latitude", "longitude
 POINT_COLUMNS = ["id", "zip_code", "latitude", "longitude"]
 
 
-def zip_borough_counts(trusted: DataFrame) -> DataFrame:
+# ``by`` names columns that part the records into data sets of their own (requests, say): each has its own map, training
+# points and sums, all in the same tables and jobs.
+
+
+def zip_borough_counts(trusted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Rows (not crashes) per (zip, borough) among trusted rows (A1)."""
-    return trusted.groupBy("zip_code", "borough").agg(F.count(F.lit(1)).alias("n_records"))
+    return trusted.groupBy(*by, "zip_code", "borough").agg(F.count(F.lit(1)).alias("n_records"))
 
 
-def zip_borough_map(trusted: DataFrame) -> DataFrame:
+def zip_borough_map(trusted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Majority borough per zip; ties go to the alphabetically first borough (A2).
 
     ``zip_code, borough`` with one row per zip.
     """
-    counts = zip_borough_counts(trusted)
-    best = counts.groupBy("zip_code").agg(
+    counts = zip_borough_counts(trusted, by)
+    best = counts.groupBy(*by, "zip_code").agg(
         F.min(F.struct((-F.col("n_records")).alias("neg"), F.col("borough").alias("b"))).alias("m"))
-    return best.select("zip_code", F.col("m.b").alias("borough"))
+    return best.select(*by, "zip_code", F.col("m.b").alias("borough"))
 
 
-def stored_borough_map(trusted: DataFrame) -> DataFrame:
+def stored_borough_map(trusted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """:func:`zip_borough_map`, computed now and written to the shared folder."""
-    return materialised(zip_borough_map(trusted), "borough-map")
+    return materialised(zip_borough_map(trusted, by), "borough-map")
 
 
 def borough_repair(records: DataFrame, zmap: DataFrame, keep_unmapped: bool = False) -> DataFrame:
@@ -62,10 +67,10 @@ def prepared(classified: DataFrame, classes: list[str], columns: list[str]) -> D
     return materialised(C.of_class(classified, *classes).select(*columns, "cls"), "records")
 
 
-def training_points(classified: DataFrame) -> DataFrame:
+def training_points(classified: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Trusted rows as k-NN training points: ``tid, lat, lon, zip``."""
     return C.of_class(classified, C.TRUSTED).select(
-        F.col("id").alias("tid"), F.col("latitude").alias("lat"),
+        *by, F.col("id").alias("tid"), F.col("latitude").alias("lat"),
         F.col("longitude").alias("lon"), F.col("zip_code").alias("zip"))
 
 
@@ -89,12 +94,12 @@ def fill_zip_codes(classified: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     return pred.select(F.col("qid").alias("id"), F.col("zip").alias("zip_code"))
 
 
-def filled_rows(classified: DataFrame, columns: list[str], k: int = DEFAULT_K) -> DataFrame:
+def filled_rows(classified: DataFrame, columns: list[str], k: int = DEFAULT_K, by: Sequence[str] = ()) -> DataFrame:
     """The rows to fill (F5, F6) with their k-NN zip as ``zip_code`` and the given columns."""
     need = C.of_class(classified, *C.NEEDS_ZIP).select(
-        *columns, F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
-    return knn_fill(training_points(classified), need, k) \
-        .select(*columns, F.col("zip").alias("zip_code"))
+        *by, *columns, F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+    return knn_fill(training_points(classified, by), need, k, by) \
+        .select(*by, *columns, F.col("zip").alias("zip_code"))
 
 
 def filled_records(classified: DataFrame, k: int = DEFAULT_K) -> DataFrame:

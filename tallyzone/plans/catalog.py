@@ -24,11 +24,11 @@ from tallyzone.operators import rank as R
 from tallyzone.operators import repair as RP
 from tallyzone.operators.knn import knn_neighbors
 from tallyzone.plans.pipeline import (classified_records, default_report, fetch_and_aggregate, raw_records,
-                                      requested_report)
+                                      requested_reports)
 from tallyzone.session import materialised, shared_dir
 from tallyzone.sources import store as S
-from tallyzone.sources.layer import layer_from_customers, read_layer
-from tallyzone.sources.records import assign_row_id, fixture_records, period_scan, read_records, table
+from tallyzone.sources.layer import layer_from_customers, read_geojson, read_layer, write_geojson
+from tallyzone.sources.records import assign_row_id, fixture_records, period_scan, read_records, table, write_records
 
 # Request parameters of the feature-level queries.
 DEMO_PERIOD = ((1995, 1), (1995, 6))
@@ -108,7 +108,7 @@ def q_replaced_aggregate(spark, sf):
 
 def q_stored_period_scan(spark, sf):
     path = shared_dir(spark, "records")
-    raw_records(spark, sf).write.partitionBy("year", "month").parquet(path)
+    write_records(raw_records(spark, sf), path)
     return period_scan(read_records(spark, path), *DEMO_PERIOD)
 
 
@@ -170,19 +170,19 @@ def q_repaired_records(spark, sf):
 
 
 def q_union_distinct(spark, sf):
-    # Every third record comes in twice, as if two classes had claimed it.
-    times = F.when(F.col("id") % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-    rows = RP.repaired_records(_cls(spark, sf)).withColumn("copy", F.explode(times)).drop("copy")
-    return RP.union_distinct([rows])
+    # Six frames, one per fillable class; every third record is in the next class's frame, too.
+    rows = materialised(RP.repaired_records(_cls(spark, sf)), "repaired")
+    frames = [rows.where((F.col("cls") == own) | ((F.col("cls") == after) & (F.col("id") % 3 == 0)))
+              for own, after in zip(C.FILLABLE, [*C.FILLABLE[1:], C.FILLABLE[0]])]
+    return RP.union_distinct(frames)
 
 
-def q_knn_neighbors_stress(spark, sf):
-    """Clusters and near-ties: the first two entries of every vector, every tenth vector a query."""
+def q_knn_neighbors_search(spark, sf):
+    """Clusters and near-ties: the first two entries of every vector; ids divisible by 100 ask all rows, their own too."""
     points = table(spark, sf, "embeddings").select(
         "vec_id", F.col("embedding")[0].alias("lat"), F.col("embedding")[1].alias("lon"), F.col("label").alias("zip"))
-    train = points.where(F.col("vec_id") % 10 != 0).withColumnRenamed("vec_id", "tid")
-    asked = points.where(F.col("vec_id") % 10 == 0).withColumnRenamed("vec_id", "qid")
-    return knn_neighbors(train, asked, STRESS_K).select(F.col("qid").alias("id"), "j", "tid", "zip", "d2")
+    asked = points.where(F.col("vec_id") % 100 == 0).withColumnRenamed("vec_id", "qid")
+    return knn_neighbors(points.withColumnRenamed("vec_id", "tid"), asked, STRESS_K).select(F.col("qid").alias("id"), "j", "tid", "zip", "d2")
 
 
 # --- aggregates and reports -------------------------------------------------------
@@ -196,7 +196,7 @@ def q_scope_filter(spark, sf):
 
 
 def q_scope_summary(spark, sf):
-    return R.scope_summary(R.all_scopes(_agg(spark, sf))).select(
+    return R.area_summary(_agg(spark, sf)).select(
         "scope", "total_crashes", "n_areas", "average_crashes_per_zip")
 
 
@@ -214,10 +214,7 @@ def q_default_report(spark, sf):
 
 
 def q_validated_request(spark, sf):
-    reports = [(i, requested_report(spark, sf, start, end, DEMO_AS_OF, earliest=DEMO_EARLIEST))
-               for i, (start, end) in enumerate(DEMO_REQUESTS)]
-    return reduce(DataFrame.unionByName, [
-        r.table.withColumn("request", F.lit(i)) for i, r in reports if r is not None])
+    return requested_reports(spark, sf, DEMO_REQUESTS, DEMO_AS_OF, earliest=DEMO_EARLIEST).table
 
 
 def q_rank_citywide(spark, sf):
@@ -261,7 +258,7 @@ def q_unique_zips(spark, sf):
 
 
 def q_zip_prefix(spark, sf):
-    return LK.zip_prefix(_agg(spark, sf), DEMO_PREFIX)
+    return LK.zip_prefix(materialised(_agg(spark, sf), "aggregate"), DEMO_PREFIX)
 
 
 def q_area_lookup(spark, sf):
@@ -301,6 +298,12 @@ def q_stored_layer(spark, sf):
     return L.layer_keys(read_layer(spark, path)).select("zip_text", "part", "ring", "seq", "x", "y")
 
 
+def q_geojson_layer(spark, sf):
+    path = shared_dir(spark, "geojson")
+    write_geojson(_layer(spark, sf), path)
+    return L.layer_keys(read_geojson(spark, path)).select("zip_text", "part", "ring", "seq", "x", "y")
+
+
 def q_layer_labels(spark, sf):
     return L.layer_table(_layer(spark, sf), _citywide(spark, sf), CITYWIDE).select("zip_text", "label")
 
@@ -386,7 +389,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "borough_repair": q_borough_repair,
     "knn_neighbors": q_knn_neighbors,
     "knn_zip_vote": q_knn_zip_vote,
-    "knn_neighbors_stress": q_knn_neighbors_stress,
+    "knn_neighbors_search": q_knn_neighbors_search,
     "repaired_records": q_repaired_records,
     "union_distinct": q_union_distinct,
     "crashes_by_zip": q_crashes_by_zip,
@@ -424,5 +427,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "default_report": q_default_report,
     "validated_request": q_validated_request,
     "stored_layer": q_stored_layer,
+    "geojson_layer": q_geojson_layer,
     "current_month": q_current_month,
 }

@@ -369,12 +369,12 @@ _now = (int(DEMO_AS_OF[:4]), int(DEMO_AS_OF[5:7]))
 _VALID = [(i, r) for i, r in enumerate(DEMO_REQUESTS) if DEMO_EARLIEST <= r[0] <= r[1] <= _now]
 
 ORACLE |= {
-    "knn_neighbors_stress": f"""
+    "knn_neighbors_search": f"""
 WITH points AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, label FROM embeddings)
 SELECT q.vec_id AS id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY
          (q.x - t.x) * (q.x - t.x) + (q.y - t.y) * (q.y - t.y), t.vec_id) AS INTEGER) AS j,
        t.vec_id AS tid, t.label AS zip, (q.x - t.x) * (q.x - t.x) + (q.y - t.y) * (q.y - t.y) AS d2
-FROM points q CROSS JOIN points t WHERE q.vec_id % 10 = 0 AND t.vec_id % 10 <> 0
+FROM points q CROSS JOIN points t WHERE q.vec_id % 100 = 0
 QUALIFY j <= {STRESS_K}""",
     "replaced_aggregate": _q("SELECT zip_code, borough, total_crashes FROM agg"),
     "stored_period_scan": ORACLE["period_scan"],
@@ -386,6 +386,7 @@ FROM ranked GROUP BY scope"""),
     "validated_request": " UNION ALL ".join(
         f"SELECT * FROM ({_q(f'SELECT {i} AS request, {_REPORT} FROM city', r)})" for i, r in _VALID),
     "stored_layer": _q("SELECT trim(modzcta) AS zip_text, part, ring, CAST(seq AS INTEGER) AS seq, x, y FROM layer"),
+    "geojson_layer": _q("SELECT trim(modzcta) AS zip_text, part, ring, CAST(seq AS INTEGER) AS seq, x, y FROM layer"),
     "current_month": _q(f"""
 SELECT year, month, n_records FROM months WHERE month = month({_AS_OF}) AND year <= year({_AS_OF})"""),
 }

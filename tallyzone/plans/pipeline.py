@@ -10,15 +10,19 @@ its place and everything downstream is unchanged.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyzone.constants import DEFAULT_K, EARLIEST_MONTH, EARLIEST_YEAR
-from tallyzone.functions.periods import previous_period, request_valid
+from tallyzone.functions.periods import previous_period, request_months, request_valid
 from tallyzone.operators import classify as C
 from tallyzone.operators.aggregate import crashes_by_zip
 from tallyzone.operators.layer import layer_table
 from tallyzone.operators.lookup import area_lookup
-from tallyzone.operators.rank import Report, area_report, full_report
+from tallyzone.operators.rank import (REPORT_COLUMNS, Report, area_report, full_report, rank_scoped, scope_filter,
+                                      scope_totals)
 from tallyzone.session import materialised
 from tallyzone.sources.layer import layer_from_customers
 from tallyzone.sources.records import fixture_records, table
@@ -72,3 +76,22 @@ def requested_report(spark: SparkSession, sf_dir: str, start, end, as_of, scope:
     if not request_valid(start, end, as_of, earliest):
         return None
     return full_report(materialised(fetch_and_aggregate(spark, sf_dir, (start, end), sort=False), "request"), scope)
+
+
+def requested_reports(spark: SparkSession, sf_dir: str, requests: Sequence[tuple], as_of, scope: str | None = None,
+                      earliest=(EARLIEST_YEAR, EARLIEST_MONTH), k: int = DEFAULT_K) -> Report:
+    """Many requests, (start, end) pairs of months, over one read of the records; invalid ones have no rows.
+
+    A record meets the requests that its month lies in by an equi-join with
+    the months of each request. From there the request is part of every key:
+    one k-NN index, one borough map and one sum hold all requests. Both tables
+    of the report begin with ``request``, the place in the list.
+    """
+    valid = [(i, s, e) for i, (s, e) in enumerate(requests) if request_valid(s, e, as_of, earliest)]
+    months = spark.createDataFrame(request_months(valid), "request int, year int, month int")
+    period = (min(s for _, s, _ in valid), max(e for _, _, e in valid)) if valid else ((1, 1), (1, 1))
+    raw = raw_records(spark, sf_dir, period).join(months, ["year", "month"])
+    classified = C.with_class(C.typed_records(raw, keep=["request"]))
+    agg = materialised(scope_filter(crashes_by_zip(classified, k, sort=False, by=["request"]), scope), "requests")
+    table = rank_scoped(agg.withColumn("scope", F.col("request"))).select(F.col("scope").alias("request"), *REPORT_COLUMNS)
+    return Report(table, scope_totals(agg, by=["request"]))

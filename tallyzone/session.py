@@ -11,7 +11,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
@@ -87,6 +88,11 @@ def materialised(df: DataFrame, name: str = "tallyzone") -> DataFrame:
     it, the planner knows its size, and it goes with the session's other
     scratch folders.
     """
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return counted(df, name)[0]
+
+
+def counted(df: DataFrame, name: str = "tallyzone") -> tuple[DataFrame, int]:
+    """:func:`materialised`, with the number of rows, counted as they are written."""
+    path, rows = shared_dir(df.sparkSession, name), Observation()
+    df.observe(rows, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), rows.get["n"]

@@ -3,9 +3,9 @@
 A layer is ``modzcta string, part int, ring int, seq int, x double, y double``:
 one row per vertex, rings closed (last vertex = first), ring 0 the exterior
 and rings > 0 holes, ``part`` numbering the pieces of a multi-part shape,
-x = longitude and y = latitude in degrees. Shapefile parsing is not part of
-this library; any vertex table (e.g. exported from a GIS) can be read with
-:func:`read_layer`.
+x = longitude and y = latitude in degrees. A vertex table is read with
+:func:`read_layer`, a geometry file (GeoJSON, one feature a line) with
+:func:`read_geojson`. Shapefile parsing is not part of this library.
 
 :func:`layer_from_customers` derives the test layer from the given
 ``customer`` table: one square per customer, the first 180 on the zip cells
@@ -36,6 +36,45 @@ def read_layer(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LAYER_SCHEMA).parquet(path).select(*LAYER_COLUMNS)
 
 
+_LINE = "type string, properties map<string,string>, geometry struct<type:string,coordinates:string>"
+_POLYGON = "array<array<array<double>>>"
+
+
+def read_geojson(spark: SparkSession, path: str, key: str = "modzcta") -> DataFrame:
+    """Polygons and multi-polygons of GeoJSON lines as the vertex table; ``key`` names the property.
+
+    Lines may begin with the record separator of GeoJSON text sequences.
+    Other geometries, features without one and lines that are no feature give
+    no rows. All parsing is on the JVM; a feature is one line, its vertices
+    leave as rows at once.
+    """
+    line = F.from_json(F.ltrim(F.col("value"), F.lit("\x1e \t")), _LINE)
+    features = (spark.read.text(path).select(line.alias("f")).where("f.type = 'Feature'")
+                .select(F.col("f.properties")[key].alias("modzcta"), F.col("f.geometry.type").alias("kind"),
+                        F.col("f.geometry.coordinates").alias("c")))
+    parts = F.when(F.col("kind") == "Polygon", F.array(F.from_json("c", _POLYGON))) \
+        .when(F.col("kind") == "MultiPolygon", F.from_json("c", f"array<{_POLYGON}>"))
+    return (features.select("modzcta", F.posexplode(parts).alias("part", "rings"))
+            .select("modzcta", "part", F.posexplode("rings").alias("ring", "points"))
+            .select("modzcta", "part", "ring", F.posexplode("points").alias("seq", "p"))
+            .select("modzcta", "part", "ring", "seq", F.col("p")[0].alias("x"), F.col("p")[1].alias("y")))
+
+
+def write_geojson(layer: DataFrame, path: str, key: str = "modzcta") -> None:
+    """A vertex table as GeoJSON lines, one multi-polygon a line; parts, rings and vertices in their order."""
+    def nested(df, by, order, what):
+        listed = F.array_sort(F.collect_list(F.struct(order, what)))
+        return df.groupBy(*by).agg(F.transform(listed, lambda s: s[what]).alias("c"))
+
+    rings = nested(layer.withColumn("p", F.array("x", "y")), ["modzcta", "part", "ring"], "seq", "p")
+    parts = nested(rings, ["modzcta", "part"], "ring", "c")
+    features = nested(parts, ["modzcta"], "part", "c")
+    geometry = F.struct(F.lit("MultiPolygon").alias("type"), F.col("c").alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.col("modzcta").alias(key)).alias("properties"),
+                       geometry.alias("geometry"))
+    features.select(F.to_json(feature).alias("value")).write.text(path)
+
+
 def _ring(cells: DataFrame, zip_col: Column, part: int, ring: int,
           x0: Column, y0: Column, x1: Column, y1: Column, clockwise: bool) -> DataFrame:
     # corner order of a closed square ring; counter-clockwise for exteriors

@@ -54,7 +54,7 @@ def _points(seed, n_train, n_query):
 
 @pytest.mark.parametrize("seed,k,leaf", [(1, 5, 32), (3, 7, 32), (4, 3, 2)])
 def test_grid_equals_brute_force(spark, seed, k, leaf, monkeypatch):
-    monkeypatch.setattr(knn, "LEAF", leaf)
+    monkeypatch.setattr(knn, "TILE", leaf)
     train, queries = _points(seed, 900, 120)
     tdf = spark.createDataFrame(train, "tid long, lat double, lon double, zip int")
     qdf = spark.createDataFrame(queries, "qid long, lat double, lon double")

@@ -39,7 +39,7 @@ def test_every_query_has_oracle_or_reason():
 
 
 @pytest.mark.parametrize("key", ["crashes_by_zip", "area_report_all", "knn_neighbors", "area_lookup_all",
-                                 "layer_table", "period_validity", "assign_row_id", "knn_neighbors_stress",
+                                 "layer_table", "period_validity", "assign_row_id", "knn_neighbors_search", "geojson_layer", "area_lookup", "scope_summary",
                                  "union_distinct", "default_report", "validated_request", "empty_period"])
 def test_matches_oracle(spark, key):
     df = E.queries()[key](spark, SF)
