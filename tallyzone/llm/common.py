@@ -15,6 +15,7 @@ chunk, not once per row.
 
 from __future__ import annotations
 
+import ctypes
 import struct
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from tallyzone.session import shared_dir
 
 CHUNK_BYTES = 4_000_000
+#: Texts that a task works on at a time, and bytes whose words are hashed at a time.
+SLICE_BYTES, HASH_BYTES = 1_000_000, 1 << 18
 CHUNK_SCHEMA = "chunk_id long, n_bytes long, blob binary"
 ANSWER_SCHEMA = "chunk_id long, bucket int, payload binary"
 
@@ -55,9 +58,21 @@ def ship(spark: SparkSession) -> None:
 
 
 def mapped(df: DataFrame, function, schema: str) -> DataFrame:
-    """``df.mapInArrow`` with the package at hand."""
+    """``df.mapInArrow`` with the package at hand; a worker hands its free memory back when a task ends."""
+    def run(batches):
+        yield from function(batches)
+        tidy()
+
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(run, schema)
+
+
+def tidy() -> None:
+    """Give what this process has freed back to the machine (where its C library can)."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def crc_remainder(column: str, modulus: int):
@@ -75,7 +90,7 @@ def utf8(text: str) -> bytes:
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text",
-           most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+           most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of ``column`` (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
@@ -149,6 +164,7 @@ def answers(requests: DataFrame, answer: Callable[[list[bytes]], list[bytes | No
     """
     def bucket(table: pa.Table) -> pa.Table:
         replies = answer(table.column("payload").to_pylist())
+        tidy()
         out = pa.table({"chunk_id": table.column("chunk_id"), "bucket": table.column("bucket"),
                         "payload": pa.array(replies, pa.binary())})
         return out.filter(pc.is_valid(out.column("payload")))
@@ -208,6 +224,70 @@ class Words(dict):
         return tuple(x[index] for x in self.arrays)
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_VALUES = np.random.default_rng(0x5EED).integers(1, 1 << 63, 256).astype(np.uint64)
+_BASE = 0xD1342543DE82EF95
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
+
+
+_FORTH, _BACK = _powers(_BASE, 2 * HASH_BYTES), _powers(pow(_BASE, -1, 1 << 64), 2 * HASH_BYTES)
+
+
+def _pieces(body: bytes) -> Iterator[bytes]:
+    """A text cut at white space into about ``HASH_BYTES`` each; a longer word stays whole."""
+    at = 0
+    while len(body) - at > HASH_BYTES:
+        cut = max(body.rfind(c, at, at + HASH_BYTES) for c in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"))
+        if cut < 0:
+            after = [p for c in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r") if (p := body.find(c, at + HASH_BYTES)) >= 0]
+            cut = min(after, default=len(body) - 1)
+        yield body[at:cut + 1]
+        at = cut + 1
+    yield body[at:]
+
+
+def word_hashes(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word ``[^\\x20\\x09-\\x0D]+`` of all texts in order, and how many words each has.
+
+    A word's hash is the difference of two prefix sums over the bytes, so no
+    word becomes an object of its own.
+    """
+    hashes, counts = [np.zeros(0, np.uint64)], np.zeros(len(bodies), np.int64)
+    group, owners, size = [], [], 0
+
+    def flush():
+        joined = b" ".join([*group, b""])
+        body = np.frombuffer(joined, np.uint8)
+        edge = np.flatnonzero(np.diff(~_BLANK[body], prepend=False))
+        begin, end = edge[::2], edge[1::2]
+        forth, back = (_FORTH, _BACK) if len(body) <= len(_FORTH) else (
+            _powers(_BASE, len(body)), _powers(pow(_BASE, -1, 1 << 64), len(body)))
+        sums = np.zeros(len(body) + 1, np.uint64)
+        np.cumsum(_VALUES[body] * forth[:len(body)], out=sums[1:])
+        x = (sums[end] - sums[begin]) * back[begin]
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        hashes.append(x ^ x >> np.uint64(29))
+        first = np.concatenate([[0], np.cumsum([len(g) + 1 for g in group])])
+        np.add.at(counts, owners, np.diff(np.searchsorted(begin, first)))
+
+    for i, whole in enumerate(bodies):
+        for body in _pieces(whole):
+            if group and size + len(body) > HASH_BYTES:
+                flush()
+                group, owners, size = [], [], 0
+            group.append(body)
+            owners.append(i)
+            size += len(body) + 1
+    if group:
+        flush()
+    return np.concatenate(hashes), counts
+
+
 def split_all(batch_texts: list[str]) -> tuple[list[bytes], np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of all texts in one list, and how many each text has."""
     lists = [utf8(t).split() for t in batch_texts]

@@ -31,12 +31,11 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyzone.llm.common import (Words, answers, chunk_table, from_blob, mapped, pack_sorted, read_table, split_all,
-                                  starts, stored, texts, unpack_sorted, with_answers)
+from tallyzone.llm.common import (answers, chunk_table, from_blob, mapped, pack_sorted, read_table, starts, stored,
+                                  unpack_sorted, with_answers, word_hashes)
 
 WINDOW = 35
 BUCKET_WORDS = 4_000_000
@@ -44,10 +43,6 @@ BASE = 0x9E3779B97F4A7C15
 REQUEST = "bucket int, chunk_id long, payload binary"
 
 
-def hash_words(new: list[bytes]) -> tuple[np.ndarray]:
-    return (np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new)),)
-
-
 def rolling(values: np.ndarray, n: int) -> np.ndarray:
     """Hash of the ``n`` values from each position on: differences of prefix sums of a polynomial modulo 2**64."""
     size = len(values)
@@ -65,12 +60,12 @@ def rolling(values: np.ndarray, n: int) -> np.ndarray:
 class Chunk:
     """The words of a chunk's documents, hashed, with each word's place in its document."""
 
-    def __init__(self, blob, words: Words):
+    def __init__(self, blob):
         self.batch = from_blob(blob)
-        self.words, self.counts = split_all(texts(self.batch))
-        (self.values,) = words(self.words)
+        self.bodies = [t or b"" for t in self.batch.column("text").cast(pa.binary()).to_pylist()]
+        self.values, self.counts = word_hashes(self.bodies)
         self.first = starts(self.counts)
-        self.place = np.arange(len(self.words)) - np.repeat(self.first[:-1], self.counts)
+        self.place = np.arange(len(self.values)) - np.repeat(self.first[:-1], self.counts)
         self.room = np.repeat(self.counts, self.counts) - self.place  # words from here to the document's end
 
     def hashes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,8 +117,10 @@ def answer(payloads: list[bytes]) -> list[bytes | None]:
         (n,) = struct.unpack_from("<q", p)
         asks.append(unpack_sorted(p[8:8 + n]))
         every += [asks[-1], unpack_sorted(p[8 + n:])]
-    every = np.sort(np.concatenate(every))
+    every = np.concatenate(every)
+    every.sort()
     twice = np.unique(every[1:][every[1:] == every[:-1]])
+    del every
     out = []
     for keys in asks:
         if len(twice):
@@ -143,7 +140,7 @@ def anchors(chunk: Chunk, block: int, buckets: int) -> tuple[np.ndarray, np.ndar
 
 def windows(chunk: Chunk, hits: np.ndarray, window: int, block: int, buckets: int) -> tuple[np.ndarray, Question]:
     """Starts of the windows that hold a block at ``hits``, and the question."""
-    near = np.zeros(len(chunk.words) + 1, np.int64)
+    near = np.zeros(len(chunk.values) + 1, np.int64)
     np.add.at(near, np.maximum(hits - (window - block), chunk.first[:-1][
         np.searchsorted(chunk.first, hits, side="right") - 1] if len(hits) else hits), 1)
     np.add.at(near, hits + 1, -1)
@@ -169,12 +166,11 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", window
                                 "payload": pa.array([p for _, p in sent], pa.binary())})
 
     def each(batches):
-        words = Words(hash_words)
         for batch in batches:
             replies = batch.column("replies") if "replies" in batch.schema.names else None
             for i in range(batch.num_rows):
                 said = replies[i].as_py() if replies is not None else None
-                yield (batch.column("chunk_id")[i].as_py(), Chunk(batch.column("blob")[i].as_buffer(), words),
+                yield (batch.column("chunk_id")[i].as_py(), Chunk(batch.column("blob")[i].as_buffer()),
                        {r["bucket"]: r["payload"] for r in said or ()})
 
     def ask_anchors(batches):
@@ -193,13 +189,13 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", window
         for _, chunk, replies in each(batches):
             at, question = hit_windows(chunk, {b: p for b, p in replies.items() if b < buckets})
             begin = at[question.repeated({b - buckets: p for b, p in replies.items() if b >= buckets})]
-            marks = np.zeros(len(chunk.words) + 1, np.int64)
+            marks = np.zeros(len(chunk.values) + 1, np.int64)
             marks[begin] += 1
             marks[begin + window] -= 1
             gone = np.cumsum(marks)[:-1] > 0
             spans, kept = [], []
-            for a, b in zip(chunk.first[:-1].tolist(), chunk.first[1:].tolist()):
-                own, words = gone[a:b], chunk.words[a:b]
+            for body, a, b in zip(chunk.bodies, chunk.first[:-1].tolist(), chunk.first[1:].tolist()):
+                own, words = gone[a:b], body.split()
                 if own.any():
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], own, [0]]).astype(np.int8)))
                     spans.append([{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2])])

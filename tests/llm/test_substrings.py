@@ -77,3 +77,19 @@ def test_rolling_hashes_depend_on_the_window_only():
     y = np.concatenate([x[50:100], x[:50]])
     assert (substrings.rolling(x, 20)[50:81] == substrings.rolling(y, 20)[:31]).all()
     assert len(np.unique(substrings.rolling(x, 20))) == 281
+
+
+def test_word_hashes_equal_where_words_do():
+    from tallyzone.llm import common
+
+    rng = random.Random(8)
+    words = [b"a", b"b", b"ab", b"ba", "é".encode(), b"x\x00", b"\x1cq", b"w" * 300_000, *(b"w%d" % i for i in range(300))]
+    bodies = [b"", b" \t\n", *(rng.choice([b" ", b"\n", b" \x0b "]).join(rng.choices(words, k=rng.randint(0, 40)))
+                               for _ in range(60)), b" ".join(rng.choices(words, k=30)), b"tail " * 120_000]
+    hashes, counts = common.word_hashes(bodies)
+    flat = [w for b in bodies for w in b.split()]
+    assert counts.tolist() == [len(b.split()) for b in bodies]
+    by = {}
+    for word, h in zip(flat, hashes.tolist()):
+        assert by.setdefault(word, h) == h
+    assert len(set(by.values())) == len(by)
