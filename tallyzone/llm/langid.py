@@ -3,14 +3,15 @@
 A text is its lower-cased words; a word has the byte n-grams of ``<word>``,
 hashed to ``BUCKETS`` embeddings. The text's vector is the average over all
 subwords of all its words, and a linear softmax gives the language. Both are
-trained by stochastic gradient descent in numpy on a bounded, stratified
-sample of labelled rows; a temperature and a rejection threshold are fitted
+trained by stochastic gradient descent in numpy on windows drawn from the whole
+texts of a bounded, stratified sample of labelled rows; a temperature and a rejection threshold are fitted
 on a part of the sample that the training doesn't see.
 
 Defined results: a null text, or one without a letter, is ``und`` with score
 0 and is rejected; every other text gets a learned language; repeated rows
 are kept; an empty table gives no rows; without any labelled row all texts
-are ``und``; other columns of the input are ignored.
+are ``und``; texts of any length are read whole; of equally likely languages the
+first by name wins; other columns of the input are ignored.
 """
 
 from collections.abc import Iterator
@@ -23,11 +24,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyzone.llm.common import Words, crc_remainder, mapped, read_table, ship, slices, starts, texts, utf8
+from tallyzone.llm.common import (Words, crc_remainder, mapped, read_table, ship, slices, starts, texts, tidy,
+                                  utf8)
 
 BUCKETS, DIM, SIZES = 1 << 16, 16, (1, 2, 3, 4)
-#: Bounds of the training sample: rows of a language (expected), code points of a row.
-SAMPLE_ROWS, SAMPLE_CHARS = 1500, 2000
+#: Bound of the training sample: rows of a language (expected). Words that a worker keeps at hand.
+SAMPLE_ROWS, CACHED_WORDS = 1500, 150_000
 #: Part of the sample's correct rows that the rejection may lose.
 REJECT_RATE = 0.0005
 LETTER = regex.compile(r"\p{L}")
@@ -79,23 +81,27 @@ def by_text(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(bodies: list[str], labels: list[str], epochs: int = 4, batch: int = 32, rate: float = 0.5,
+def drawn(body: str, key: int, most: int = 60, times: int = 2) -> list[str]:
+    """Windows of 1 to ``most`` words from anywhere in a text, so that short texts are met too; the same for a key."""
+    words, rng = utf8(body.lower()).split(), np.random.default_rng(key & 0xFFFFFFFF)
+    out = []
+    for _ in range(times if words else 0):
+        n = int(rng.integers(1, most + 1))
+        at = int(rng.integers(0, max(1, len(words) - n + 1)))
+        out.append(b" ".join(words[at:at + n]).decode("utf-8", "replace"))
+    return out
+
+
+def train(windows: list[tuple[int, str, str]], epochs: int = 4, batch: int = 32, rate: float = 0.5,
           seed: int = 11) -> Model:
-    """Fit on windows of 1 to 60 words of each body, so that short texts are met too."""
+    """Fit on (key of the row, language, text) windows; a fifth of the rows is held back for calibration."""
     rng = np.random.default_rng(seed)
-    langs = sorted(set(labels))
+    langs = sorted({lang for _, lang, _ in windows})
     rows, y, fit = [], [], []
-    for body, label in sorted(zip(bodies, labels)):
-        words = utf8(body.lower()).split()
-        if not words:
-            continue
-        held = bool(rng.random() < 0.2)
-        for _ in range(2):
-            n = int(rng.integers(1, 61))
-            at = int(rng.integers(0, max(1, len(words) - n + 1)))
-            rows.append(subwords(words[at:at + n])[0])
-            y.append(langs.index(label))
-            fit.append(not held)
+    for key, lang, text in sorted(windows):
+        rows.append(subwords(utf8(text).split())[0])
+        y.append(langs.index(lang))
+        fit.append(key % 5 != 0)
     y, fit = np.array(y, np.int64), np.array(fit, bool)
     emb = rng.normal(0, 0.1, (BUCKETS, DIM))
     out, bias = np.zeros((DIM, len(langs))), np.zeros(len(langs))
@@ -132,11 +138,12 @@ def train(bodies: list[str], labels: list[str], epochs: int = 4, batch: int = 32
     return model
 
 
-def sample(docs: DataFrame, per_lang: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list:
-    """Labelled rows for training: about ``per_lang`` of each language by hash of the id, a window of each.
+def sample(docs: DataFrame, per_lang: int = SAMPLE_ROWS) -> list[tuple[int, str, str]]:
+    """Windows of labelled rows for training: about ``per_lang`` rows of each language by hash of the id.
 
-    The only place that looks at less than everything; the bound keeps the
-    driver's share the same at any size.
+    The only place that looks at less than all rows; the bound keeps the
+    driver's share the same at any size. Tasks draw the windows from whole
+    texts, the driver gets no text beyond them.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -144,15 +151,24 @@ def sample(docs: DataFrame, per_lang: int = SAMPLE_ROWS, chars: int = SAMPLE_CHA
     chosen = F.lit(False)
     for lang, n in sorted(counts.items()):
         chosen = chosen | ((F.col("lang") == lang) & (share < min(1.0, per_lang / n)))
-    begin = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.greatest(F.lit(1), F.length("text") - F.lit(chars)))
-    return rows.where(chosen).select("lang", F.substring("text", begin.cast("int") + 1, F.lit(chars)).alias("text")
-                                     ).collect()
+
+    def draw(batches):
+        for batch in slices(batches):
+            out = [(key, lang, window) for key, lang, body in zip(
+                batch.column("key").to_pylist(), batch.column("lang").to_pylist(), texts(batch))
+                for window in drawn(body, key)]
+            yield pa.record_batch({"key": pa.array([o[0] for o in out], pa.int64()),
+                                   "lang": pa.array([o[1] for o in out], pa.string()),
+                                   "text": pa.array([o[2] for o in out], pa.string())})
+
+    asked = rows.where(chosen).select(F.xxhash64("doc_id", "text", F.lit(6)).alias("key"), "lang", "text")
+    return [tuple(r) for r in mapped(asked, draw, "key long, lang string, text string").collect()]
 
 
 def fit(docs: DataFrame) -> Model | None:
-    """A model from the labelled rows of ``docs`` (doc_id, text, lang); None without any."""
-    rows = sample(docs)
-    return train([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
+    """A model from the labelled rows of ``docs`` (doc_id, text, lang); None without any word to learn from."""
+    windows = sample(docs)
+    return train(windows) if windows else None
 
 
 class Judge:
@@ -160,7 +176,7 @@ class Judge:
 
     def __init__(self, model: Model | None):
         self.model = model
-        self.words = Words(lambda new: (word_logits(new, model),))
+        self.words = Words(lambda new: (word_logits(new, model),), most=CACHED_WORDS)
 
     def __call__(self, bodies: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         m = self.model
@@ -228,5 +244,6 @@ def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
         for bodies in series:
             parts = [judge(list(bodies.iloc[i:i + 500].fillna("")))[2] for i in range(0, len(bodies), 500)]
             yield pd.Series(~np.concatenate(parts) if parts else [], dtype=bool)
+        tidy()
 
     return docs.where(accepted("text"))
