@@ -83,3 +83,15 @@ def test_plans_meet_the_demand():
             for s, k in config.items():
                 got[s] += k * times
         assert got == demand
+
+
+def test_runs_give_the_tokenizers_ids():
+    """Lower case and closing marks apart: no text's ids change, marks that combine or contract included."""
+    rng = random.Random(12)
+    tokens = packing.tokens_of(public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    parts = ["It", "'S", "'s", "'", "\"", "...", "H", "\u0331", "e", "\u0301", "É", "x9", "9", ",", "_", "`", "$", "’", "ß", "İ",
+             " ", " ", " ", "\n", "\x1c", "Ａ", "-", "'re", "日本", "%", "\u00a0", "'LL"]
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 12)))
+        assert tokens([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
