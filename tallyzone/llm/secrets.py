@@ -7,7 +7,8 @@ the current rules, scans each once, appends them, and joins findings back
 to all paths that ever held the blob.
 
 Defined results: a null text is the empty text; an empty text has no
-findings; equal texts share one blob; repeated rows are kept; an empty
+findings; a text of any length is scanned whole; equal texts share one blob,
+and a blob that two scans appended counts once; repeated rows are kept; an empty
 table gives no rows; other columns of the input are ignored.
 """
 
@@ -89,12 +90,14 @@ def scan(docs: DataFrame, ledger: str, path: str = "doc_id", text: str = "text")
     known = read_ledger(spark, ledger)
     unseen = versions
     if known is not None:
-        seen = known.where(F.col("rule_version") == RULE_VERSION).select("blob")
+        seen = known.where(F.col("rule_version") == RULE_VERSION).select("blob").distinct()
         unseen = versions.join(seen, "blob", "left_anti")
     blobs = unseen.groupBy("blob").agg(F.first("text").alias("text"))
     scan_blobs(blobs).write.mode("append").parquet(ledger)
     found = (read_ledger(spark, ledger)
-             .where((F.col("rule_version") == RULE_VERSION) & (F.size("findings") > 0)).select("blob", "findings"))
+             .where((F.col("rule_version") == RULE_VERSION) & (F.size("findings") > 0))
+             # two scans at once may have appended the same blob
+             .groupBy("blob").agg(F.first("findings").alias("findings")))
     return (versions.select("path", "blob").join(found, "blob", "left")
             .withColumn("findings", F.coalesce("findings", F.array().cast(FINDINGS))))
 

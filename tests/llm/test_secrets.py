@@ -48,3 +48,19 @@ def test_redaction(spark, make):
 
 def test_empty(spark, make):
     assert secrets.redact(make([]), shared_dir(spark, "ledger")).count() == 0
+
+
+def test_a_blob_twice_in_the_ledger_counts_once(spark, make):
+    ledger = shared_dir(spark, "ledger")
+    docs = make([(1, "token = abcdefgh"), (2, "token = abcdefgh")])
+    assert secrets.scan(docs, ledger).count() == 2
+    secrets.read_ledger(spark, ledger).write.mode("append").parquet(ledger + "-copy")
+    spark.read.parquet(ledger + "-copy").write.mode("append").parquet(ledger)  # as a second scan at the same time would
+    assert sorted(r["path"] for r in secrets.scan(docs, ledger).collect()) == [1, 2]
+
+
+def test_empty_table_and_very_long_text(spark, make):
+    assert secrets.scan(make([]), shared_dir(spark, "ledger")).count() == 0
+    long = "word " * 400_000 + "token = abcdefgh"
+    (row,) = secrets.scan(make([(1, long)]), shared_dir(spark, "ledger")).collect()
+    assert [(f["kind"], f["start"], f["end"]) for f in row["findings"]] == [("assign", 2_000_000, 2_000_016)]
