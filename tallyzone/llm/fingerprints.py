@@ -140,6 +140,18 @@ def compared(rows: list[tuple]) -> dict[str, pa.Array]:
     return {name: pa.array(v, kind) for (name, kind), v in zip(FIELDS, values)}
 
 
+def dealt(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text) in ranges of descending id.
+
+    The rows of one id, or without one, are dealt by their texts' hash, and
+    equal rows by their place, so no id makes a range of its own.
+    """
+    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"),
+                       F.monotonically_increasing_id().alias("row"))
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("row")]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("row")
+
+
 def neighbours(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every text and its edited text, by descending id.
 
@@ -147,9 +159,7 @@ def neighbours(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
     neighbours of its range as they pass; only its first and last text meet
     the next range's, in a second step over two texts of each range.
     """
-    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
-    ranges = rows.repartitionByRange(F.col("doc_id").desc_nulls_last()).sortWithinPartitions(*order)
+    ranges = dealt(docs, id, text)
     blank = {name: kind for name, kind in FIELDS}
 
     def edge(kind, part, doc, body):

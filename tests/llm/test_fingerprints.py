@@ -59,3 +59,19 @@ def test_few_rows_and_repeats(spark, make):
     assert only[0]["edited_sha256"] == hashlib.sha256(b"abab").hexdigest()
     again = fp.neighbours(make([(4, "abcd"), (4, "abcd"), (None, "x")])).collect()
     assert sorted(str(r["doc_id"]) for r in again) == ["4", "4", "None"]
+
+
+def test_rows_of_one_id_are_dealt_over_partitions(spark, make):
+    from pyspark.sql import functions as F
+
+    from tallyzone.llm import fingerprints as F9
+
+    for rows in ([(7, "same")] * 4000, [(None, f"text {i}") for i in range(4000)]):
+        docs = make(rows).repartition(8)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            parts = F9.dealt(docs).groupBy(F.spark_partition_id().alias("p")).count().collect()
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+        assert len(parts) == 8 and max(r["count"] for r in parts) < 1000
+        assert F9.neighbours(docs).count() == 4000
