@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from tallyzone.llm.common import mapped, read_table, slices, texts
 
-#: Most pages that the trees learn from, and most characters of one.
-SAMPLE, SAMPLE_CHARS = 250, 60_000
+#: Most pages that the trees learn from.
+SAMPLE = 250
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter "
                    "progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -457,11 +457,12 @@ def learn(pages: list[str], copies: int = 3, seed: int = 4) -> Boosted | None:
     for html in pages:
         page = Page(html)
         main = marked(page)
-        if not main.any():
-            continue
-        add(page, main)
+        known = main.any()
+        if known:
+            add(page, main)
+        # of a page that marks no article the texts still make articles for other layouts
         blocks = [(page.tag[b] if page.tag[b] in ("p", "h1", "h2", "h3", "li", "blockquote") else "p", t)
-                  for b, t, _ in page.runs if main[b]]
+                  for b, t, _ in page.runs if main[b] or not known]
         for _ in range(copies if blocks else 0):
             k = rng.randint(1, len(blocks))
             at = rng.randint(0, len(blocks) - k)
@@ -477,7 +478,7 @@ def learn(pages: list[str], copies: int = 3, seed: int = 4) -> Boosted | None:
                     spoiled[b] |= not yes
                     b = again.parent[b]
             add(again, main_again & ~spoiled)
-        other += [t for b, t, _ in page.runs if not main[b]] + [blocks[-1][1]] if blocks else []
+        other += [t for b, t, _ in page.runs if known and not main[b]] + [blocks[-1][1]] if blocks else []
     if not rows:
         return None
     return Boosted().fit(np.vstack(rows), np.concatenate(labels).astype(float), np.concatenate(weights))
@@ -501,8 +502,12 @@ def extract(htmls: list[str], model: Boosted | None) -> list[str]:
 
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> Boosted | None:
-    rows = (pages.where(F.col("html").isNotNull() & (F.length("html") <= SAMPLE_CHARS))
-            .orderBy(F.xxhash64("page_id", F.lit(2)), "page_id").select("html").limit(sample).collect())
+    """Trees from at most ``sample`` pages, by hash of the id and the page; a share of all pages is chosen first."""
+    some = pages.where(F.col("html").isNotNull())
+    share = min(1.0, 2.0 * sample / max(1, some.count()))
+    place = F.xxhash64("page_id", F.xxhash64("html"), F.lit(2))
+    rows = (some.where(F.pmod(place, F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+            .orderBy(place, "page_id").select("html").limit(sample).collect())
     return learn([r["html"] for r in rows])
 
 
