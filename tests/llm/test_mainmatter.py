@@ -116,3 +116,52 @@ def test_table_with_odd_rows(spark, sample):
     assert all(r["n_chars"] == len(r["text"]) for r in found)
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert mm.train(none) is None and mm.main_text(none, None).count() == 0
+
+
+def test_decoding_has_the_best_sum_of_all_labelings():
+    """Every labeling of small trees that the rules allow, by brute force."""
+    from itertools import product
+    from types import SimpleNamespace
+
+    rng = random.Random(5)
+    for _ in range(60):
+        n = rng.randint(2, 7)
+        parent = [-1] + [rng.randrange(i) for i in range(1, n)]
+        tree = SimpleNamespace(tag=["#"] * n, parent=parent, runs=[
+            (rng.randrange(1, n), "x" * rng.choice([0, 5, 60, 300]), 0) for _ in range(rng.randint(0, 6))])
+        odds = np.array([rng.gauss(0, 2) for _ in range(n)])
+        size = [sum(len(t) for b, t, _ in tree.runs if b == i) for i in range(n)]
+        value = [o * (min(1, s / 200) + 0.1) for o, s in zip(odds, size)]
+        kept = mm.decode(tree, odds)
+        total = lambda inside: sum(v if i in inside else -v for i, v in enumerate(value) if i)
+        best = -1e9
+        for states in product("oid", repeat=n - 1):
+            states = ("o", *states)
+            allowed = {"o": "oid", "i": "id", "d": "d"}
+            if all(states[i] in allowed[states[parent[i]]] for i in range(1, n)):
+                best = max(best, total({i for i in range(1, n) if states[i] == "i"}))
+        assert abs(total(kept) - best) < 1e-9
+
+
+def test_long_pages_and_pages_without_marks_are_learned_from(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(5):
+        body = [prose(rng, 900) for _ in range(19)]
+        rows.append((i, f"u{i}", "<nav><ul><li><a href=x>a</a></ul></nav><article>" + "".join(f"<p>{b}</p>" for b in body)
+                     + "</article><footer>f</footer>", "\n".join(body)))
+    assert min(len(r[2]) for r in rows) > 60_000
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, want string")
+    model = mm.train(pages)
+    assert model is not None
+    for r in mm.main_text(pages, model).collect():
+        assert overlap(r["text"], rows[r["page_id"]][3]) > 0.95
+    rows = []
+    for i in range(30):
+        body = [prose(rng, rng.randint(20, 60)) for _ in range(6)]
+        rows.append((i, f"u{i}", "<ul class='menu'><li><a href=x>a</a></ul><div class='content'>"
+                     + "".join(f"<p>{b}</p>" for b in body) + "</div>", "\n".join(body)))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, want string")
+    model = mm.train(pages)
+    assert model is not None
+    assert np.mean([overlap(r["text"], rows[r["page_id"]][3]) for r in mm.main_text(pages, model).collect()]) > 0.9
