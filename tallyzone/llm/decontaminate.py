@@ -8,8 +8,9 @@
    and an orthonormal basis of it. The benchmark's own passages are stacked
    below the corpus with a weight that keeps each of them in the range, so
    an item that the corpus holds once is not lost among frequent terms.
-3. Windows of every document, of each item's length (an eighth over it at
-   most) and at steps of an eighth of it, are embedded by running sums; a
+3. Windows of every document, of about each item's length (a sixteenth under
+   it to a fifth over it) and at steps of an eighth of it, are embedded by
+   running sums at the steps; a
    window is a candidate of an item at a cosine of ``COSINE``, relative to
    that of the item's own text (the latent space keeps a part of it). A
    window's norm counts its benchmark terms only, so foreign words, however
@@ -24,59 +25,112 @@
    subsequence of words, and so is the item's answer (its last sentence, or
    its last quarter); both must hold.
 
-What the driver holds is bounded by the benchmark: terms x ``RANK``.
+The benchmark is a stated query set, met in blocks of about ``ITEMS`` items
+and ``ITEM_BYTES`` of text: what the driver holds and sends is bounded by a
+block (its terms x ``RANK``), at any size of the benchmark.
 
 Defined results: a null or empty text, or one without words, has no hit; an
-item without words matches nothing; repeated rows and items are each
-reported; an empty corpus or benchmark gives no hits; other columns are
-ignored.
+item without words matches nothing; repeated documents are each reported, a
+benchmark row that repeats counts once, and items of the same text are each
+reported; a document that holds an item several times has one row for it,
+with the best figures of its places; a very long text is read in overlapping
+segments; an empty corpus or benchmark gives no hits; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tallyzone.llm.common import Words, mapped, read_table, slices, starts, stored, texts, utf8
+from tallyzone.llm.common import (
+    _BACK, _BASE, _FORTH, HASH_BYTES, _pieces, _powers, mapped, read_table, slices, starts, stored, texts, utf8)
 
 PASSAGE, RANK, BUCKETS, SHINGLE = 64, 64, 1 << 18, 4
 COSINE, LCS, ANSWER = 0.6, 0.7, 0.6
-PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Items and bytes of item texts that a pass over the corpus asks for.
+ITEMS, ITEM_BYTES = 4096, 4_000_000
+#: Words that are searched at a time.
+SEGMENT = 1 << 14
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
+@cache
+def code_values() -> np.ndarray:
+    """A number for each code point: 1 for white space, an own one for a letter or digit, 0 for the rest."""
+    every = "".join(map(chr, range(0x110000)))
+    kept = np.frombuffer("".join(WORD.findall(every)).encode("utf-32-le"), np.uint32)
+    out = np.zeros(0x110000, np.uint64)
+    out[kept] = np.random.default_rng(0xC0DE).integers(2, 1 << 63, len(kept)).astype(np.uint64)
+    out[[9, 10, 11, 12, 13, 32]] = 1
+    return out
+
+
+def plain_hashes(rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word by its lower-cased letters and digits, in order, and how many each text has.
+
+    Words without any are left out. A hash is the difference of two prefix
+    sums over the code points that count, so no word becomes an object.
+    """
+    values = code_values()
+    hashes, counts = [np.zeros(0, np.uint32)], np.zeros(len(rows), np.int64)
+    group, owners, size = [], [], 0
+
+    def flush():
+        joined = "".join(f"{g}\n" for g in group)
+        v = values[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        present = np.flatnonzero(v)
+        first = np.searchsorted(present, np.concatenate([[0], np.cumsum([len(g) + 1 for g in group])]))
+        v = v[present]
+        edge = np.flatnonzero(np.diff(v != 1, prepend=False))
+        begin, end = edge[::2], edge[1::2]
+        forth, back = (_FORTH, _BACK) if len(v) <= len(_FORTH) else (
+            _powers(_BASE, len(v)), _powers(pow(_BASE, -1, 1 << 64), len(v)))
+        sums = np.zeros(len(v) + 1, np.uint64)
+        np.cumsum(v * forth[:len(v)], out=sums[1:])
+        x = (sums[end] - sums[begin]) * back[begin]
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        hashes.append(np.maximum(x >> np.uint64(32), np.uint64(1)).astype(np.uint32))
+        np.add.at(counts, owners, np.diff(np.searchsorted(begin, first)))
+
+    for i, whole in enumerate(rows):
+        pieces = [whole] if len(whole) <= HASH_BYTES else (
+            p.decode("utf-8", "surrogatepass") for p in _pieces(utf8(whole)))
+        for piece in pieces:
+            if group and size + len(piece) > HASH_BYTES:
+                flush()
+                group, owners, size = [], [], 0
+            group.append(piece.lower())
+            owners.append(i)
+            size += len(piece) + 1
+    if group:
+        flush()
+    return np.concatenate(hashes), counts
+
+
 def hash_words(new: list[bytes]) -> tuple[np.ndarray]:
     """Hash of each word without case and punctuation; zero for what has no letter or digit."""
+    hashes, counts = plain_hashes([w.decode("utf-8", "replace") for w in new])
     out = np.zeros(len(new), np.uint32)
-    for i, word in enumerate(new):
-        plain = word.strip(PUNCTUATION).lower()
-        if not plain.isalnum():  # not only ASCII letters and digits
-            plain = "".join(WORD.findall(word.decode("utf-8", "replace").lower())).encode()
-        if plain:
-            out[i] = xxhash.xxh32_intdigest(plain) or 1
+    out[counts > 0] = hashes
     return (out,)
 
 
 def word_table(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, words, terms): hashes of a document's words, and the terms of its passages (stored).
-
-    ``terms`` has each passage's distinct terms, for the document counts.
-    """
+    """(id, words): hashes of a document's words (stored)."""
     def run(batches):
-        words = Words(hash_words)
         for batch in slices(batches):
-            lists = [utf8(t).split() for t in texts(batch)]
-            (hashed,) = words([w for x in lists for w in x])
-            kept = hashed != 0
-            before = starts(kept)[starts(np.array([len(x) for x in lists], np.int64))]
+            hashed, counts = plain_hashes(texts(batch))
             yield pa.record_batch({"id": batch.column("id"), "words": pa.ListArray.from_arrays(
-                pa.array(before.astype(np.int32)), pa.array(hashed[kept].view(np.int32)))})
+                pa.array(starts(counts).astype(np.int32)), pa.array(hashed.view(np.int32)))})
 
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -137,13 +191,11 @@ class Benchmark:
         ids, words, answers = [], [], []
         for item, text in rows:
             text = text or ""
-            own = hash_words(utf8(text).split())[0]
-            own = own[own != 0]
+            own = plain_hashes([text])[0]
             if not len(own):
                 continue
             last = [s for s in regex.split(r"(?<=[.!?])\s+", text.strip()) if WORD.search(s)][-1]
-            tail = hash_words(utf8(last).split())[0]
-            tail = tail[tail != 0]
+            tail = plain_hashes([last])[0]
             quarter = max(1, len(own) // 4)
             ids.append(item)
             words.append(own)
@@ -207,19 +259,20 @@ def shingle_places(shingles, lengths: np.ndarray, flat: np.ndarray, at: np.ndarr
     return doc, item, begin, np.minimum(at[doc + 1], begin + lengths[item])
 
 
-def range_rows(weights: np.ndarray, test: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """``A^T A G`` of some passages; ``at`` and ``of`` give each word's term and passage (in order)."""
-    scaled = test * weights[:, None]
-    first = np.flatnonzero(np.diff(of, prepend=-1))
-    if not len(first):
-        return np.zeros(test.shape, np.float64)
-    y = np.add.reduceat(scaled[at], first, axis=0)
-    row = np.cumsum(np.diff(of, prepend=of[0]) != 0)
-    order = np.argsort(at, kind="stable")
-    begin = np.flatnonzero(np.diff(at[order], prepend=-1))
-    out = np.zeros(test.shape, np.float64)
-    out[at[order][begin]] = np.add.reduceat(y[row[order]], begin, axis=0)
-    return out * weights[:, None]
+def range_rows(weights: np.ndarray, test: np.ndarray, term: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, rows) of ``A^T A G`` for a few passages; ``term`` and ``of`` give each word's term and passage (in order).
+
+    A dense product over the terms that these passages have.
+    """
+    seen = np.zeros(len(weights), bool)
+    seen[term] = True
+    own = np.flatnonzero(seen)
+    column = np.zeros(len(weights), np.int64)
+    column[own] = np.arange(len(own))
+    row = of - of[0]
+    a = np.bincount(row * len(own) + column[term], minlength=(int(row[-1]) + 1) * len(own))
+    a = a.reshape(-1, len(own)).astype(np.float32) * weights[own]
+    return own, a.T @ (a @ test[own])
 
 
 def stacked_rows(items: list[np.ndarray], terms: np.ndarray, weights: np.ndarray, test: np.ndarray) -> np.ndarray:
@@ -246,10 +299,13 @@ def latent_basis(words: DataFrame, bench: Benchmark, weights: np.ndarray, passag
         total = np.zeros(g.shape, np.float64)
         for batch in batches:
             flat, at = lists_of(batch)
-            of, _ = passages_of(at, passage)
-            for i in range(0, len(flat), 1 << 18):
-                hit, term = find_terms(terms, flat[i:i + (1 << 18)])
-                total += range_rows(own, g, term, of[i:i + (1 << 18)][hit])
+            of, n = passages_of(at, passage)
+            edges = np.append(np.searchsorted(of, np.arange(0, n, 256)), len(flat))
+            for a, b in zip(edges, edges[1:]):
+                hit, term = find_terms(terms, flat[a:b])
+                if len(hit):
+                    rows, part = range_rows(own, g, term, of[a:b][hit])
+                    total[rows] += part
         rows = np.flatnonzero(np.abs(total).sum(axis=1))
         yield pa.record_batch({"term": rows, "row": pa.FixedSizeListArray.from_arrays(
             pa.array(total[rows].ravel()), g.shape[1]).cast(pa.list_(pa.float64()))})
@@ -314,114 +370,183 @@ def lcs(item: np.ndarray, words: np.ndarray) -> int:
     return len(item) - row.bit_count()
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text",
-                 cosine: float = COSINE, least_lcs: float = LCS, least_answer: float = ANSWER) -> DataFrame:
-    """(id, item_id, cosine, lcs, answer): a row for each document and item found in it.
+def running_sums(x: np.ndarray, width: int = 16) -> np.ndarray:
+    """Sums of the rows before each place, in double precision; blocks of rows, so that whole rows are added at a time."""
+    n, d = x.shape
+    out = np.zeros((1 + -(-n // width) * width, d))
+    out[1:n + 1] = x
+    blocks = out[1:].reshape(-1, width, d)
+    for k in range(1, width):
+        blocks[:, k] += blocks[:, k - 1]
+    if len(blocks) > 1:
+        blocks += running_sums(blocks[:, -1])[:-1, None]
+    return out[:n + 1]
 
-    The benchmark is the stated query set: it is read by the driver and
-    sent to every task, and its windows are compared in blocks.
-    """
-    spark = docs.sparkSession
-    bench = Benchmark.read([(r[0], r[1]) for r in benchmark.select("item_id", "text").orderBy("item_id").collect()])
-    kind = docs.schema[id].dataType.simpleString()
-    item_kind = benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"id {kind}, item_id {item_kind}, cosine double, lcs double, answer double"
-    if not bench.ids:
-        return spark.createDataFrame([], schema)
-    words = word_table(docs, id, text)
-    counts, passages = document_counts(words, bench.terms, PASSAGE)
-    # Every term has a weight, also one of all passages.
-    weights = np.log1p(max(passages, 1) / np.maximum(counts, 1)).astype(np.float32)
-    basis = latent_basis(words, bench, weights, PASSAGE, RANK)
-    terms, own = bench.terms, basis * weights[:, None]
-    items = np.zeros((len(bench.words), basis.shape[1]), np.float32)
-    whole = np.zeros(len(bench.words))
-    for i, w in enumerate(bench.words):
-        _, term = find_terms(terms, w)
-        items[i] = own[term].sum(axis=0)
-        whole[i] = np.sqrt((weights[term] ** 2).sum())
-    length = np.linalg.norm(items, axis=1)
-    # Scaled by the part of the item that the latent space keeps, so that its own text has the cosine 1.
-    items *= (whole / np.maximum(length, 1e-9) ** 2)[:, None].astype(np.float32)
-    # Windows of a few lengths, each for the items up to it.
-    lengths = np.maximum([len(w) for w in bench.words], 4)
-    step_of = np.ceil(np.log2(lengths) * 6 - 1e-9).astype(int)
-    by_size = [(int(np.ceil(2 ** (k / 6) - 1e-9)), ids[i:i + 256]) for k in np.unique(step_of).tolist()
-               for ids in [np.flatnonzero(step_of == k)] for i in range(0, len(ids), 256)]
-    shared = spark.sparkContext.broadcast((
-        (bench.ids, bench.words, bench.answers), terms, own, items, weights, by_size, shingles_of(bench.words),
-        item_terms(bench.words, bench.terms)))
-
-    def candidates(flat, at):
+
+@dataclass
+class Search:
+    """What a task needs to find the places that may hold an item."""
+    bench: Benchmark
+    weights: np.ndarray
+    own: np.ndarray  # each term's weighted place in the latent space
+    items: np.ndarray  # in the latent space, so scaled that an item's own text has the cosine 1
+    grids: list  # (step, items, [(steps of a window, first and last of these items)])
+    shingles: list
+    has: tuple
+    cosine: float
+    least_lcs: float
+
+    @classmethod
+    def of(cls, bench: Benchmark, weights: np.ndarray, basis: np.ndarray, cosine: float = COSINE,
+           least_lcs: float = LCS) -> "Search":
+        own = basis * weights[:, None]
+        items = np.zeros((len(bench.words), basis.shape[1]), np.float32)
+        whole = np.zeros(len(bench.words))
+        for i, w in enumerate(bench.words):
+            _, term = find_terms(bench.terms, w)
+            items[i] = own[term].sum(axis=0)
+            whole[i] = np.sqrt((weights[term] ** 2).sum())
+        length = np.linalg.norm(items, axis=1)
+        # Scaled by the part of the item that the latent space keeps.
+        items *= (whole / np.maximum(length, 1e-9) ** 2)[:, None].astype(np.float32)
+        # Windows of a few lengths, each for the items up to it, in whole steps.
+        lengths = np.maximum([len(w) for w in bench.words], 4)
+        size = np.ceil(2 ** (np.ceil(np.log2(lengths) * 6 - 1e-9) / 6) - 1e-9)
+        step = np.maximum(1, size // 8).astype(int)
+        steps = np.floor(size / step + 0.5).astype(int)
+        grids = []
+        for s in np.unique(step).tolist():
+            ids = np.flatnonzero(step == s)
+            ids = ids[np.argsort(steps[ids], kind="stable")]
+            for i in range(0, len(ids), 256):
+                part = ids[i:i + 256]
+                q, first = np.unique(steps[part], return_index=True)
+                grids.append((s, part, list(zip(q.tolist(), first.tolist(), [*first[1:].tolist(), len(part)]))))
+        return cls(bench, weights, own, items, grids, shingles_of(bench.words), item_terms(bench.words, bench.terms),
+                   cosine, least_lcs)
+
+    def candidates(self, flat: np.ndarray, at: np.ndarray):
         """(document, item, begin, end, cosine) of the places that may hold an item."""
-        bench, terms, own, items, weights, by_size, shingles, has = shared.value
+        terms, items = self.bench.terms, self.items
         hit, term = find_terms(terms, flat)
         square = np.zeros(len(flat), np.float32)
-        square[hit] = weights[term] ** 2
+        square[hit] = self.weights[term] ** 2
         mass = starts_float(square)
         before = starts(np.bincount(hit, minlength=len(flat)))
-        running = np.zeros((len(hit) + 1, own.shape[1]))
-        np.cumsum(own.astype(np.float64)[term], axis=0, out=running[1:])
-        running = running.astype(np.float32)
+        running = running_sums(np.take(self.own, term, axis=0)).astype(np.float32)
         counts = np.diff(at)
-        n_words = np.array([len(w) for w in bench[1]])
-        doc, item, begin, end = shingle_places(shingles, n_words, flat, at)
+        n_words = np.array([len(w) for w in self.bench.words])
+        doc, item, begin, end = shingle_places(self.shingles, n_words, flat, at)
         cos = ((running[before[end]] - running[before[begin]]) * items[item]).sum(axis=1)
         cos /= np.sqrt(np.maximum(mass[end] - mass[begin], 1e-9))
         found = [(doc, item, begin, end, cos)]
-        for size, ids in by_size:
-            step = max(1, size // 8)
-            per = np.where(counts > 0, 1 + -(-np.maximum(counts - size, 0) // step), 0)
+        for step, ids, parts in self.grids:
+            # A document's grid goes on beyond its end where it has fewer steps than a window.
+            per = np.where(counts > 0, np.maximum(-(-counts // step), parts[-1][0]) + 1, 0)
             doc = np.repeat(np.arange(len(counts)), per)
-            begin = at[doc] + (np.arange(len(doc)) - np.repeat(starts(per)[:-1], per)) * step
-            end = np.minimum(begin + size, at[doc + 1])
-            able = before[end] > before[begin]
-            doc, begin, end = doc[able], begin[able], end[able]
-            norm = np.sqrt(np.maximum(mass[end] - mass[begin], 1e-9)).astype(np.float32)
-            first, last = before[begin], before[end]
-            sums = running @ items[ids].T
-            for i in range(0, len(begin), 4096):
-                dot = sums[last[i:i + 4096]] - sums[first[i:i + 4096]]
-                w, j = np.divmod(np.flatnonzero(dot >= cosine * norm[i:i + 4096, None]), len(ids))
-                found.append((doc[i + w], ids[j], begin[i + w], end[i + w], dot[w, j] / norm[i + w]))
+            place = np.minimum(at[doc] + (np.arange(len(doc)) - np.repeat(starts(per)[:-1], per)) * step, at[doc + 1])
+            weighed, hits = mass[place], before[place]
+            sums = items[ids] @ np.take(running, hits, axis=0).T
+            for q, a, b in parts:
+                norm = np.sqrt(np.maximum(weighed[q:] - weighed[:-q], 1e-9)).astype(np.float32)
+                able = (doc[q:] == doc[:-q]) & (hits[q:] > hits[:-q])
+                dot = sums[a:b, q:] - sums[a:b, :-q]
+                j, w = np.divmod(np.flatnonzero(dot >= np.where(able, np.float32(self.cosine) * norm, np.inf)), len(norm))
+                found.append((doc[w], ids[a + j], place[w], place[w + q], dot[j, w] / norm[w]))
         doc, item, begin, end, cos = merged(*(np.concatenate(x) for x in zip(*found)))
         begin = np.maximum(at[doc], begin - n_words[item] // 2)
         end = np.minimum(at[doc + 1], end + n_words[item] // 2)
-        shared_words = words_shared(has, len(terms), item, before[begin], before[end], term)
-        able = shared_words >= least_lcs * n_words[item] - 1e-9
+        both = words_shared(self.has, len(terms), item, before[begin], before[end], term)
+        able = both >= self.least_lcs * n_words[item] - 1e-9
         return zip(*(x[able].tolist() for x in (doc, item, begin, end, cos)))
 
+
+def segments(flat: np.ndarray, at: np.ndarray, overlap: int, most: int = SEGMENT):
+    """(rows, words, offsets): the documents, about ``most`` words at a time.
+
+    A longer document is cut into segments that share ``overlap`` words, so
+    that each place up to that length lies whole in one of them.
+    """
+    rows, parts, size = [], [], 0
+    most = max(most, 2 * overlap)
+    for row, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+        while a < b:
+            part = flat[a:min(b, a + most)]
+            if size and size + len(part) > most:
+                yield rows, np.concatenate(parts), starts(np.array([len(p) for p in parts]))
+                rows, parts, size = [], [], 0
+            rows.append(row)
+            parts.append(part)
+            size += len(part)
+            a = b if a + most >= b else a + most - overlap
+    if rows:
+        yield rows, np.concatenate(parts), starts(np.array([len(p) for p in parts]))
+
+
+def benchmark_blocks(benchmark: DataFrame, items: int = ITEMS, size: int = ITEM_BYTES) -> Iterator[list[tuple]]:
+    """The distinct (item_id, text) of the benchmark in blocks of about ``items`` rows and ``size`` bytes, by hash."""
+    rows = benchmark.select("item_id", "text").distinct()
+    n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // items), -(-total // size))
+    place = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    for k in range(blocks):
+        yield [tuple(r) for r in rows.where(place == k).orderBy("item_id", "text").collect()]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text",
+                 cosine: float = COSINE, least_lcs: float = LCS, least_answer: float = ANSWER,
+                 items: int = ITEMS) -> DataFrame:
+    """(id, item_id, cosine, lcs, answer): a row for each document and item found in it.
+
+    The benchmark is the stated query set, met in blocks of about ``items``.
+    """
+    kind, item_kind = docs.schema[id].dataType, benchmark.schema["item_id"].dataType
+    schema = (f"id {kind.simpleString()}, item_id {item_kind.simpleString()}, "
+              "cosine double, lcs double, answer double")
+    words, found = None, []
+    for rows in benchmark_blocks(benchmark, items):
+        bench = Benchmark.read(rows)
+        if not bench.ids:
+            continue
+        if words is None:
+            words = word_table(docs, id, text)
+        found.append(found_in(words, bench, to_arrow_type(item_kind), schema, cosine, least_lcs, least_answer))
+    return reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], schema)
+
+
+def found_in(words: DataFrame, bench: Benchmark, item_type: pa.DataType, schema: str, cosine: float,
+             least_lcs: float, least_answer: float) -> DataFrame:
+    """The rows of ``contaminated`` for a block of the benchmark."""
+    counts, passages = document_counts(words, bench.terms, PASSAGE)
+    # Every term has a weight, also one of all passages.
+    weights = np.log1p(max(passages, 1) / np.maximum(counts, 1)).astype(np.float32)
+    basis = latent_basis(words, bench, weights, PASSAGE, RANK)
+    shared = words.sparkSession.sparkContext.broadcast(Search.of(bench, weights, basis, cosine, least_lcs))
+
     def run(batches):
-        bench = Benchmark(*shared.value[0], None)
+        search = shared.value
+        bench = search.bench
+        overlap = 4 * max(len(w) for w in bench.words)
         for batch in batches:
-            for i in range(0, batch.num_rows, 100):
-                part = batch.slice(i, 100)
-                flat, at = lists_of(part)
-                names, found = part.column("id").to_pylist(), {}
-                for doc, item, a, b, cos in candidates(flat, at) if len(flat) else ():
-                    found.setdefault((doc, item), []).append((a, b, cos))
-                out = []
-                for (doc, item), places in found.items():
-                    cos, most = max(p[2] for p in places), (0.0, 0.0)
-                    for a, b, _ in places:
-                        most = max(most, ratios(bench, item, flat[a:b]))
-                        if most == (1.0, 1.0):
-                            break
-                    if most[0] >= least_lcs and most[1] >= least_answer:
-                        out.append((doc, item, min(1.0, cos), *most))
-                if out:
-                    yield pa.record_batch({
-                        "id": pa.array([names[x[0]] for x in out], part.schema.field("id").type),
-                        "item_id": pa.array([bench.ids[x[1]] for x in out], arrow_type(item_kind)),
-                        "cosine": [x[2] for x in out], "lcs": [x[3] for x in out], "answer": [x[4] for x in out]})
+            best: dict[tuple[int, int], tuple] = {}
+            for rows, flat, at in segments(*lists_of(batch), overlap):
+                for doc, item, a, b, cos in search.candidates(flat, at):
+                    was = best.get((rows[doc], item), (0.0, (0.0, 0.0)))
+                    most = was[1] if was[1] == (1.0, 1.0) else max(was[1], ratios(bench, item, flat[a:b]))
+                    best[rows[doc], item] = max(was[0], cos), most
+            out = [(row, item, min(1.0, cos), *most) for (row, item), (cos, most) in best.items()
+                   if most[0] >= least_lcs and most[1] >= least_answer]
+            if out:
+                row, item, cos, lcs_part, answer = zip(*out)
+                yield pa.record_batch({
+                    "id": batch.column("id").take(pa.array(row)),
+                    "item_id": pa.array([bench.ids[i] for i in item], item_type),
+                    "cosine": pa.array(cos, pa.float64()), "lcs": pa.array(lcs_part, pa.float64()),
+                    "answer": pa.array(answer, pa.float64())})
 
     return mapped(words, run, schema)
 
 
-def arrow_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def starts_float(x: np.ndarray) -> np.ndarray:
     return np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])
 

@@ -139,3 +139,64 @@ def test_counts_of_terms_in_one_bucket_and_the_benchmark_rows(spark, make):
     dense /= np.linalg.norm(dense, axis=1, keepdims=True)
     got = decontaminate.stacked_rows(items, terms, weights, test)
     assert np.allclose(got, dense.T @ dense @ test)
+
+
+def plain(text: str) -> list[str]:
+    """Words of a text as the docstring has them, one by one."""
+    words = [decontaminate.regex.sub(r"[^\p{L}\p{N}]", "", w.lower()) for w in decontaminate.regex.split(r"[ \t-\r]+", text)]
+    return [w for w in words if w]
+
+
+def test_hashes_are_those_of_the_plain_words():
+    rng = random.Random(9)
+    signs = "aAbBzZ09 \t\n,.-'\"  éÉİΣσß中\U0001f600\ud800́"
+    rows = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    rows += ["", "x" * (1 << 19), "Word " * 120_000, "ΣΑΣ σας"]
+    hashes, counts = decontaminate.plain_hashes(rows)
+    want = [plain(t) for t in rows]
+    assert counts.tolist() == [len(w) for w in want]
+    of = {}
+    for word, h in zip((w for x in want for w in x), hashes.tolist()):
+        assert of.setdefault(word, h) == h
+    assert len(set(of.values())) == len(of) and 0 not in of.values()
+
+
+def test_running_sums_and_segments():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 15, 16, 17, 300):
+        x = rng.normal(size=(n, 3)).astype(np.float32)
+        want = np.concatenate([np.zeros((1, 3)), np.cumsum(x.astype(float), axis=0)])
+        assert np.allclose(decontaminate.running_sums(x), want)
+    counts = rng.integers(0, 200, 40)
+    at, flat = np.concatenate([[0], np.cumsum(counts)]), np.arange(counts.sum())
+    seen = {}
+    for rows, words, edges in decontaminate.segments(flat, at, 10, most=50):
+        for k, row in enumerate(rows):
+            seen.setdefault(row, []).append(words[edges[k]:edges[k + 1]].tolist())
+    for row, (a, b) in enumerate(zip(at, at[1:])):
+        parts = seen.get(row, [])
+        assert sorted({w for p in parts for w in p}) == list(range(a, b))
+        for start in range(a, max(a, b - 9)):
+            assert any(set(range(start, min(b, start + 10))) <= set(p) for p in parts)
+
+
+def test_blocks_of_the_benchmark_long_texts_repeats_and_odd_columns(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(i, prose(rng.randint(10, 50))) for i in range(24)]
+    rows = [(i, f"{prose(80)} {items[i][1]} {prose(80)}", i) for i in range(24)]
+    long = prose(60_000).split()
+    long[16_380:16_380] = items[3][1].split()  # over the edge of a segment
+    long[50_000:50_000] = items[7][1].split()
+    rows += [(100, " ".join(long), 0), (100, " ".join(long), 0), (101, None, 0), (102, prose(300), 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id int")
+    bench = spark.createDataFrame([(i, t, "x") for i, t in items] + [(0, items[0][1], "x"), (None, None, "x")],
+                                  "item_id smallint, text string, cosine string")
+    want = sorted([(i, i) for i in range(24)] + 2 * [(100, 3), (100, 7)])
+    for size in (decontaminate.ITEMS, 5):
+        found = decontaminate.contaminated(docs, bench, items=size)
+        assert sorted((r["id"], r["item_id"]) for r in found.collect()) == want
+    assert sorted(r["doc_id"] for r in decontaminate.keep_clean(docs, bench).collect()) == [101, 102]
+    blocks = list(decontaminate.benchmark_blocks(bench, 5))
+    assert len(blocks) == 5 and sum(map(len, blocks)) == 25
