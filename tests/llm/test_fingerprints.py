@@ -75,3 +75,42 @@ def test_rows_of_one_id_are_dealt_over_partitions(spark, make):
             spark.conf.set("spark.sql.adaptive.enabled", "true")
         assert len(parts) == 8 and max(r["count"] for r in parts) < 1000
         assert F9.neighbours(docs).count() == 4000
+
+
+def plain_fingerprint(text):
+    """Piecewise hashing one byte at a time, on plain integers."""
+    data, mask = text.encode(), (1 << 64) - 1
+    if not data:
+        return "2:::"
+
+    def rolling(i):
+        b = [data[j] + 1 if j >= 0 else 0 for j in range(i - 7, i + 1)]
+        for factor in (0x01000193, 0x85EBCA6B, 0xC2B2AE35):
+            b = [(x * factor + y) & 0xFFFFFFFF for x, y in zip(b[::2], b[1::2])]
+        x = b[0] ^ b[0] >> 15
+        x = x * 0x2C1B3C6D & 0xFFFFFFFF
+        return x ^ x >> 13
+
+    hashes = [rolling(i) for i in range(len(data))]
+    ends = lambda k: [i for i, x in enumerate(hashes) if x % (1 << k) == 0]
+    k = next(k for k in range(2, 40) if len(ends(k)) < 64)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    signatures = []
+    for level in (k, k + 1, k + 2):
+        signature, value, power = "", 0, 0x9E3779B97F4A7C15
+        stops = set(ends(level)) | {len(data) - 1}
+        for i, byte in enumerate(data):
+            value, power = (value + byte * power) & mask, power * 0x9E3779B97F4A7C15 & mask
+            if i in stops:
+                value = (value ^ value >> 29) * 0xBF58476D1CE4E5B9 & mask
+                signature += letters[value >> 58]
+                value, power = 0, 0x9E3779B97F4A7C15
+        signatures.append(signature)
+    return ":".join([str(k), *signatures])
+
+
+def test_fingerprints_match_hashing_byte_by_byte():
+    rng = random.Random(8)
+    texts = ["", "a", "ab", "été", "x" * 500, "\x00" * 20, "日本語 " * 90]
+    texts += [" ".join(f"w{rng.randrange(400)}é" for _ in range(rng.randint(1, 900))) for _ in range(25)]
+    assert [fp.fingerprint(t) for t in texts] == [plain_fingerprint(t) for t in texts]

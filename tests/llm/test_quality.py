@@ -51,3 +51,32 @@ def test_one_class_and_none(spark, make):
         model = quality.train(table, spark.createDataFrame(labels, schema))
         assert not model.rules and 0 <= table.select(model.expression()).first()[0] <= 1
     assert quality.statistics_table(make([])).count() == 0
+
+
+def plain_statistics(text):
+    """The statistics counted one character at a time."""
+    data = text.encode()
+    words, lines = data.split(), [x for x in data.split(b"\n") if x.strip()]
+    share = lambda kind: sum(c in kind for c in data) / len(data)
+    n, symbols = len(words), b"#$%&*+/<=>@[\\]^_`{}~|!"
+    most = max(words.count(w) for w in words)
+    return {
+        "log_chars": np.log1p(len(data)), "words": np.log1p(n), "word_length": sum(len(w) for w in words) / n,
+        "upper": share(range(65, 91)), "digit": share(b"0123456789"), "space": share(b" \t\n\r\x0b\x0c"),
+        "high": share(range(128, 256)), "mark": share(b",;:'\"-()"), "end_mark": share(b".!?"),
+        "symbol": share(b"#$%&*+/<=>@[\\]^_`{}~"), "bar": share(b"|"),
+        "top_symbol": max(data.count(s) for s in symbols) / n, "distinct": len(set(words)) / n, "top_word": most / n,
+        "lines": len(lines) / n, "repeated_lines": 1 - len(set(lines)) / len(lines),
+        "one_letter": sum(len(w) == 1 for w in words) / n,
+        "marked_words": sum(len(w) > 1 and w[-1] in b"!#$%&*|" for w in words) / n}
+
+
+def test_statistics_match_plain_counts(spark, make):
+    rng = random.Random(9)
+    pieces = ["the", "été", "A!", "||", "x", "#tag#", "12,5%", "don't", "\n", "\n\n", "\t", "END.", "same line here\n", "日本"]
+    rows = [(i, "w " + " ".join(rng.choices(pieces, k=rng.randint(1, 120)))) for i in range(60)]
+    found = {r["id"]: r for r in quality.statistics_table(make(rows)).collect()}
+    for i, text in rows:
+        want = plain_statistics(text)
+        assert list(want) == list(quality.STATISTICS)
+        assert np.allclose([found[i][s] for s in want], list(want.values()), atol=1e-12), (text, want)
