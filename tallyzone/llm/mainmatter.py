@@ -2,11 +2,16 @@
 
 A page is parsed into block nodes (inline markup belongs to the block around
 it) with their text runs in page order. Every node with text gets features:
-its tag, words of its class, id and role attributes and of its ancestors',
+its tag, tokens of its class, id and role attributes and of its ancestors',
 depth, the density of text, links and tags in its subtree, its place and its
 share among its siblings and on the page. Gradient-boosted trees give the
 log odds that the node is main matter.
 
+Tokens (attribute words and tags) are hashed to ``TOKENS`` buckets. A bucket's
+weight is its log odds of main matter over the pages learned from; a page
+that the trees learn from sees the weights without its own counts, so a word
+of one page alone says nothing.
+
 Decoding is one dynamic program over the tree: a node is outside, inside or
 dropped; an inside node's children are inside or dropped, a dropped node's
 are all dropped, and only an outside node may hold main matter further down.
@@ -15,18 +20,24 @@ lies in a dropped one.
 
 The trees learn from a bounded sample of pages (``SAMPLE``). Pages that mark
 their article give the blocks; each is seen as it is, and set anew into
-layouts with other tags and class words (``LAYOUTS``), menus, notices,
-adverts, forms and comments, so that the marks alone don't decide.
+layouts with other tags and class words (``LAYOUTS``, ``MAIN_WORDS``,
+``OTHER_WORDS``), menus, notices, adverts, forms and comments, so that the
+marks alone don't decide.
 
 Defined results: null and empty html give an empty text; a page without main
-matter too; unclosed and stray tags are read as browsers do for blocks;
-repeated rows are kept; an empty table gives no rows; without any page to
+matter too; a page of any length is read whole; unclosed and stray tags are
+read as browsers do for blocks; of equally good labelings a node is kept
+rather than left out; repeated rows are kept; an empty table gives no rows; without any page to
 learn from, marked articles are taken; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import random
+import zlib
+from collections import Counter
+from collections.abc import Mapping
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -39,6 +50,8 @@ from tallyzone.llm.common import mapped, read_table, slices, texts
 
 #: Most pages that the trees learn from.
 SAMPLE = 250
+#: Buckets of attribute words and tags; pseudo-blocks of either kind that a bucket's weight starts from.
+TOKENS, PRIOR = 1 << 12, 1.0
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter "
                    "progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -59,8 +72,9 @@ TAGS = (("p",), ("h1", "h2", "h3", "h4", "h5", "h6"), ("li", "dd", "dt"), ("ul",
         ("article", "main"), ("nav", "aside", "footer", "header"), ("form", "fieldset", "input", "legend"),
         ("section",), ("table", "tbody", "tr", "td", "th"), ("blockquote", "pre", "figure", "figcaption"),
         ("body", "html"))
-GOOD = frozenset("article main content body text story post entry prose page copy read maincontent articlebody".split())
-BAD = frozenset("nav menu sidebar side aside footer foot header head masthead comment comments reply replies disqus "
+#: Attribute words of the layouts that pages are set into; a marked article leaves out what bears more of the second.
+MAIN_WORDS = frozenset("article main content body text story post entry prose page copy read maincontent articlebody".split())
+OTHER_WORDS = frozenset("nav menu sidebar side aside footer foot header head masthead comment comments reply replies disqus "
                 "ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent notice "
                 "alert modal popup overlay share sharing social related recommended more links widget form login "
                 "signup signin subscribe newsletter search breadcrumb breadcrumbs pager pagination toolbar tags meta "
@@ -71,12 +85,17 @@ SPACE = regex.compile(r"\s+")
 N_FEATURES = len(TAGS) + 26
 
 
+@lru_cache(maxsize=1 << 16)
+def bucket(token: str) -> int:
+    return zlib.crc32(token.encode("utf-8", "replace")) % TOKENS
+
+
 class Page(HTMLParser):
     """Blocks of a page: tags, parents, attribute words, and text runs in page order."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.tag, self.parent, self.good, self.bad, self.marks = ["#"], [-1], [0], [0], [0]
+        self.tag, self.parent, self.words, self.marks = ["#"], [-1], [()], [0]
         self.runs: list[tuple[int, str, int]] = []  # block, text, characters in links
         self.open = [0]
         self.silent: list[str] = []
@@ -149,8 +168,7 @@ class Page(HTMLParser):
         self.open.append(len(self.tag))
         self.tag.append(tag)
         self.parent.append(self.open[-2])
-        self.good.append(sum(w in GOOD for w in words))
-        self.bad.append(sum(w in BAD for w in words) + 2 * hidden)
+        self.words.append((*words, "display:none") if hidden else words)
         self.marks.append(0)
 
     def handle_startendtag(self, tag, attrs):
@@ -185,8 +203,33 @@ class Page(HTMLParser):
                 self.linked += len(data)
 
 
-def features(page: Page) -> np.ndarray:
-    """One row per block of the page."""
+def tokens(page: Page) -> list[list[int]]:
+    """Buckets of each block's attribute words and its tag (``<tag``)."""
+    return [[bucket("<" + tag), *map(bucket, words)] for tag, words in zip(page.tag, page.words)]
+
+
+def token_counts(page: Page, main: np.ndarray) -> tuple[Counter, Counter]:
+    """Blocks with text that lie in or under each bucket: main matter, and others."""
+    own, parts = tokens(page), (Counter(), Counter())
+    for block in {b for b, _, _ in page.runs}:
+        at, seen = block, set()
+        while at > 0:
+            seen.update(own[at])
+            at = page.parent[at]
+        parts[0 if main[block] else 1].update(seen)
+        parts[0 if main[block] else 1][-1] += 1  # all blocks
+    return parts
+
+
+def token_weights(main: Counter, other: Counter) -> dict[int, float]:
+    """Log odds of main matter of each bucket against those of all blocks; a bucket that wasn't met has none."""
+    share = (main[-1] + 1) / (main[-1] + other[-1] + 2)
+    yes, no = PRIOR * share, PRIOR * (1 - share)
+    return {t: float(np.log((main[t] + yes) / (other[t] + no) * no / yes)) for t in main.keys() | other.keys() if t >= 0}
+
+
+def features(page: Page, weights: Mapping[int, float]) -> np.ndarray:
+    """One row per block of the page, under the tokens' weights."""
     n = len(page.tag)
     parent = page.parent
     size, linked, words, stops = [0] * n, [0] * n, [0] * n, [0] * n
@@ -214,14 +257,17 @@ def features(page: Page) -> np.ndarray:
         blocks[p] += blocks[i]
         marks[p] += marks[i]
         children[p] += 1
-    depth, good, bad, place, group = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
+    own_weights = [[weights.get(t, 0.0) for t in block] for block in tokens(page)]
+    for_it = [sum(w for w in block if w > 0) for block in own_weights]
+    against = [sum(w for w in block if w < 0) for block in own_weights]
+    depth, good, bad, place, group = [0] * n, [0.0] * n, [0.0] * n, [0] * n, [0] * n
     marked, counted = [0] * n, [0] * n
     same: dict[tuple[int, str], int] = {}
     for i in range(1, n):
         p = parent[i]
         depth[i] = depth[p] + 1
-        good[i] = good[p] + page.good[p] + (page.tag[p] in TAGS[4])
-        bad[i] = bad[p] + page.bad[p] + (page.tag[p] in TAGS[5])
+        good[i] = good[p] + (for_it[p] if p else 0)
+        bad[i] = bad[p] + (against[p] if p else 0)
         group[i] = group[p] + (page.tag[p] in TAGS[6])
         marked[i] = marked[p] + (page.tag[p] in TAGS[4])
         place[i] = counted[p]
@@ -243,7 +289,7 @@ def features(page: Page) -> np.ndarray:
     link_share = linked / full
     columns = [
         depth, np.log1p(size), np.log1p(own), link_share, blocks / full, marks / full, np.log1p(words),
-        stops / np.maximum(words, 1), size / np.maximum(words, 1), page.good, page.bad, good, bad, group, marked,
+        stops / np.maximum(words, 1), size / np.maximum(words, 1), for_it, against, good, bad, group, marked,
         size / np.maximum(size[up], 1), size / total, begin / total, (begin + size) / total, np.log1p(siblings),
         np.array(place) / siblings, [same.get((p, t), 0) for p, t in zip(parent, page.tag)] / siblings,
         np.log1p(size[up] / siblings), link_share[up], np.log1p(blocks), np.log1p(children)]
@@ -254,12 +300,13 @@ def features(page: Page) -> np.ndarray:
 
 
 class Boosted:
-    """Gradient-boosted regression trees on log loss, as arrays: feature, cut, left child, value."""
+    """Gradient-boosted regression trees on log loss, as arrays: feature, cut, left child, value; the tokens' weights."""
 
     def __init__(self, trees: int = 40, depth: int = 4, rate: float = 0.25, bins: int = 32, least: int = 20):
         self.trees_wanted, self.depth, self.rate, self.bins, self.least = trees, depth, rate, bins, least
         self.trees: list[tuple[np.ndarray, ...]] = []
         self.bias = 0.0
+        self.tokens: dict[int, float] = {}
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> "Boosted":
         cuts = [np.unique(np.quantile(x[:, j], np.linspace(0.01, 0.99, self.bins))) for j in range(x.shape[1])]
@@ -355,8 +402,9 @@ def marked(page: Page) -> np.ndarray:
     n = len(page.tag)
     out = np.zeros(n, bool)
     for i in range(1, n):
-        tag, p = page.tag[i], page.parent[i]
-        shut_out = tag in TAGS[5] or tag in TAGS[6] or page.bad[i] > page.good[i]
+        tag, p, words = page.tag[i], page.parent[i], page.words[i]
+        own = sum(w in MAIN_WORDS for w in words) - sum(w in OTHER_WORDS for w in words) - 2 * ("display:none" in words)
+        shut_out = tag in TAGS[5] or tag in TAGS[6] or own < 0
         out[i] = not shut_out and (out[p] or tag in TAGS[4])
     return out
 
@@ -373,7 +421,9 @@ def relaid(blocks: list[tuple[str, str]], other: list[str], rng: random.Random)
     """A page of the blocks (tag, text) in another layout, and whether each of its runs is main matter."""
     parts: list[str] = []
     truth: list[bool] = []
-    good = rng.choice(["content", "story", "post-body", "entry", "article-text", "main", "body-copy"])
+    good = rng.choice(["content", "story", "post-body", "entry", "article-text", "main", "body-copy",
+                       *sorted(MAIN_WORDS)])
+    others = sorted(OTHER_WORDS)
     pool = [w for t in other for w in t.split()] or ["x"]
     some = lambda a, b: " ".join(rng.choice(pool) for _ in range(rng.randint(a, b)))
     esc = lambda t: t.replace("&", "&amp;").replace("<", "&lt;")
@@ -400,8 +450,12 @@ def relaid(blocks: list[tuple[str, str]], other: list[str], rng: random.Random)
         wrapped(tag, attrs, lambda: [block(rng.choice(["p", "div"]), some(a, b), False) for _ in range(rng.randint(least, most))])
 
     def noise(inside):
-        kind = rng.randrange(7)
-        if kind == 0:
+        kind = rng.randrange(14)
+        if kind >= 7:
+            paragraphs(rng.choice(["div", "section", "div"]), rng.choice([
+                f" class='{rng.choice(others)}'", f" id='{rng.choice(others)}-{rng.choice(others)}'",
+                f" class='{rng.choice(others)} box'", f" role='{rng.choice(others)}'", " style='display: none'"]), 1, 3, 3, 40)
+        elif kind == 0:
             paragraphs("div", rng.choice([" class='ad'", " class='advert'", " id='sponsored'"]), 1, 1, 3, 30)
         elif kind == 1:
             paragraphs(*rng.choice([("aside", ""), ("div", " class='sidebar'"), ("div", " class='related-posts'")]),
@@ -444,22 +498,14 @@ def relaid(blocks: list[tuple[str, str]], other: list[str], rng: random.Random)
 def learn(pages: list[str], copies: int = 3, seed: int = 4) -> Boosted | None:
     """Trees from sample pages: as they are, and their articles in other layouts."""
     rng = random.Random(seed)
-    rows, labels, weights = [], [], []
-
-    def add(page: Page, main: np.ndarray):
-        x = features(page)
-        full = x[:, len(TAGS) + 1] > 0
-        rows.append(x[full])
-        labels.append(main[full])
-        weights.append(0.3 + np.minimum(1, np.expm1(x[full, len(TAGS) + 2]) / 200))
-
+    seen: list[tuple[int, Page, np.ndarray]] = []  # the page learned from, one form of it, its main matter
     other: list[str] = []
-    for html in pages:
+    for source, html in enumerate(pages):
         page = Page(html)
         main = marked(page)
         known = main.any()
         if known:
-            add(page, main)
+            seen.append((source, page, main))
         # of a page that marks no article the texts still make articles for other layouts
         blocks = [(page.tag[b] if page.tag[b] in ("p", "h1", "h2", "h3", "li", "blockquote") else "p", t)
                   for b, t, _ in page.runs if main[b] or not known]
@@ -477,11 +523,26 @@ def learn(pages: list[str], copies: int = 3, seed: int = 4) -> Boosted | None:
                     main_again[b] |= yes
                     spoiled[b] |= not yes
                     b = again.parent[b]
-            add(again, main_again & ~spoiled)
+            seen.append((source, again, main_again & ~spoiled))
         other += [t for b, t, _ in page.runs if known and not main[b]] + [blocks[-1][1]] if blocks else []
-    if not rows:
+    if not seen:
         return None
-    return Boosted().fit(np.vstack(rows), np.concatenate(labels).astype(float), np.concatenate(weights))
+    total, of = (Counter(), Counter()), {source: (Counter(), Counter()) for source, _, _ in seen}
+    for source, page, main in seen:
+        for part, own, counts in zip(total, of[source], token_counts(page, main)):
+            part.update(counts)
+            own.update(counts)
+    without = {source: token_weights(*(part - one for part, one in zip(total, own))) for source, own in of.items()}
+    rows, labels, weights = [], [], []
+    for source, page, main in seen:
+        x = features(page, without[source] if len(of) > 1 else token_weights(*total))
+        full = x[:, len(TAGS) + 1] > 0
+        rows.append(x[full])
+        labels.append(main[full])
+        weights.append(0.3 + np.minimum(1, np.expm1(x[full, len(TAGS) + 2]) / 200))
+    model = Boosted().fit(np.vstack(rows), np.concatenate(labels).astype(float), np.concatenate(weights))
+    model.tokens = token_weights(*total)
+    return model
 
 
 def extract(htmls: list[str], model: Boosted | None) -> list[str]:
@@ -492,7 +553,7 @@ def extract(htmls: list[str], model: Boosted | None) -> list[str]:
     if model is None:
         odds = [np.where(marked(p), 1.0, -1.0) for p in pages]
     else:
-        rows = [features(p) for p in pages]
+        rows = [features(p, model.tokens) for p in pages]
         odds = np.split(model(np.vstack(rows)), np.cumsum([len(r) for r in rows])[:-1])
     out = []
     for page, own in zip(pages, odds):
@@ -513,14 +574,14 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> Boosted | None:
 
 def main_text(pages: DataFrame, model: Boosted | None) -> DataFrame:
     """(page_id, url, text) of every page."""
-    state = model and (model.trees, model.depth, model.bias)
+    state = model and (model.trees, model.depth, model.bias, model.tokens)
     shared = pages.sparkSession.sparkContext.broadcast(state)
 
     def run(batches):
         own = None
         if shared.value:
             own = Boosted(depth=shared.value[1])
-            own.trees, own.bias = shared.value[0], shared.value[2]
+            own.trees, own.bias, own.tokens = shared.value[0], shared.value[2], shared.value[3]
         for batch in slices(batches, "html", 2_000_000):
             found = extract(texts(batch, "html"), own)
             yield pa.record_batch({"page_id": batch.column("page_id"), "url": batch.column("url"),

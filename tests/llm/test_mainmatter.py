@@ -165,3 +165,35 @@ def test_long_pages_and_pages_without_marks_are_learned_from(spark):
     model = mm.train(pages)
     assert model is not None
     assert np.mean([overlap(r["text"], rows[r["page_id"]][3]) for r in mm.main_text(pages, model).collect()]) > 0.9
+
+
+def test_attribute_words_that_no_list_holds_are_learned():
+    rng = random.Random(12)
+    assert not {"inhalt", "werbung"} & (mm.MAIN_WORDS | mm.OTHER_WORDS)
+
+    def parts(tag):
+        body = [prose(rng, rng.randint(10, 50)) for _ in range(rng.randint(2, 5))]
+        other = [prose(rng, rng.randint(10, 50)) for _ in range(rng.randint(2, 5))]
+        boxes = [f"<{tag} class='inhalt'>" + "".join(f"<p>{b}</p>" for b in body) + f"</{tag}>",
+                 "<div class='werbung'>" + "".join(f"<p>{b}</p>" for b in other) + "</div>"]
+        rng.shuffle(boxes)
+        return "<body>" + "".join(boxes) + "</body>", "\n".join(body)
+
+    model = mm.learn([parts("article")[0] for _ in range(80)])
+    assert model.tokens[mm.bucket("inhalt")] > 1 and model.tokens[mm.bucket("werbung")] < -1
+    pages = [parts("div") for _ in range(40)]  # nothing but the words tells the two apart
+    got = mm.extract([h for h, _ in pages], model)
+    assert np.mean([overlap(g, w) for g, (_, w) in zip(got, pages)]) > 0.9
+
+
+def test_token_weights_match_plain_counts():
+    page = mm.Page("<div class='a b'><p>x</p><p class='c'>y</p></div><ul id='c'><li>z</ul><section class='b'></section>")
+    main = np.array([t == "p" for t in page.tag])
+    yes, no = mm.token_counts(page, main)
+    count = lambda c, w: c[mm.bucket(w)]
+    assert [(count(yes, w), count(no, w)) for w in ("a", "b", "c", "<p", "<div", "<li", "<ul", "<section")] == [
+        (2, 0), (2, 0), (1, 1), (2, 0), (2, 0), (0, 1), (0, 1), (0, 0)]
+    weights = mm.token_weights(yes, no)
+    share = 3 / 5
+    assert abs(weights[mm.bucket("a")] - np.log((2 + share * mm.PRIOR) / ((1 - share) * mm.PRIOR) * (1 - share) / share)) < 1e-12
+    assert mm.bucket("<section") not in weights
