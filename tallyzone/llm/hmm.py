@@ -20,7 +20,7 @@ state, the state a class, and the class a word by the word's share in it:
   gives the same number without as many steps as the text has words.
 
 Defined results: a null text is the empty text, whose one token is the end;
-a null id counts as training; repeated rows count each; without training
+a null id counts as training; a text of any length is scored whole; repeated rows count each; without training
 rows every word has probability one under ``base``; an empty table gives no
 rows; other columns are ignored.
 """

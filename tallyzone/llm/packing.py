@@ -16,8 +16,9 @@ place by rank: a piece's rank in its length (counted in salted parts, so
 that a length that most documents have is not one task's work) falls into
 one interval of the plan, which names a run of sequences.
 
-Defined results: a null or empty text is the one token 0; repeated rows are
-packed each; an empty table gives no rows; other columns are ignored.
+Defined results: a null or empty text is the one token 0; a text of any
+length is cut whole into pieces; pieces of equal length are alike to the plan
+and take their places in the order of the stored rows; repeated rows are packed each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ The fit uses a bounded sample of labelled rows (``SAMPLE``); statistics and
 scores cover every row.
 
 Defined results: a null text is the empty text, whose statistics are zero
-and which is scored like any other; repeated rows are kept; rows that share
+and which is scored like any other; a text of any length is counted whole; a
+score of just 0.5 is the better class; repeated rows are kept; rows that share
 an id with several labels train with each; without labels, or with one
 class, every score is the share of good labels (0.5 without any); an empty
 table gives no rows; other columns are ignored.

@@ -15,7 +15,8 @@ bucket of over ``cell`` fingerprints is dealt to a triangle of cells, each
 with the fingerprints of two parts, which together hold every pair.
 
 Defined results: a null or empty text, and one without words, has the
-fingerprint zero and links like any other; repeated rows are kept; of tied
+fingerprint zero and links like any other; a text of any length is read whole;
+a bit set in just half of the hashes is 0; repeated rows are kept; of tied
 rows the smallest id stays; an empty table gives no rows; other columns of
 the input are ignored, a null id never names a component unless all are null.
 """

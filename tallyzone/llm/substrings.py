@@ -19,7 +19,7 @@ hashes are cut to 32 bits within a bucket (a false hit only costs a
 question); whole windows are told apart by 64 bits.
 
 Defined results: a null or empty text, and one without words, has none and
-loses none; repeated rows are repeats of each other, each is reported; an
+loses none; a text of any length is read whole; repeated rows are repeats of each other, each is reported; an
 empty table gives no rows; other columns are ignored.
 """
 
