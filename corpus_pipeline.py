@@ -9,6 +9,13 @@ one's input. All but the last return the columns of ``documents``.
 3. benchmark decontamination: documents that hold a benchmark item go.
 4. secret scans: secrets in the texts are replaced by ``[kind]``.
 5. best-fit packing: the pieces of all that is left and their places.
+
+Defined results: a null or empty text, or one without a letter, goes in the
+first stage; texts of any length are read whole; repeated rows and copies are
+one group, of which the smallest id stays (one row of equal ids); a null id
+counts as the largest; without benchmark rows every document is clean; an
+empty table gives no rows; extra columns, whatever their names, pass through
+the first four stages unchanged.
 """
 
 from __future__ import annotations
