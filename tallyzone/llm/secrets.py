@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyzone.llm.common import mapped, read_table, shared_dir
+from tallyzone.llm.common import mapped, read_table, shared_dir, slices
 
 RULE_VERSION = "1"
 
@@ -65,7 +65,7 @@ def paths(docs: DataFrame, path: str = "doc_id", text: str = "text") -> DataFram
 def scan_blobs(blobs: DataFrame) -> DataFrame:
     """Ledger rows (blob, rule_version, findings) of distinct (blob, text) rows."""
     def scan(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [[{"kind": k, "start": a, "end": b} for a, k, b in find(t)]
                      for t in batch.column("text").to_pylist()]
             yield pa.record_batch({
